@@ -30,6 +30,30 @@ def kernel_sql(sigma_bins: float, n_bins: int, truncate: float = 4.0) -> str:
     return ", ".join(f"({i}, {w!r}::DOUBLE)" for i, w in wrapped_kernel(sigma_bins, n_bins, truncate))
 
 
+def frame_spike_counts(spikes: DataFrame, frames: DataFrame, by: list[str], unit: str, time: str,
+                       frame_order: list[str], chunks=None) -> DataFrame:
+    """Spikes per unit between consecutive frames of its session, with rates.
+
+    Intervals are closed below and open above, the last one closed on both
+    sides; spikes outside the frames are dropped. Only intervals with spikes get
+    a row.
+    """
+    from .joins import asof_join
+    from .scan import following, previous, scan
+
+    t = frame_order[0]
+    edges = scan(frames, by, frame_order, {
+        "__next": following(t), "__before": previous(t)}, chunks)
+    edges = edges.select(*by, F.col(t).alias("__t"), F.col("__next"), F.col("__before"))
+    hit = asof_join(spikes, edges, by, time, "__t", ["__t", "__next", "__before"], "__next", chunks)
+    last_closed = F.col("__next").isNull() & (F.col(time) == F.col("__t"))
+    start = F.when(last_closed, F.col("__before")).otherwise(F.col("__t"))
+    stop = F.when(last_closed, F.col("__t")).otherwise(F.col("__next"))
+    hit = hit.withColumns({"start": start, "stop": stop}).where("start IS NOT NULL AND stop IS NOT NULL")
+    out = hit.groupBy(*by, unit, "start", "stop").agg(F.count("*").cast("bigint").alias("n_spikes"))
+    return out.withColumn("rate", F.col("n_spikes") / (F.col("stop") - F.col("start")))
+
+
 def tuning_counts(frames: DataFrame, unit: str, heading: str, duration: str, n_bins: int) -> DataFrame:
     """Spikes per unit and heading bin beside the time spent there; unseen cells are zero.
 
@@ -40,7 +64,7 @@ def tuning_counts(frames: DataFrame, unit: str, heading: str, duration: str, n_b
     cells = work.groupBy(unit, "angle_bin").agg(
         F.count("*").cast("bigint").alias("n_spikes"), F.sum(duration).alias("__d"))
     occupancy = cells.groupBy("angle_bin").agg(F.sum("__d").alias("occupancy"))
-    ring = F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).cast("bigint")
+    ring = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint")))
     grid = cells.select(unit).distinct().withColumn("angle_bin", ring)
     out = grid.join(cells.drop("__d"), [unit, "angle_bin"], "left").join(occupancy, "angle_bin", "left")
     return out.select(unit, "angle_bin", F.coalesce("n_spikes", F.lit(0)).cast("bigint").alias("n_spikes"),
@@ -103,19 +127,23 @@ def shifted_curves(frames: DataFrame, unit: str, heading: str, duration: str, or
 def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, order: list[str],
                     n_bins: int = 36, sigma_deg: float = 10.0, n_shuffles: int = 500,
                     min_shift: float = 20.0, alpha: float = 0.01, seed: int = 0,
-                    min_peak_rate: float = 0.0, per_second: float = 1.0) -> tuple[DataFrame, DataFrame]:
+                    min_peak_rate: float = 0.0, per_second: float = 1.0,
+                    shifts: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Vector length of each unit against circularly shifted spikes.
 
-    Returns the statistics per unit, and the null vector lengths per unit and
-    shuffle. `min_shift` is in seconds; `per_second` is the number of duration
-    units in one. The number of frames and their mean length size the draws.
+    Returns the statistics per unit, and the null curves per unit, shuffle and
+    bin. `min_shift` is in seconds; `per_second` is the number of duration units
+    in one. The number of frames and their mean length size the draws, unless
+    `shifts` gives them.
     """
     row = frames.agg(F.count("*").alias("n"), F.avg(duration).alias("mean")).first()
     n, mean = int(row["n"]), float(row["mean"]) / per_second
     least = round(min_shift / mean)
     if 2 * least >= n:
         raise ValueError(f"min_shift={min_shift} leaves no room to shift {n * mean:.1f} s")
-    shifts = draw_shifts(n_shuffles, least, n - least, seed)
+    if shifts is None:
+        shifts = draw_shifts(n_shuffles, least, n - least, seed)
+    n_shuffles = len(shifts)
     counts = tuning_counts(frames, unit, heading, duration, n_bins)
     curves = occupancy_normalized_rate(counts, [unit], n_bins, sigma_deg, per_second)
     stats = mean_vector(curves, [unit], n_bins)
@@ -135,7 +163,7 @@ def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, o
         (F.col("n_spikes") / F.lit(total_s)).alias("mean_rate_hz"), "n_spikes",
         F.coalesce(p, F.lit(1.0)).alias("p_value"), "mvl_threshold", quiet.alias("too_quiet"),
         (F.coalesce(p, F.lit(1.0)) <= alpha).alias("__sig"))
-    return out.withColumn("significant", F.col("__sig") & ~F.col("too_quiet")).drop("__sig"), null
+    return out.withColumn("significant", F.col("__sig") & ~F.col("too_quiet")).drop("__sig"), null_curves
 
 
 def null_band(null_curves: DataFrame, unit: str, percentiles=(2.5, 50.0, 97.5)) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["masks"]
+MODULES = ["masks", "tuning", "angles"]
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
