@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_sync_label
-from .joins import nearest_site
+from .joins import near_sites
 from .scan import number_rows
 
 
@@ -24,17 +24,14 @@ def align_channels_by_location(sites: DataFrame, recording: str, channel: str, r
     there. ``one_to_one`` is false where two sites fell on one channel.
     """
     ref = sites.where(F.col(recording) == reference).select(F.col(channel).alias("site"), x, y)
-    # for each reference site the nearest channel of every recording
-    others = sites.select(recording, channel, x, y)
-    found = nearest_site(
-        others.select(recording, channel, x, y).withColumn("__id", F.struct(recording, channel)),
-        ref, [recording, channel], x, y, "site", tolerance)
-    best = found.groupBy(recording, "site").agg(
-        F.min(F.struct("distance", channel)).alias("__b"), F.count("*").cast("bigint").alias("n_near"))
+    hits = near_sites(sites.select(recording, channel, x, y), ref, x, y, "site", tolerance)
+    best = hits.groupBy(recording, "site").agg(F.min(F.struct("distance", channel)).alias("__b"))
+    best = best.select(recording, "site", F.col("__b")[channel].alias(channel), F.col("__b.distance").alias("residual"))
     n = sites.select(recording).distinct().agg(F.count("*").alias("n")).scalar()
     common = best.groupBy("site").agg(F.count("*").alias("__n")).where(F.col("__n") == n).select("site")
     kept = best.join(common, "site", "left_semi")
-    return kept.select(recording, "site", F.col("__b")[channel].alias(channel), F.col("__b.distance").alias("residual"))
+    shared = kept.groupBy(recording, channel).agg((F.count("*") == 1).alias("one_to_one"))
+    return kept.join(shared, [recording, channel])
 
 
 def check_gain_consistency(channels: DataFrame, recording: str, channel: str, reference, columns: list[str],

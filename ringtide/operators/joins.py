@@ -98,9 +98,9 @@ def overlap_join(a: DataFrame, b: DataFrame, by: list[str], a_start: str, a_stop
             .where(F.col("__bucket") == F.floor(F.col("lo") / width)).drop("__bucket"))
 
 
-def nearest_site(sites: DataFrame, reference: DataFrame, key: str, x: str, y: str,
-                 ref_key: str, tolerance: float) -> DataFrame:
-    """Nearest reference site within `tolerance` of each site, through a grid of that pitch.
+def near_sites(sites: DataFrame, reference: DataFrame, x: str, y: str, ref_key: str,
+               tolerance: float) -> DataFrame:
+    """Pairs of a site and a reference site within `tolerance`, through a grid of that pitch.
 
     Only the nine neighbouring cells are looked at, so no all-pairs product arises.
     """
@@ -119,10 +119,7 @@ def nearest_site(sites: DataFrame, reference: DataFrame, key: str, x: str, y: st
          }).drop("__n"))
     d = F.sqrt((F.col(x) - F.col("__rx")) ** 2 + (F.col(y) - F.col("__ry")) ** 2)
     hits = a.join(r, ["__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= tolerance)
-    keys = [key] if isinstance(key, str) else list(key)
-    best = F.min(F.struct("distance", ref_key)).alias("__best")
-    return hits.groupBy(*keys).agg(best).select(
-        *keys, F.col("__best")[ref_key].alias(ref_key), F.col("__best.distance").alias("distance"))
+    return hits.drop("__cx", "__cy", "__rx", "__ry")
 
 
 def pick(*columns) -> Column:
