@@ -34,7 +34,7 @@ def map_blocks(df: DataFrame, keys: list[str], index: str, block: int, halo: int
     """Call ``work(key, rows, start, stop)`` on each block, whose core is ``start <= index < stop``."""
     size = int(block)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(key[-1]) * size
         return work(key[:-1], pdf, start, start + size)
 
@@ -81,7 +81,7 @@ def smoothed_rates(bins: DataFrame, keys: list[str], index: str, counts: str, du
         y = filter_rows(x, kernel)
         core = pdf[pdf["__core"]]
         out = core[[*keys, index]].copy()
-        out["rates"] = list(y[core[index].to_numpy() - lo])
+        out["rates"] = pd.Series(list(y[core[index].to_numpy() - lo]), index=out.index, dtype=object)
         return out
 
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, index]) + ", rates array<double>"

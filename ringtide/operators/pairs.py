@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import cut_lineage
 from .blocks import dense, filter_rows, map_blocks, smoothed_rates
 from .quantiles import average_rank, finite
 
@@ -95,7 +96,8 @@ def pairwise_correlations(bins: DataFrame, keys: list[str], index: str, counts:
         core = slice(max_lag, max_lag + stop - start)
         return x[core].T @ x[core], x[core].T @ y[core]
 
-    sums = _sum_blocks(kept, keys, index, block, max_lag, work)
+    # units squared rows, read several times below: computed once
+    sums = cut_lineage(_sum_blocks(kept, keys, index, block, max_lag, work))
     return _centred_correlations(sums, keys)
 
 
@@ -147,7 +149,10 @@ def pair_correlogram(bins: DataFrame, keys: list[str], index: str, a: str, b: st
     sums = met.groupBy(*keys, "lag").agg(
         F.count("*").cast("bigint").alias("n_pairs"), F.sum(F.col("__a") * F.col("__b")).alias("ab"),
         F.sum("__a").alias("sa"), F.sum("__b").alias("sb"))
-    out = sums.join(stats, keys) if keys else sums.crossJoin(F.broadcast(stats))
+    if keys:
+        out = sums.join(stats, keys)
+    else:
+        out = sums.withColumns({c: stats.select(c).scalar() for c in stats.columns})
     cov = F.col("ab") - F.col("__mb") * F.col("sa") - F.col("__ma") * F.col("sb") + F.col("n_pairs") * F.col("__ma") * F.col("__mb")
     scale = F.col("__sa") * F.col("__sb")
     return out.select(*keys, F.col("lag").cast("bigint").alias("lag"), "n_pairs", F.when(scale > 0, cov / F.col("n_pairs") / scale).alias("r"))
@@ -203,6 +208,35 @@ def binned_mean(df: DataFrame, keys: list[str], x: str, y: str, low: float, widt
     return out.withColumn("centre", low + (F.col("bin") + 0.5) * width)
 
 
+def ring_vs_tuning_table(screen: DataFrame, ring: DataFrame, stats: DataFrame, min_coupling: float = 0.5) -> DataFrame:
+    """Every candidate unit with its screen, its place on the ring and its measured tuning.
+
+    `screen` has ``unit, status, partner_snr``; `ring` ``unit, angle_deg, radius,
+    coupling``; `stats` ``unit, preferred_deg, mvl, significant``. A unit without
+    a direction is not tuned, one off the ring is no member.
+    """
+    out = screen.join(stats, "unit", "left").join(ring, "unit", "left")
+    tuned = F.coalesce(F.col("significant"), F.lit(False)) & F.col("preferred_deg").isNotNull()
+    return out.withColumns({"tuned": tuned, "member": F.coalesce(F.col("coupling") >= min_coupling, F.lit(False))}).drop("significant")
+
+
+def difference_curve(pairs: DataFrame, directions: DataFrame, width: float = 15.0) -> DataFrame:
+    """Mean pair score by the absolute difference of preferred directions, pairs counted once."""
+    from ..functions.angles import circular_difference
+
+    a = directions.select(F.col("unit").alias("i"), F.col("preferred_deg").alias("__a"))
+    b = directions.select(F.col("unit").alias("j"), F.col("preferred_deg").alias("__b"))
+    both = pairs.where("i < j").join(a, "i").join(b, "j")
+    both = both.withColumn("difference", F.round(F.abs(circular_difference(F.col("__a"), F.col("__b"))), 9))
+    return binned_mean(both, [], "difference", "corr_z", 0.0, width, int(180 / width), clip=True)
+
+
+def crosstab(table: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
+    """Counts of `rows` by the given values of `columns`, in their order."""
+    counted = table.groupBy(rows).pivot(columns, values).agg(F.count("*").cast("bigint"))
+    return counted.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(str(v)) for v in values])
+
+
 def structure_test(pairs_x: DataFrame, pairs_y: DataFrame, units: DataFrame, orders: list[list[int]]) -> tuple[DataFrame, DataFrame]:
     """Correlation of two pair tables over ``i < j``, observed and with the units of one permuted.
 

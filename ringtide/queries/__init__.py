@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["masks", "tuning", "angles", "matching", "recordings"]
+MODULES = ["masks", "tuning", "angles", "matching", "recordings", "population"]
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
