@@ -233,7 +233,7 @@ def difference_curve(pairs: DataFrame, directions: DataFrame, width: float = 15.
 
 def crosstab(table: DataFrame, rows: str, columns: str, values: list) -> DataFrame:
     """Counts of `rows` by the given values of `columns`, in their order."""
-    counted = table.groupBy(rows).pivot(columns, values).agg(F.count("*").cast("bigint"))
+    counted = table.groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1)))
     return counted.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("bigint").alias(str(v)) for v in values])
 
 
