@@ -49,7 +49,7 @@ def _(spark, sf):
 
 
 @query("calibrate_head_frame", f"""WITH {QUATERNIONS}, {weight_sql('w1', 31, 3, 1)}, n AS (SELECT count(*) AS n FROM qu), qc AS (SELECT qu.*, least(greatest(frame, 15), n - 16) AS c FROM qu, n),
-v AS (SELECT f.frame, sum(w * q.px) AS vx, sum(w * q.pz) AS vz FROM qc f JOIN qc q ON q.frame BETWEEN f.c - 15 AND f.c + 15 JOIN w1 ON d = f.frame - f.c AND k = q.frame - f.c GROUP BY 1),
+v AS (SELECT f.frame, sum(w1.w * q.px) AS vx, sum(w1.w * q.pz) AS vz FROM qc f JOIN qc q ON q.frame BETWEEN f.c - 15 AND f.c + 15 JOIN w1 ON d = f.frame - f.c AND k = q.frame - f.c GROUP BY 1),
 m AS (SELECT qu.frame, sqrt(vx*vx+vz*vz) AS g, vx/sqrt(vx*vx+vz*vz) AS tx, vz/sqrt(vx*vx+vz*vz) AS tz, 1-2*(y*y+z*z) AS xx, 2*(x*y+z*w) AS xy, 2*(x*z-y*w) AS xz, 2*(x*y-z*w) AS yx, 1-2*(x*x+z*z) AS yy, 2*(y*z+x*w) AS yz, 2*(x*z+y*w) AS zx, 2*(y*z-x*w) AS zy, 1-2*(x*x+y*y) AS zz FROM qu JOIN v ON v.frame = qu.frame),
 s AS (SELECT avg(xy) AS ux, avg(yy) AS uy, avg(zy) AS uz, sum(xx*tx+xz*tz) FILTER (g > 0.3) AS fx, sum(yx*tx+yz*tz) FILTER (g > 0.3) AS fy, sum(zx*tx+zz*tz) FILTER (g > 0.3) AS fz, count(*) FILTER (g > 0.3) AS n FROM m),
 u AS (SELECT n, ux/sqrt(ux*ux+uy*uy+uz*uz) AS ux, uy/sqrt(ux*ux+uy*uy+uz*uz) AS uy, uz/sqrt(ux*ux+uy*uy+uz*uz) AS uz, fx/sqrt(fx*fx+fy*fy+fz*fz) AS fx, fy/sqrt(fx*fx+fy*fy+fz*fz) AS fy, fz/sqrt(fx*fx+fy*fy+fz*fz) AS fz FROM s),
