@@ -193,13 +193,15 @@ def with_halo(df: DataFrame, index: str, block: int, halo: int) -> DataFrame:
 
 
 def centred(df: DataFrame, keys: list[str], index: str, halo: int,
-            columns: dict, block: int | None = None) -> DataFrame:
+            columns: dict, block: int | None = None, reach: tuple[int, int] | None = None) -> DataFrame:
     """Evaluate windowed columns over ``index-halo .. index+halo`` of a sparse grid.
 
-    `columns` maps a new name to a function of a window spec.
+    `columns` maps a new name to a function of a window spec; `reach` narrows the
+    window to one that is not symmetric.
     """
+    low, high = reach or (-halo, halo)
     block = block or max(4096, 8 * halo)
     work = with_halo(df, index, block, halo)
-    spec = W.partitionBy(*keys, "__block").orderBy(F.col(index).cast("bigint")).rangeBetween(-halo, halo)
+    spec = W.partitionBy(*keys, "__block").orderBy(F.col(index).cast("bigint")).rangeBetween(low, high)
     work = work.withColumns({name: make(spec) for name, make in columns.items()})
     return work.where("__core").drop("__block", "__core")
