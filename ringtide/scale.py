@@ -16,15 +16,22 @@ DEFAULT_CHUNK_BYTES = 128 << 20
 MAX_CHUNKS = 4096
 
 
+def _leaf_bytes(leaf) -> int:
+    """Size of one source of a plan; a checkpoint or local list has no statistics and is counted."""
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        return int(leaf.rdd().count()) * int(leaf.schema().defaultSize())
+    return int(str(leaf.stats().sizeInBytes()))
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the rows' size; no job is run.
+    """Catalyst's estimate of the rows' size, held to four times what the plan reads.
 
-    Without column statistics a join is estimated as the product of its sides,
-    so the estimate is held to four times what the plan reads.
+    Without column statistics a join is estimated as the product of its sides.
+    No job is run, except to count the rows of checkpoints.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    read = sum(_leaf_bytes(leaves.apply(i)) for i in range(leaves.size()))
     return min(int(str(plan.stats().sizeInBytes())), 4 * read)
 
 
