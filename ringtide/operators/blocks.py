@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .scan import with_halo
 
 
+MATRICES_HELD = 64  # products of different keys a task keeps before passing them on
+
+
 def block_rows(df: DataFrame, index: str, block: int, halo: int) -> DataFrame:
     """Rows copied to every block whose halo reaches them."""
     return with_halo(df, index, block, halo)
@@ -97,6 +100,13 @@ def gram(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
+    def emit(sums):
+        for key, s in sums.items():
+            out = pd.DataFrame({k: [v] * len(s) for k, v in zip(keys, key)}, index=range(len(s)))
+            out["i"] = np.arange(len(s), dtype=np.int64)
+            out["row"] = list(s)
+            yield out
+
     def partial(frames):
         sums: dict = {}
         for pdf in frames:
@@ -106,11 +116,10 @@ def gram(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
                 y = np.stack(part["__b"].to_numpy())
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums[key] + x.T @ y if key in sums else x.T @ y
-        for key, s in sums.items():
-            out = pd.DataFrame({k: [v] * len(s) for k, v in zip(keys, key)}, index=range(len(s)))
-            out["i"] = np.arange(len(s), dtype=np.int64)
-            out["row"] = list(s)
-            yield out
+            if len(sums) > MATRICES_HELD:  # partial sums may be handed on at any time
+                yield from emit(sums)
+                sums = {}
+        yield from emit(sums)
 
     schema = "".join(f"{k} {types[k]}, " for k in keys) + "i bigint, row array<double>"
     pieces = df.select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b")).mapInPandas(partial, schema)

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import number_rows
+
 # Each tool's label with a quality equivalent.
 TO_QUALITY = {
     "GOOD": "good", "MUA": "MUA", "NOISE": "noise", "good": "good", "noise": "noise", "sua": "good", "mua": "MUA",
@@ -57,8 +59,8 @@ def final_unit_labels(calls: DataFrame) -> DataFrame:
 
 
 def merge_groups(members: DataFrame) -> DataFrame:
-    """Groups as sorted member lists. A merge group is the units taken for one neuron."""
-    return members.groupBy("group_id").agg(F.sort_array(F.collect_list("unit_id")).alias("members"))
+    """Members of each merge group in order, one row each with its place in the group."""
+    return number_rows(members.select("group_id", "unit_id"), ["group_id"], ["unit_id"], "position")
 
 
 def scored_partners(members: DataFrame, scores: DataFrame) -> DataFrame:

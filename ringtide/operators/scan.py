@@ -9,6 +9,7 @@ window gives.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -66,34 +67,72 @@ def position() -> Spec:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Where an order column is cut; shared by the scans of one operator."""
+    """Where an order is cut; shared by the scans of one operator.
+
+    `points` cut the leading column. A value that fills whole chunks by itself
+    is in `ties` with the points that cut its rows by the second column.
+    """
 
     points: tuple[float, ...] = ()
+    ties: tuple[tuple[float, tuple[float, ...]], ...] = ()
+
+
+def _quantile_points(df: DataFrame, column: str, n: int) -> list[float]:
+    return (
+        df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+        .approxQuantile("x", [i / n for i in range(1, n)], min(0.05, 0.25 / n))
+    )
 
 
-def plan_cuts(df: DataFrame, order: str, chunks: int | Cuts | None = None) -> Cuts:
-    """Cut points along `order`; one quantile-sketch job, and only when there is enough to cut."""
+def _is_numeric(df: DataFrame, column: str) -> bool:
+    kind = df.schema[column].dataType.simpleString()
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+
+
+def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None = None) -> Cuts:
+    """Cut points along `order`; quantile-sketch jobs, and only when there is enough to cut."""
     if isinstance(chunks, Cuts):
         return chunks
+    order = [order] if isinstance(order, str) else list(order)
     n = chunk_count(df, chunks)
     if n <= 1:
         return Cuts()
-    values = (
-        df.select(F.col(order).cast("double").alias("x"))
-        .where(F.col("x").isNotNull())
-        .approxQuantile("x", [i / n for i in range(1, n)], min(0.05, 0.25 / n))
-    )
-    return Cuts(tuple(sorted(set(values))))
-
-
-def with_chunks(df: DataFrame, order: str, cuts: Cuts) -> tuple[DataFrame, int]:
+    found = _quantile_points(df, order[0], n)
+    points, ties = set(found), []
+    if len(order) > 1 and _is_numeric(df, order[1]):
+        for value in sorted(points):
+            share = found.count(value)
+            if share > 1:  # the value spans several chunks: give it its own and cut it further
+                same = df.where(F.col(order[0]).cast("double") == value)
+                ties.append((value, tuple(sorted(set(_quantile_points(same, order[1], share + 1))))))
+                points.add(math.nextafter(value, math.inf))
+    return Cuts(tuple(sorted(points)), tuple(ties))
+
+
+def _bucket(df: DataFrame, column: str, points: tuple[float, ...], name: str) -> DataFrame:
+    splits = [float("-inf"), *points, float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol="__order", outputCol=name, handleInvalid="keep")
+    out = cutter.transform(df.withColumn("__order", F.col(column).cast("double")))
+    return out.withColumn(name, F.col(name).cast("int")).drop("__order")
+
+
+def with_chunks(df: DataFrame, order: str | list[str], cuts: Cuts) -> tuple[DataFrame, int]:
     """Add the chunk number of each row along `order`."""
     if not cuts.points:
         return df.withColumn(CHUNK, F.lit(0)), 1
-    splits = [float("-inf"), *cuts.points, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="__order", outputCol=CHUNK, handleInvalid="keep")
-    out = cutter.transform(df.withColumn("__order", F.col(order).cast("double")))
-    return out.withColumn(CHUNK, F.col(CHUNK).cast("int")).drop("__order"), len(splits) - 1
+    order = [order] if isinstance(order, str) else list(order)
+    out = _bucket(df, order[0], cuts.points, CHUNK)
+    width = 1
+    if cuts.ties:
+        width = max(len(p) for _, p in cuts.ties) + 1
+        inner = F.lit(0)
+        for i, (value, points) in enumerate(cuts.ties):
+            if points:
+                out = _bucket(out, order[1], points, f"__tie_{i}")
+                inner = F.when(F.col(order[0]).cast("double") == value, F.col(f"__tie_{i}")).otherwise(inner)
+        out = out.withColumn(CHUNK, F.col(CHUNK) * width + inner)
+        out = out.drop(*[f"__tie_{i}" for i in range(len(cuts.ties))])
+    return out, (len(cuts.points) + 1) * width
 
 
 def scan(
@@ -106,7 +145,7 @@ def scan(
     """Add ordered columns to `df`; `order` must order the rows of a key totally."""
     temporary = {f"__in_{i}": s.expr for i, s in enumerate(specs.values()) if s.expr is not None}
     work = df.withColumns({k: v for k, v in temporary.items()})
-    work, n = with_chunks(work, order[0], plan_cuts(df, order[0], chunks))
+    work, n = with_chunks(work, order, plan_cuts(df, order, chunks))
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     onward = inside.rowsBetween(0, W.unboundedFollowing)

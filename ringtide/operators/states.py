@@ -37,13 +37,10 @@ def classify_states(broadband, theta, emg, broadband_cut, theta_cut, emg_cut) ->
 
 def intervals_from_states(bins: DataFrame, keys: list[str], index: str, time: str, code: str,
                           step) -> DataFrame:
-    """Map from state name to its spans, in time order, one row per key."""
+    """Spans of each known state, numbered in time order within the state."""
     epochs = state_epochs(bins, keys, index, time, code, step).withColumn("state", state_name(code))
-    epochs = epochs.where("state <> '?'")
-    spans = epochs.groupBy(*keys, "state").agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return spans.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("state", "spans"))).alias("intervals"))
+    spans = epochs.where("state <> '?'").select(*keys, "state", "start", "stop")
+    return number_rows(spans, [*keys, "state"], ["start"], "position")
 
 
 def _absorb(lengths: list[int], codes: list, minimum: int, open_start: bool, open_stop: bool) -> list:
@@ -183,7 +180,7 @@ def frame_speeds(frames: DataFrame, keys: list[str], time: str, coordinates: lis
                  max_gap: float, tie: list[str] | None = None, chunks=None) -> DataFrame:
     """Speed between consecutive usable frames; steps over more than `max_gap` get none."""
     order = [time, *(tie or [])]
-    chunks = plan_cuts(frames, time, chunks)
+    chunks = plan_cuts(frames, order, chunks)
     work = held_frames(frames, keys, order, coordinates, "held", chunks)
     usable = ~F.col("held")
     for c in coordinates:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import cut_lineage
 from .quantiles import _ALL, finite, quantiles
 from .scan import following, running_sum, scan
 
@@ -57,6 +58,15 @@ def upper_fence(df: DataFrame, keys: list[str], value: str, log: bool = False, k
     return q.select(*keys, "n_values", F.when(F.col("n_values") >= 10, fence).alias("fence"))
 
 
+BROADCAST_KEYS = 100_000  # parameter rows that still go to every task; more are joined by a shuffle
+
+
+def _settle(state: DataFrame, measure: bool = True) -> tuple[DataFrame, bool]:
+    """Cut an iteration's parameters from their history, and see whether they are few enough to broadcast."""
+    state = cut_lineage(state)
+    return state, measure and state.count() <= BROADCAST_KEYS
+
+
 def gaussian_pair(df: DataFrame, keys: list[str], value: str, iterations: int = 20) -> DataFrame:
     """Two-Gaussian mixture per key by expectation-maximisation.
 
@@ -80,35 +90,32 @@ def gaussian_pair(df: DataFrame, keys: list[str], value: str, iterations: int =
         start = q.join(s, group).withColumns({"v": F.greatest(var, F.lit(1e-12))})
         state = start.select(*group, "total", "lo", "hi", "m1", "m2",
                              F.col("v").alias("v1"), F.col("v").alias("v2"), F.lit(0.5).alias("w1"))
-        rows = [r.asDict() for r in state.collect()]  # six numbers per key
-        for _ in range(iterations):
-            params = df.sparkSession.createDataFrame(rows, state.schema)
-            joined = counted.join(params, group)
+        state, few = _settle(state)
 
-            def density(m, v):
-                return F.exp(-F.pow(F.col("x") - F.col(m), 2) / (2 * F.col(v))) / F.sqrt(F.col(v))
+        def density(m, v):
+            return F.exp(-F.pow(F.col("x") - F.col(m), 2) / (2 * F.col(v))) / F.sqrt(F.col(v))
 
-            a = F.col("w1") * density("m1", "v1")
-            b = (1 - F.col("w1")) * density("m2", "v2")
-            r = F.when(a + b > 0, a / (a + b)).otherwise(
-                F.when(F.abs(F.col("x") - F.col("m1")) <= F.abs(F.col("x") - F.col("m2")), 1.0).otherwise(0.0))
-            step = joined.withColumn("r", r)
+        a = F.col("w1") * density("m1", "v1")
+        b = (1 - F.col("w1")) * density("m2", "v2")
+        nearer = F.when(F.abs(F.col("x") - F.col("m1")) <= F.abs(F.col("x") - F.col("m2")), 1.0).otherwise(0.0)
+        r = F.when(a + b > 0, a / (a + b)).otherwise(nearer)
+        x, n = F.col("x"), F.col("n")
+        for _ in range(iterations):
+            step = counted.join(F.broadcast(state) if few else state, group).withColumn("r", r)
             sums = step.groupBy(*group).agg(
-                F.sum(F.col("n") * F.col("r")).alias("r1"),
-                F.sum(F.col("n") * F.col("r") * F.col("x")).alias("x1"),
-                F.sum(F.col("n") * F.col("r") * F.col("x") * F.col("x")).alias("xx1"),
-                F.sum(F.col("n") * (1 - F.col("r"))).alias("r2"),
-                F.sum(F.col("n") * (1 - F.col("r")) * F.col("x")).alias("x2"),
-                F.sum(F.col("n") * (1 - F.col("r")) * F.col("x") * F.col("x")).alias("xx2"))
-            found = {tuple(x[g] for g in group): x for x in sums.collect()}
-            for row in rows:
-                t = found[tuple(row[g] for g in group)]
-                for i in ("1", "2"):
-                    if t["r" + i] > 0:
-                        row["m" + i] = t["x" + i] / t["r" + i]
-                        row["v" + i] = max(t["xx" + i] / t["r" + i] - row["m" + i] ** 2, 1e-12)
-                row["w1"] = t["r1"] / row["total"]
-        return df.sparkSession.createDataFrame(rows, state.schema).drop(*([] if keys else [_ALL]))
+                *[F.first(c).alias(c) for c in ("total", "lo", "hi", "m1", "m2", "v1", "v2")],
+                F.sum(n * F.col("r")).alias("r1"), F.sum(n * F.col("r") * x).alias("x1"),
+                F.sum(n * F.col("r") * x * x).alias("xx1"), F.sum(n * (1 - F.col("r"))).alias("r2"),
+                F.sum(n * (1 - F.col("r")) * x).alias("x2"), F.sum(n * (1 - F.col("r")) * x * x).alias("xx2"))
+            new = {}
+            for i in ("1", "2"):
+                some = F.col("r" + i) > 0
+                mean = F.col("x" + i) / F.when(some, F.col("r" + i))
+                new["m" + i] = F.coalesce(mean, F.col("m" + i))
+                new["v" + i] = F.coalesce(F.greatest(F.col("xx" + i) / F.when(some, F.col("r" + i)) - mean * mean, F.lit(1e-12)), F.col("v" + i))
+            state, _ = _settle(sums.select(
+                *group, "total", "lo", "hi", *[c.alias(k) for k, c in new.items()], (F.col("r1") / F.col("total")).alias("w1")), False)
+        return state.drop(*([] if keys else [_ALL]))
     finally:
         counted.unpersist()
 
@@ -169,33 +176,23 @@ def two_level_thresholds(df: DataFrame, keys: list[str], value: str, max_iter: i
         F.count("*").alias("n")).persist()
     try:
         spans = counted.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-        rows = [r.asDict() for r in spans.collect()]  # one row per channel
-        for r in rows:
-            r["threshold"] = (r["lo"] + r["hi"]) / 2 if r["hi"] > r["lo"] else None
-            r["done"] = r["threshold"] is None
-        schema = spans.withColumn("threshold", F.lit(0.0)).schema
+        middle = F.when(F.col("hi") > F.col("lo"), (F.col("lo") + F.col("hi")) / 2)
+        state, few = _settle(spans.withColumns({"threshold": middle, "done": middle.isNull()}))
+        x, n = F.col("x"), F.col("n")
+        above = x > F.col("threshold")
         for _ in range(max_iter):
-            if all(r["done"] for r in rows):
+            if state.where("NOT done").isEmpty():
                 break
-            params = df.sparkSession.createDataFrame([{k: r[k] for k in schema.names} for r in rows], schema)
-            above = F.col("x") > F.col("threshold")
-            sums = counted.join(params, keys).groupBy(*keys).agg(
-                F.sum(F.when(above, F.col("n") * F.col("x"))).alias("sa"),
-                F.sum(F.when(above, F.col("n"))).alias("na"),
-                F.sum(F.when(~above, F.col("n") * F.col("x"))).alias("sb"),
-                F.sum(F.when(~above, F.col("n"))).alias("nb"))
-            found = {tuple(x[k] for k in keys): x for x in sums.collect()}
-            for r in rows:
-                t = found.get(tuple(r[k] for k in keys))
-                if r["done"] or not t["na"] or not t["nb"]:
-                    r["done"] = True
-                    continue
-                new = (t["sa"] / t["na"] + t["sb"] / t["nb"]) / 2
-                # at rest: the last threshold stands once a step changes it by a rounding error
-                r["done"] = abs(new - r["threshold"]) <= 1e-8 + 1e-5 * abs(r["threshold"])
-                if not r["done"]:
-                    r["threshold"] = new
-        return df.sparkSession.createDataFrame([{k: r[k] for k in schema.names} for r in rows], schema)
+            sums = counted.join(F.broadcast(state) if few else state, keys).groupBy(*keys).agg(
+                *[F.first(c).alias(c) for c in ("lo", "hi", "threshold", "done")],
+                (F.sum(F.when(above, n * x)) / F.sum(F.when(above, n))).alias("high"),
+                (F.sum(F.when(~above, n * x)) / F.sum(F.when(~above, n))).alias("low"))
+            new = (F.col("high") + F.col("low")) / 2
+            # at rest: the last threshold stands once a step changes it by a rounding error
+            still = F.abs(new - F.col("threshold")) <= 1e-8 + 1e-5 * F.abs("threshold")
+            done = F.col("done") | F.coalesce(still, F.lit(True))
+            state, _ = _settle(sums.select(*keys, "lo", "hi", F.when(done, F.col("threshold")).otherwise(new).alias("threshold"), done.alias("done")), False)
+        return state.drop("done")
     finally:
         counted.unpersist()
 

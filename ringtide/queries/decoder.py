@@ -9,6 +9,7 @@ from ..functions.angles import mean_angle, r6
 from ..operators import decoding as de
 from ..operators.circular import decoding_metrics
 from ..operators.nulls import draw_orders, judge
+from ..operators.quantiles import quantiles
 from ..operators.tuning import kernel_sql
 from ..scale import cut_lineage
 from . import bindings as b
@@ -205,8 +206,8 @@ def _(spark, sf):
     x = de.shifted_bins(binned(spark, sf), ["session"], "bin", "counts", shifts)
     null = de.decode(x, model(spark, sf), ["session", "shuffle"], "bin", "counts", "dur", "heading", F.col("n") >= 2, TRANSITION,
                      True, 1.0, 3.0, model_keys=["session"])
-    null = null.groupBy("session", "shuffle").agg(F.percentile(F.abs("error_deg"), 0.5).alias("value"))
-    seen = decoded(spark, sf).groupBy("session").agg(F.percentile(F.abs("error_deg"), 0.5).alias("value"))
+    null = quantiles(cut_lineage(null.select("session", "shuffle", F.abs("error_deg").alias("e"))), ["session", "shuffle"], "e", {"value": 0.5})
+    seen = quantiles(cut_lineage(decoded(spark, sf).select("session", F.abs("error_deg").alias("e"))), ["session"], "e", {"value": 0.5})
     return judge(null, seen, ["session"], "median_abs_error_deg")
 
 

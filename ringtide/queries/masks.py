@@ -125,13 +125,10 @@ def _(spark, sf):
 
 
 @query("intervals_from_states", _EPOCHS + """ SELECT session, CASE code WHEN 1 THEN 'WAKE' WHEN 3 THEN 'NREM' ELSE 'REM' END AS state,
- CAST(to_json(list(list_value(CAST(first_bin AS BIGINT), CAST(last_bin + 1 AS BIGINT)) ORDER BY first_bin)) AS VARCHAR) AS spans FROM ep GROUP BY session, code""")
+ CAST(start AS DOUBLE) AS start, CAST(stop AS DOUBLE) AS stop, row_number() OVER (PARTITION BY session, code ORDER BY start) - 1 AS position FROM ep""")
 def _(spark, sf):
     bins = b.state_bins(spark, sf).withColumn("t", F.col("bin") + 0.5)
-    m = states.intervals_from_states(bins, ["session"], "bin", "t", "code", 1.0)
-    rows = m.select("session", F.explode("intervals").alias("state", "spans"))
-    pairs = F.transform("spans", lambda s: F.array(s["start"].cast("bigint"), s["stop"].cast("bigint")))
-    return rows.select("session", "state", F.to_json(pairs).alias("spans"))
+    return states.intervals_from_states(bins, ["session"], "bin", "t", "code", 1.0)
 
 
 @query("conversation_epochs", """WITH d AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS ch FROM conversations),

@@ -209,10 +209,10 @@ def _(spark, sf):
         (F.col("doc_id") % 5).cast("int").alias("manual_code"), F.col("quality").alias("auto_code")))
 
 
-@query("merge_groups", """SELECT l_orderkey AS group_id, to_json(list(DISTINCT l_partkey ORDER BY l_partkey))::VARCHAR AS members FROM lineitem GROUP BY 1""")
+@query("merge_groups", """SELECT l_orderkey AS group_id, l_partkey AS unit_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS position FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)""")
 def _(spark, sf):
     m = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("unit_id")).distinct()
-    return cu.merge_groups(m).select("group_id", F.to_json("members").alias("members"))
+    return cu.merge_groups(m)
 
 
 _SCORES = """ps AS (SELECT l_partkey AS i, l_suppkey AS j, max(l_discount) AS score FROM lineitem GROUP BY 1, 2),

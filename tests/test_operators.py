@@ -9,8 +9,8 @@ from pyspark.sql.window import Window as W
 from ringtide.operators import decoding as de
 from ringtide.operators import lfp, matching, pairs, ring, states
 from ringtide.operators.joins import asof_join
-from ringtide.operators.scan import (following, last_valid, next_valid, position, previous, running_max, running_sum,
-                                     scan)
+from ringtide.operators.scan import (following, last_valid, next_valid, plan_cuts, position, previous, running_max,
+                                     running_sum, scan, with_chunks)
 from ringtide.operators.thresholds import find_bimodal_threshold
 from ringtide.plans.ring_session import fit_ring
 
@@ -52,6 +52,19 @@ def test_asof_join(spark, chunks):
         assert (pd.isna(row.rt) and earlier.empty) or row.rt == earlier.max()
 
 
+def test_scan_cuts_ties_by_the_next_column(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(a), int(b)) for a, b in zip(np.where(rng.random(4000) < 0.5, 7, rng.integers(0, 50, 4000)), rng.permutation(4000))]
+    df = spark.createDataFrame(rows, "t bigint, u bigint")
+    cuts = plan_cuts(df, ["t", "u"], 8)
+    assert cuts.ties
+    marked, _n = with_chunks(df, ["t", "u"], cuts)
+    assert max(r["count"] for r in marked.groupBy("__chunk").count().collect()) < 1200
+    got = scan(df, [], ["t", "u"], {"i": position()}, cuts).orderBy("i").toPandas()
+    want = sorted(rows)
+    assert list(zip(got.t, got.u)) == want and got.i.tolist() == list(range(4000))
+
+
 def _shortest_first(codes, minimum):
     codes = list(codes)
     while True:
@@ -87,7 +100,7 @@ def test_enforce_min_duration(spark, seed):
 
 def test_select_partners_is_the_greedy_walk(spark):
     rng = np.random.default_rng(3)
-    rows = [(0, int(a), int(b), float(p)) for a in range(30) for b in range(20) if (p := rng.random().round(2)) > 0.6]
+    rows = [(0, int(a), int(b), float(p)) for a in range(30) for b in range(20) if (p := round(rng.random(), 2)) > 0.6]
     c = spark.createDataFrame(rows, "recording int, ref_unit bigint, other_unit bigint, p_avg double")
     c = matching.with_candidate_counts(c, ["recording"])
     got = matching.select_partners(c, ["recording"]).toPandas()
