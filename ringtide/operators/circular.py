@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.angles import (circular_difference, heading_bin, length, mean_angle, resultant_length,
@@ -21,18 +21,37 @@ def circular_mean(df: DataFrame, keys: list[str], angle: str) -> DataFrame:
         F.count(angle).cast("bigint").alias("n"))
 
 
+def _trig_sums(a: Column, b: Column) -> dict[str, Column]:
+    """Sums from which the correlation about the mean directions follows without a second pass."""
+    x, y = F.radians(a), F.radians(b)
+    sa, ca, sb, cb = F.sin(x), F.cos(x), F.sin(y), F.cos(y)
+    return {
+        "__sa": F.sum(sa), "__ca": F.sum(ca), "__sb": F.sum(sb), "__cb": F.sum(cb),
+        "__sasb": F.sum(sa * sb), "__sacb": F.sum(sa * cb), "__casb": F.sum(ca * sb), "__cacb": F.sum(ca * cb),
+        "__sasa": F.sum(sa * sa), "__saca": F.sum(sa * ca), "__caca": F.sum(ca * ca),
+        "__sbsb": F.sum(sb * sb), "__sbcb": F.sum(sb * cb), "__cbcb": F.sum(cb * cb)}
+
+
+def _correlation_of(sums_a: str = "__ma", sums_b: str = "__mb") -> Column:
+    """Correlation of sin(a - mean a) and sin(b - mean b) from the sums and the mean directions."""
+    ka, la = F.cos(F.col(sums_a)), F.sin(F.col(sums_a))
+    kb, lb = F.cos(F.col(sums_b)), F.sin(F.col(sums_b))
+    ab = F.col("__sasb") * ka * kb - F.col("__sacb") * ka * lb - F.col("__casb") * la * kb + F.col("__cacb") * la * lb
+    aa = F.col("__sasa") * ka * ka - 2 * F.col("__saca") * ka * la + F.col("__caca") * la * la
+    bb = F.col("__sbsb") * kb * kb - 2 * F.col("__sbcb") * kb * lb + F.col("__cbcb") * lb * lb
+    scale = F.sqrt(aa * bb)
+    return F.when(scale > 0, ab / scale)
+
+
+def _with_means(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({"__ma": F.atan2("__sa", "__ca"), "__mb": F.atan2("__sb", "__cb")})
+
+
 def circular_correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Correlation of the sines about each variable's mean direction."""
-    work, group = _grouped(df.where(finite(a) & finite(b)), keys)
-    means = work.groupBy(*group).agg(mean_angle(a).alias("__ma"), mean_angle(b).alias("__mb"))
-    both = work.join(means, group)
-    sa = F.sin(F.radians(F.col(a) - F.col("__ma")))
-    sb = F.sin(F.radians(F.col(b) - F.col("__mb")))
-    out = both.groupBy(*group).agg(
-        F.sum(sa * sb).alias("__ab"), F.sum(sa * sa).alias("__aa"), F.sum(sb * sb).alias("__bb"),
-        F.count("*").cast("bigint").alias("n"))
-    scale = F.sqrt(F.col("__aa") * F.col("__bb"))
-    return out.select(*keys, "n", F.when(scale > 0, F.col("__ab") / scale).alias("r"))
+    """Correlation of the sines about each variable's mean direction, in one aggregate."""
+    sums = df.where(finite(a) & finite(b)).groupBy(*keys).agg(
+        *[c.alias(n) for n, c in _trig_sums(F.col(a), F.col(b)).items()], F.count("*").cast("bigint").alias("n"))
+    return _with_means(sums).select(*keys, "n", _correlation_of().alias("r"))
 
 
 def circular_r(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -54,26 +73,35 @@ def circular_r(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 def decoding_metrics(decoded: DataFrame, keys: list[str], decoded_deg: str, actual_deg: str,
                      tolerance: float = 30.0) -> DataFrame:
-    """Size, tail, correlation and constant offset of the decoding error, per key."""
+    """Size, tail, correlation and constant offset of the decoding error, per key.
+
+    One aggregate gives everything but the quantiles and what needs the offset;
+    a second pass ranks raw and corrected errors together.
+    """
     work, group = _grouped(decoded, keys)
     work = work.withColumn("__e", circular_difference(F.col(decoded_deg), F.col(actual_deg)))
-    work = work.where(finite("__e")).withColumn("__abs", F.abs("__e"))
+    work = work.where(finite("__e"))
+    size = F.abs("__e")
     base = work.groupBy(*group).agg(
-        F.avg("__abs").alias("mean_abs_error_deg"),
-        F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse_deg"),
-        F.avg((F.col("__abs") <= tolerance).cast("double")).alias("frac_within_deg"),
-        mean_angle("__e").alias("__o"), F.count("*").cast("bigint").alias("n_bins"))
-    base = base.withColumn("offset_deg", circular_difference(F.col("__o"), F.lit(0.0))).drop("__o")
-    shifted = work.join(base.select(*group, "offset_deg"), group)
-    shifted = shifted.withColumn("__c", F.abs(circular_difference(F.col("__e"), F.col("offset_deg"))))
-    within = shifted.groupBy(*group).agg(
-        F.avg((F.col("__c") <= tolerance).cast("double")).alias("frac_within_corrected_deg"))
-    raw = quantiles(work, group, "__abs", {
-        "median_abs_error_deg": 0.5, "q25_abs_error_deg": 0.25, "q75_abs_error_deg": 0.75}).drop("n_values")
-    fixed = quantiles(shifted, group, "__c", {"median_abs_error_corrected_deg": 0.5}).drop("n_values")
-    corr = circular_correlation(work, group, decoded_deg, actual_deg).select(
-        *group, F.col("r").alias("circular_correlation"))
-    out = base.join(raw, group).join(fixed, group).join(within, group).join(corr, group)
+        F.avg(size).alias("mean_abs_error_deg"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse_deg"),
+        F.avg((size <= tolerance).cast("double")).alias("frac_within_deg"), mean_angle("__e").alias("__o"),
+        F.count("*").cast("bigint").alias("n_bins"),
+        *[c.alias(n) for n, c in _trig_sums(F.col(decoded_deg), F.col(actual_deg)).items()])
+    base = _with_means(base).withColumns({
+        "offset_deg": circular_difference(F.col("__o"), F.lit(0.0)), "circular_correlation": _correlation_of()})
+    base = base.select(*group, "mean_abs_error_deg", "rmse_deg", "frac_within_deg", "n_bins", "offset_deg", "circular_correlation")
+    both = work.select(*group, "__e").join(base.select(*group, "offset_deg"), group)
+    corrected = F.abs(circular_difference(F.col("__e"), F.col("offset_deg")))
+    kinds = F.explode(F.array(F.struct(F.lit("raw").alias("k"), size.alias("v")), F.struct(F.lit("corrected").alias("k"), corrected.alias("v"))))
+    stacked = both.select(*group, kinds.alias("__x")).select(*group, F.col("__x.k").alias("__kind"), F.col("__x.v").alias("__v"))
+    ranked = quantiles(stacked, [*group, "__kind"], "__v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    raw = F.col("__kind") == "raw"
+    wide = ranked.groupBy(*group).agg(
+        F.max(F.when(raw, F.col("q50"))).alias("median_abs_error_deg"),
+        F.max(F.when(raw, F.col("q25"))).alias("q25_abs_error_deg"), F.max(F.when(raw, F.col("q75"))).alias("q75_abs_error_deg"),
+        F.max(F.when(~raw, F.col("q50"))).alias("median_abs_error_corrected_deg"))
+    within = both.groupBy(*group).agg(F.avg((corrected <= tolerance).cast("double")).alias("frac_within_corrected_deg"))
+    out = base.join(wide, group).join(within, group)
     return out.select(
         *keys, "median_abs_error_deg", "mean_abs_error_deg", "rmse_deg", "frac_within_deg",
         F.lit(float(tolerance)).alias("tolerance_deg"), "circular_correlation", "offset_deg",
