@@ -108,3 +108,22 @@ def sync_clock_problem(samples: DataFrame, keys: list[str], frame: str, time: st
                .when(F.col("__last") <= F.col("__first"), "does not advance")
                .when(F.col("__stalled"), "not increasing"))
     return out.select(*keys, problem.alias("problem"))
+
+
+def synced_times(samples: DataFrame, stamps: DataFrame, keys: list[str], frame: str, fs: float, require: bool = False) -> DataFrame:
+    """Samples with their acquisition time, or frame over rate where the clock does not hold up.
+
+    A clock counts for a recording if it has one stamp per sample and none of
+    the faults :func:`sync_clock_problem` names; `require` refuses the others
+    when their rows are read.
+    """
+    faults = sync_clock_problem(stamps, keys, frame, "t")
+    sizes = samples.groupBy(*keys).agg(F.count("*").alias("__n")).join(
+        stamps.groupBy(*keys).agg(F.count("*").alias("__m")), keys, "left").join(faults, keys, "left")
+    good = F.coalesce((F.col("__n") == F.col("__m")) & F.col("problem").isNull(), F.lit(False))
+    if require:
+        good = F.when(F.assert_true(good, F.lit("the acquisition clock is not usable")).isNull(), good)
+    judged = sizes.select(*keys, good.alias("synced"))
+    joined = samples.join(judged, keys).join(stamps.select(*keys, frame, F.col("t").alias("__t")), [*keys, frame], "left")
+    t = F.when(F.col("synced"), F.col("__t")).otherwise(F.col(frame) / F.lit(float(fs)))
+    return joined.withColumn("t", t).drop("__t")

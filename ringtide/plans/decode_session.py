@@ -66,3 +66,23 @@ def run_decoder(bins: DataFrame, keys: list[str], index: str, counts: str, durat
         none = F.lit(None).cast("double")
         parts.append(judged.join(size, keys).withColumns({"frac_within_deg": none, "offset_deg": none, "state": F.lit(name)}))
     return reduce(DataFrame.unionByName, parts)
+
+
+def apply_decoder(model: DataFrame, unit_map: DataFrame, bins: DataFrame, keys: list[str], index: str, counts: str,
+                  duration: str, heading: str, mask: Column, n_angle_bins: int, variance_deg2: float = 2.0,
+                  acausal: bool = True, max_gap=1.0, min_run=1.0) -> DataFrame:
+    """Read another recording with a baseline's model through the units matched to it.
+
+    `model` is one baseline's ``unit, angle_bin, rate_hz``; `unit_map` gives, per
+    recording, the position ``unit`` in its counts and the baseline's ``ref_unit``.
+    Positions without a partner carry no evidence: they get a flat curve.
+    """
+    curves = model.select(F.col("unit").alias("ref_unit"), "angle_bin", "rate_hz")
+    mapped = unit_map.join(curves, "ref_unit").select(*keys, "unit", "angle_bin", "rate_hz")
+    slots = bins.groupBy(*keys).agg(F.max(F.size(counts)).alias("__n"))
+    unit = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n").cast("bigint") - 1))
+    grid = slots.select(*keys, unit.alias("unit"))
+    grid = grid.withColumn("angle_bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_angle_bins - 1).cast("bigint"))))
+    full = grid.join(mapped, [*keys, "unit", "angle_bin"], "left").withColumn("rate_hz", F.coalesce("rate_hz", F.lit(1.0)))
+    return decode(bins, full, keys, index, counts, duration, heading, mask, ring_transition(n_angle_bins, variance_deg2),
+                  acausal, max_gap, min_run)

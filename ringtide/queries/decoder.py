@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.angles import mean_angle, r6
+from ..functions.angles import heading_bin, mean_angle, r6
 from ..operators import decoding as de
 from ..operators.circular import decoding_metrics
 from ..operators.nulls import draw_orders, judge
@@ -117,13 +117,16 @@ def _(spark, sf):
         r6(F.sum(F.col("k") * F.log("rate_hz") - F.col("dur") * F.col("rate_hz")), 5).alias("log_likelihood"))
 
 
-@query("ring_transition", "SELECT i.range AS i, j.range AS j, round(CASE WHEN t.w IS NULL THEN 0 ELSE t.w END, 9) + 0.0 AS p, n_frames FROM range({n}) i, range({n}) j LEFT JOIN (VALUES {v}) t(d, w) ON t.d = (j.range - i.range + {n}) % {n}, (SELECT count(*) AS n_frames FROM events) f".format(
-    n=ANGLES, v=", ".join(f"({d}, {float(w)!r}::DOUBLE)" for d, w in enumerate(TRANSITION[0]))))
+@query("ring_transition", f"""WITH {BINNED}, oc AS (SELECT session, ab, count(*) AS n FROM bh GROUP BY 1, 2), tr(d, w) AS (VALUES {', '.join(f'({d}, {float(w)!r}::DOUBLE)' for d, w in enumerate(TRANSITION[0]))})
+SELECT session, CAST((ab + d) % {ANGLES} AS BIGINT) AS angle_bin, round(sum(n * w), 6) AS expected FROM oc, tr GROUP BY 1, 2""")
 def _(spark, sf):
-    n = b.table(spark, sf, "events").agg(F.count("*").alias("n")).scalar()
-    rows = [(i, j, float(TRANSITION[i, j])) for i in range(ANGLES) for j in range(ANGLES)]
-    t = spark.createDataFrame(rows, "i bigint, j bigint, p double")
-    return t.select("i", "j", r6("p", 9).alias("p"), n.alias("n_frames"))
+    """Where each session's headings are expected one bin later, by the walk's transition matrix."""
+    x = binned(spark, sf).withColumn("a", heading_bin(F.col("heading"), ANGLES))
+    seen = x.groupBy("session", "a").agg(F.count("*").alias("n"))
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in enumerate(TRANSITION[0])])
+    moved = seen.withColumn("t", F.explode(steps))
+    to = F.pmod(F.col("a") + F.col("t.d"), F.lit(ANGLES)).cast("bigint").alias("angle_bin")
+    return moved.groupBy("session", to).agg(r6(F.sum(F.col("n") * F.col("t.w"))).alias("expected"))
 
 
 @query("decoder_runs", f"""WITH {BINNED}, k AS (SELECT *, n >= 2 AS keep FROM bn), c AS (SELECT *, CASE WHEN keep IS DISTINCT FROM lag(keep) OVER w THEN 1 ELSE 0 END AS ch FROM k WINDOW w AS (PARTITION BY session ORDER BY bin)),
@@ -244,3 +247,15 @@ def _(spark, sf):
                        ANGLES, 20.0, 0.05, 900.0, _BLOCK, n_shuffles=3, min_shift=30, min_run=2.0)
 
 
+
+
+@query("apply_decoder")
+def _(spark, sf):
+    """Sessions 1 to 3 read with session 0's model; their last unit has no partner."""
+    from ..plans.decode_session import apply_decoder
+
+    base = model(spark, sf).where("session = 0").drop("session")
+    others = binned(spark, sf).where("session > 0")
+    pairs = others.select("session").distinct().withColumn("unit", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])))
+    return apply_decoder(base, pairs.withColumn("ref_unit", F.col("unit")), others, ["session"], "bin", "counts", "dur", "heading",
+                         F.col("n") >= 2, ANGLES, 900.0, True, 1.0, 3.0)

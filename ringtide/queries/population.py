@@ -274,3 +274,61 @@ def _(spark, sf):
     z = rg.standardised_pairs(correlations(spark, sf), [], "zero_lag")
     c = pr.difference_curve(z, channel_angles(spark, sf).select("unit", F.col("r").alias("preferred_deg")), 15.0)
     return c.select("bin", "n", r6("mean", 5).alias("mean_z"), r6("sem", 5).alias("sem_z"))
+
+
+# ── ring decoding ───────────────────────────────────────────────────────
+_HEAD = f"hd AS (SELECT vec_id AS t, {w360_sql('round(embedding[1]::DOUBLE * 700, 6)')} AS heading, vec_id % 10 < 7 AS train FROM embeddings)"
+_FIT = f"""{_PV}, {_HEAD}, ve AS (SELECT pv.t, {w360_sql('degrees(atan2(y, x))')} AS ring_deg, heading, train FROM pv JOIN hd ON hd.t = pv.t)"""
+
+
+def headed(spark, sf):
+    e = b.table(spark, sf, "embeddings")
+    h = e.select(F.col("vec_id").alias("bin"), wrap360(F.round(F.col("embedding")[0].cast("double") * 700, 6)).alias("heading"),
+                 (F.col("vec_id") % 10 < 7).alias("train"))
+    return population(spark, sf).withColumn("rates", F.transform("counts", lambda x: x / DUR)).join(h, "bin")
+
+
+@query("decode_ring", f"""WITH {POP}, {_FIT}, s AS (SELECT avg(cos(radians(heading - ring_deg))) AS cp, avg(sin(radians(heading - ring_deg))) AS sp_, avg(cos(radians(heading + ring_deg))) AS cm, avg(sin(radians(heading + ring_deg))) AS sm FROM ve WHERE train),
+f AS (SELECT cm*cm+sm*sm > cp*cp+sp_*sp_ AS flip, CASE WHEN cm*cm+sm*sm > cp*cp+sp_*sp_ THEN degrees(atan2(sm, cm)) ELSE degrees(atan2(sp_, cp)) END AS o FROM s)
+SELECT t AS bin, round({w360_sql('(CASE WHEN flip THEN -ring_deg ELSE ring_deg END) + o')}, 4) AS decoded_deg FROM ve, f""")
+def _(spark, sf):
+    from ..plans.ring_session import decode_ring
+
+    d = decode_ring(headed(spark, sf), [], "bin", "rates", ring_units(spark, sf).drop("weight"), "heading", "train")
+    return d.select("bin", r6("decoded_deg", 4).alias("decoded_deg"))
+
+
+_MOVES = [0, 41, 97, 133, 180, 222]
+
+
+@query("ring_shift_null", f"""WITH {POP}, {_FIT}, sh(shuffle, d) AS (VALUES {', '.join(f'({i - 1}, {d})' for i, d in enumerate(_MOVES))}), n AS (SELECT count(*) AS n FROM hd),
+pa AS (SELECT shuffle, ring_deg, hd.heading, ve.train FROM ve, n, sh JOIN hd ON hd.t = ((ve.t - d) % n + n) % n),
+s AS (SELECT shuffle, avg(cos(radians(heading - ring_deg))) AS cp, avg(sin(radians(heading - ring_deg))) AS sp_, avg(cos(radians(heading + ring_deg))) AS cm, avg(sin(radians(heading + ring_deg))) AS sm FROM pa WHERE train GROUP BY 1),
+f AS (SELECT shuffle, cm*cm+sm*sm > cp*cp+sp_*sp_ AS flip, CASE WHEN cm*cm+sm*sm > cp*cp+sp_*sp_ THEN degrees(atan2(sm, cm)) ELSE degrees(atan2(sp_, cp)) END AS o FROM s)
+SELECT pa.shuffle, round(median(abs({wrap_sql('(CASE WHEN flip THEN -ring_deg ELSE ring_deg END) + o - heading')})), 4) AS value FROM pa JOIN f ON f.shuffle = pa.shuffle WHERE NOT train GROUP BY 1""")
+def _(spark, sf):
+    from ..plans.ring_session import ring_shift_null
+
+    h = headed(spark, sf)
+    v = rg.population_vector(h, [], "bin", "rates", ring_units(spark, sf))
+    out = ring_shift_null(v.where("train"), v.where("NOT train"), h, "bin", _MOVES[1:], h.count())
+    return out.withColumn("value", r6("value", 4))
+
+
+@query("ring_unit_null", f"""WITH {POP}, {_RING}, pm(shuffle, p, q) AS (VALUES {', '.join(f'({s}, {p}, {q})' for s, o in enumerate([list(range(UNITS)), *_ORDERS[:6]], start=-1) for p, q in enumerate(o))},),
+zs AS (SELECT t, x0.c, (v - avg(v) OVER (PARTITION BY x0.c)) / stddev_pop(v) OVER (PARTITION BY x0.c) AS z FROM x0),
+pv AS (SELECT shuffle, t, sum(z*u.w*cos(radians(a2.a))) AS x, sum(z*u.w*sin(radians(a2.a))) AS y, sum(abs(z)*u.w) AS n FROM zs JOIN pm ON p = zs.c JOIN rw u ON u.c = p JOIN rw a2 ON a2.c = q GROUP BY 1, 2)
+SELECT shuffle, round(avg(sqrt(x*x+y*y)/n), 6) AS value FROM pv GROUP BY 1""".replace(",),", "),"))
+def _(spark, sf):
+    from ..plans.ring_session import ring_unit_null
+
+    p = population(spark, sf).withColumn("rates", F.transform("counts", lambda x: x / DUR))
+    return ring_unit_null(p, "bin", "rates", ring_units(spark, sf), _ORDERS[:6]).withColumn("value", r6("value"))
+
+
+@query("run_ring")
+def _(spark, sf):
+    from ..plans.ring_session import run_ring
+
+    h = headed(spark, sf).drop("rates").withColumn("test", ~F.col("train"))
+    return run_ring(h, [], "bin", "counts", "dur", "heading", "train", "test", SIGMA, MAX_LAG, START_LAG, 8, -100.0, None)["metrics"]

@@ -171,6 +171,15 @@ def _(spark, sf):
     return sy.sync_clock_problem(o, ["o_custkey"], "o_orderkey", "t")
 
 
+@query("synced_times", f"""WITH {b.FRAMES}, st AS (SELECT unit_id, frame, us/1e6 AS t FROM fr WHERE NOT (unit_id % 5 = 0 AND kind = 'error')), g AS (SELECT unit_id, count(*) AS m FROM st GROUP BY 1), n AS (SELECT unit_id, count(*) AS n FROM fr GROUP BY 1)
+SELECT fr.event_id, coalesce(n = m, false) AS synced, round(CASE WHEN n = m THEN st.t ELSE fr.frame/30.0 END, 6) AS t FROM fr JOIN n ON n.unit_id = fr.unit_id LEFT JOIN g ON g.unit_id = fr.unit_id LEFT JOIN st ON st.unit_id = fr.unit_id AND st.frame = fr.frame""")
+def _(spark, sf):
+    f = b.frames(spark, sf)
+    stamps = f.where("NOT (unit_id % 5 = 0 AND kind = 'error')").select("unit_id", "frame", (F.col("us") / 1e6).alias("t"))
+    out = sy.synced_times(f.select("event_id", "unit_id", "frame"), stamps, ["unit_id"], "frame", 30.0)
+    return out.select("event_id", "synced", r6("t").alias("t"))
+
+
 # ── sessions ────────────────────────────────────────────────────────────
 # each nation is one session; its customers are the frames it contributes
 _SESS = """sn AS (SELECT n_nationkey AS idx, n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
