@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import circular_difference, length, vector_angle
 from ..scale import cut_lineage
 from .quantiles import finite, quantiles
-from .scan import number_rows
+from .scan import following, number_rows, previous, running_sum, scan
 
 
 def putative_matches(prob: DataFrame, units: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
@@ -185,8 +185,6 @@ def control_band_candidates(units: DataFrame, by: list[str], n_units: int, low:
 
     `units` has one row per distinct depth with the count ``n`` of units there.
     """
-    from .scan import running_sum, scan
-
     work = units.withColumn("__side", F.when(F.col("depth") < F.col(low), "below").when(
         F.col("depth") > F.col(high), "above")).where("__side IS NOT NULL")
     ranked = scan(work, [*by, "__side"], ["depth"], {"__upto": running_sum("n")})
@@ -196,3 +194,38 @@ def control_band_candidates(units: DataFrame, by: list[str], n_units: int, low:
     # a run starts where a depth starts and stops where one stops, so equal depths are never split
     return first.join(last, [*by, "__side", "__from"]).withColumn(
         "span", F.col("last") - F.col("first")).drop("__from").withColumnRenamed("__side", "side")
+
+
+def control_band(units: DataFrame, by: list[str], depth: str, low: float, high: float, n_units: int, gap: float = 0.0,
+                 side: str = "either", margin: float = 1e-6) -> DataFrame:
+    """The band outside ``low..high`` that holds `n_units` neighbouring units at the most similar width.
+
+    Its edges stop short of the units next to the run, and units at one depth
+    are never parted. One row per key; no row where no run fits.
+    """
+    if side not in ("either", "below", "above"):
+        raise ValueError(f"side must be 'either', 'below' or 'above', got {side!r}")
+    width = high - low
+    d = F.col(depth).cast("double")
+    where = F.when(d < low - gap, "below").when(d > high + gap, "above")
+    levels = units.withColumn("__side", where).where(F.col("__side").isin(["below", "above"] if side == "either" else [side]))
+    levels = levels.groupBy(*by, "__side", d.alias("__d")).agg(F.count("*").alias("__n"))
+    ranked = scan(levels, [*by, "__side"], ["__d"], {
+        "__upto": running_sum("__n"), "__before": previous("__d"), "__after": following("__d")})
+    first = ranked.select(*by, "__side", (F.col("__upto") - F.col("__n")).alias("__from"), F.col("__d").alias("first"), "__before")
+    last = ranked.select(*by, "__side", (F.col("__upto") - n_units).alias("__from"), F.col("__d").alias("last"), "__after")
+    runs = first.join(last, [*by, "__side", "__from"])
+    below = F.col("__side") == "below"
+    floor = F.coalesce(F.col("__before") + margin, F.when(below, F.col("first")).otherwise(high + gap + margin))
+    ceiling = F.coalesce(F.col("__after") - margin, F.when(below, F.lit(low - gap - margin)).otherwise(F.col("last")))
+    runs = runs.withColumns({"__floor": floor, "__ceiling": ceiling}).where("__floor <= first AND __ceiling >= last")
+    w = F.least(F.greatest(F.lit(float(width)), F.col("last") - F.col("first")), F.col("__ceiling") - F.col("__floor"))
+    runs = runs.withColumn("__w", w)
+    least = F.greatest(F.col("__floor"), F.col("last") - F.col("__w"))
+    most = F.least(F.col("first"), F.col("__ceiling") - F.col("__w"))
+    runs = runs.withColumn("start", F.least(F.greatest((F.col("first") + F.col("last") - F.col("__w")) / 2, least), most))
+    runs = runs.withColumn("stop", F.col("start") + F.col("__w"))
+    distance = F.when(below, low - F.col("stop")).otherwise(F.col("start") - high)
+    best = F.min_by(F.struct(F.col("__side").alias("side"), "start", "stop"),
+                    F.struct(F.round(F.abs(F.col("__w") - width), 9), F.round(-distance, 9), "start"))
+    return runs.groupBy(*by).agg(best.alias("__b")).select(*by, "__b.side", "__b.start", "__b.stop")

@@ -13,7 +13,7 @@ from ..operators.quantiles import quantiles
 from ..operators.tuning import kernel_sql
 from ..scale import cut_lineage
 from . import bindings as b
-from .angles import w360_sql, wrap_sql
+from .angles import METRIC_COLUMNS, corr_sql, metrics_sql, w360_sql, wrap_sql
 from .registry import query
 
 ANGLES = 24
@@ -194,12 +194,19 @@ def _(spark, sf):
     return _decode_columns(decoded(spark, sf, chunk_bins=8))
 
 
-@query("decode_metrics")
+_DECODED = f"""{_HMM}, dd AS (SELECT pz.session, pz.bin, (list_position(p, list_max(p)) - 0.5) * {360.0 / _A}::DOUBLE AS decoded_deg, heading AS actual_deg, list_max(p) AS peak,
+ -list_sum(list_transform(p, lambda v: CASE WHEN v > 0 THEN v * log2(v) ELSE 0 END)) AS entropy FROM pz JOIN bn ON bn.session = pz.session AND bn.bin = pz.bin)"""
+
+
+@query("decode_metrics", f"""WITH RECURSIVE {BINNED}, {_MODEL}, {_DECODED}, {metrics_sql('dd', 'session', 10.1)}, ex AS (SELECT session, avg(peak) AS pk, avg(entropy) AS en FROM dd GROUP BY 1)
+SELECT mt.session, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in METRIC_COLUMNS)}, n_bins, round(r, 5) + 0.0 AS circular_correlation, round(pk, 6) AS mean_posterior_max, round(en, 5) AS mean_entropy_bits
+ FROM mt JOIN ex ON ex.session = mt.session JOIN {corr_sql('dd', 'session')} c ON c.session = mt.session""")
 def _(spark, sf):
     d = cut_lineage(decoded(spark, sf))
-    m = decoding_metrics(d, ["session"], "decoded_deg", "actual_deg", 10.0)
-    extra = d.groupBy("session").agg(F.avg("posterior_max").alias("mean_posterior_max"), F.avg("entropy_bits").alias("mean_entropy_bits"))
-    return m.join(extra, "session")
+    m = decoding_metrics(d, ["session"], "decoded_deg", "actual_deg", 10.1)
+    extra = d.groupBy("session").agg(r6(F.avg("posterior_max")).alias("mean_posterior_max"), r6(F.avg("entropy_bits"), 5).alias("mean_entropy_bits"))
+    return m.join(extra, "session").select("session", *[r6(c, 5).alias(c) for c in [*METRIC_COLUMNS, "circular_correlation"]], "n_bins",
+                                           "mean_posterior_max", "mean_entropy_bits")
 
 
 @query("shuffle_test_shift")

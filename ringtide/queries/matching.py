@@ -167,7 +167,7 @@ def _(spark, sf):
     return q.select("p_type", r6(F.col("a") - 100).alias("low"), r6(F.col("z") + 100).alias("high"))
 
 
-@query("control_band", """WITH d AS (SELECT p_brand, p_size AS depth, count(*) AS n FROM part GROUP BY 1, 2),
+@query("control_band_runs", """WITH d AS (SELECT p_brand, p_size AS depth, count(*) AS n FROM part GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN depth < 20 THEN 'below' WHEN depth > 30 THEN 'above' END AS side FROM d),
 r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand, side ORDER BY depth) AS upto FROM s WHERE side IS NOT NULL)
 SELECT a.p_brand, a.side, a.depth AS first, z.depth AS last, z.depth - a.depth AS span FROM r a JOIN r z ON a.p_brand = z.p_brand AND a.side = z.side AND a.upto - a.n = z.upto - 12""")
@@ -177,6 +177,19 @@ def _(spark, sf):
     return ma.control_band_candidates(d, ["p_brand"], 12, "low", "high").select("p_brand", "side", "first", "last", "span")
 
 
+@query("control_band", """WITH d AS (SELECT p_brand, CASE WHEN p_size < 19 THEN 'below' WHEN p_size > 31 THEN 'above' END AS side, p_size::DOUBLE AS d, count(*) AS n FROM part GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(n) OVER w AS upto, lag(d) OVER w AS pv, lead(d) OVER w AS nx FROM d WHERE side IS NOT NULL WINDOW w AS (PARTITION BY p_brand, side ORDER BY d)),
+j AS (SELECT a.p_brand, a.side, a.d AS f, z.d AS l, coalesce(a.pv + 1e-6, CASE WHEN a.side = 'below' THEN a.d ELSE 31 + 1e-6 END) AS fl, coalesce(z.nx - 1e-6, CASE WHEN a.side = 'below' THEN 19 - 1e-6 ELSE z.d END) AS ce FROM r a JOIN r z ON a.p_brand = z.p_brand AND a.side = z.side AND a.upto - a.n = z.upto - 12),
+w AS (SELECT *, least(greatest(10.0::DOUBLE, l - f), ce - fl) AS w FROM j WHERE fl <= f AND ce >= l),
+s AS (SELECT *, least(greatest((f + l - w)/2, greatest(fl, l - w)), least(f, ce - w)) AS st FROM w),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(abs(w - 10), 9), round(-(CASE WHEN side = 'below' THEN 20 - (st + w) ELSE st - 30 END), 9), st) AS rn FROM s)
+SELECT p_brand, side, round(st, 5) AS start, round(st + w, 5) AS stop FROM b WHERE rn = 1""")
+def _(spark, sf):
+    p = b.table(spark, sf, "part").select("p_brand", "p_partkey", "p_size")
+    band = ma.control_band(p, ["p_brand"], "p_size", 20.0, 30.0, 12, gap=1.0)
+    return band.select("p_brand", "side", r6("start", 5).alias("start"), r6("stop", 5).alias("stop"))
+
+
 # ── labels ──────────────────────────────────────────────────────────────
 _LABELS = """un AS (SELECT doc_id AS unit_id, lang, source, n_chars FROM documents),
 la AS (SELECT doc_id AS unit_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'NOISE' END AS a, CASE WHEN toxic = 1 THEN 'noise' WHEN doc_id % 3 = 0 THEN 'mua' ELSE 'sua' END AS b, quality + toxic AS q, toxic FROM labels)"""
