@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, language, neardup, quality, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of all documents, as hashes."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; cutoffs certified on the labels, per language on record."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of three quarters of those with a language on record."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
+    model = language.fit(docs.where(~docs["held_out"]))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
