@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import arrow_task, columns_of
-from .pieces import PieceCache, runs
+from .pieces import PieceCache
 
 #: Pair tests kept in a worker.
 PAIRS_KEPT = 1_000_000
@@ -115,6 +117,7 @@ class WordBpe:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
@@ -161,18 +164,15 @@ class WordBpe:
         """Token texts, each behind a blank: the file names no decoder, so the library joins tokens by blanks."""
         return "".join(" " + self.token_text[i] for i in ids).encode()
 
-    def document(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, hash of the ids, hash of the decoded text."""
-        n, ids, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        for pieces in runs(text):
-            values = list(map(self.cache.prepare(set(pieces)).__getitem__, pieces))
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """For each text: number of tokens, hash of the ids, hash of the decoded text."""
+        for values in self.values(texts):
             raw = b"".join([v[0] for v in values])
-            out = b"".join([v[1] for v in values])
-            ids.update(raw)
-            decoded.update(out[1:] if first else out)
-            first = first and not out
-            n += len(raw) // 4
-        return n, ids.hexdigest(), decoded.hexdigest()
+            yield len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(b"".join([v[1] for v in values])[1:]).hexdigest()
+
+    def values(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
+        """For each text, the ids and tokens of its pieces."""
+        return self.cache.values(texts)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -196,16 +196,14 @@ def encode_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe, ids, texts = word_bpe(path), [], []
-        for text in batch.column(1).to_pylist():
-            own = []
-            for pieces in runs(text or ""):
-                known = bpe.cache.prepare(set(pieces))
-                own += np.frombuffer(b"".join([known[p][0] for p in pieces]), "<u4").tolist()
+        for values in bpe.values(batch.column(1).to_pylist()):
+            own = np.frombuffer(b"".join([v[0] for v in values]), "<u4").tolist()
             ids.append(own)
             texts.append(bpe.decoded(own)[1:].decode())
         return {id_col: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
 
-    return arrow_task(columns_of(df, id_col, text_col), f"`{id_col}` {kind}, ids array<int>, decoded string", work)
+    texts = columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit("")))
+    return arrow_task(texts, f"`{id_col}` {kind}, ids array<int>, decoded string", work)
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,8 +212,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe = word_bpe(path)
-        rows = [bpe.document(text or "") for text in batch.column(1).to_pylist()]
-        n, ids, decoded = zip(*rows, strict=True)
+        n, ids, decoded = zip(*bpe.digests(batch.column(1).to_pylist()), strict=True)
         return {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
                 "decoded_sha256": pa.array(decoded, pa.string())}
 

@@ -9,46 +9,58 @@ occurrence. Texts in which rarer white space meets these cuts are encoded whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import batched
 
 #: White space before, then other characters; or white space at the end.
 PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Characters that some engine counts as white space and PIECE does not.
 RARE_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200E)))
+SPACE_OF_ANY = frozenset(RARE_SPACE + " \t\n\x0b\x0c\r")
 #: A run of letters and the punctuation behind it, which the tokenizers split there.
 #: Without U+0130: in lower case it ends in a mark, which joins the punctuation.
 CORE = re.compile(r"([ \t-\r]*[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
-#: Pieces handled at a time, so that a text of any length needs bounded memory beside its own.
-RUN = 200_000
-#: Pieces kept in a worker; then the older half goes.
+#: Characters of texts that are looked at together; longer texts are cut where a piece begins.
+GROUP = 4 << 20
+#: Entries kept in each table of a worker; then the older half goes.
 KEPT = 400_000
 
 
+class Recent:
+    """A table of at most about twice KEPT entries: those of now, and before them those in `old`."""
+
+    def __init__(self):
+        self.now, self.old = {}, {}
+
+    def make_room(self, keys: set[str]) -> set[str]:
+        """The keys that are not in the table; those in `old` are taken over."""
+        new = keys.difference(self.now)
+        if new and len(self.now) + len(new) > KEPT:
+            self.old, self.now, new = self.now, {}, keys
+        if new and self.old:
+            known = [x for x in new if x in self.old]
+            self.now.update((x, self.old[x]) for x in known)
+            new = new.difference(known)
+        return new
+
+
 class PieceCache:
-    """What `encode` makes of a piece, in `now`. Two generations bound its size.
+    """What `encode` makes of the pieces of texts, each encoded once while it is remembered.
 
-    `encode` takes a list of pieces and returns a value for each; `prepare` adds
-    the pieces of a batch, so that the library is called once for many. `join`
-    makes the value of letters and punctuation from those of both.
+    `encode` takes a list of pieces and returns a value for each, `join` makes
+    the value of two pieces side by side. A value of None says that the text has
+    to be encoded whole.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], join: Callable):
         self.encode, self.join = encode, join
-        self.now, self.old = {}, {}
+        self.pieces, self.parts = Recent(), Recent()
 
     def prepare(self, pieces: set[str]) -> dict:
-        """`now`, with every one of `pieces` in it."""
-        new = pieces.difference(self.now)
-        if not new:
-            return self.now
-        if len(self.now) + len(new) > KEPT:
-            self.old, self.now, new = self.now, {}, pieces
-        now, old = self.now, self.old
-        known = [x for x in new if x in old]
-        now.update((x, old[x]) for x in known)
-        cut, wanted = {}, {}
-        for piece in new.difference(known):
+        """A table with every one of `pieces` in it."""
+        cut, wanted, new = {}, {}, self.pieces.make_room(pieces)
+        now = self.pieces.now
+        for piece in new:
             if m := CORE.fullmatch(piece):
                 cut[piece] = m.groups()
                 wanted.update(dict.fromkeys(x for x in m.groups() if x not in now))
@@ -58,9 +70,51 @@ class PieceCache:
         now.update((piece, self.join(now[a], now[b])) for piece, (a, b) in cut.items())
         return now
 
+    def prepare_parts(self, parts: set[str]) -> dict:
+        """A table with every part in it: what stands between two blanks, as the pieces of a blank and the part.
+
+        A part that is empty or ends in white space would lend it to the next one: None.
+        """
+        new = self.parts.make_room(parts)
+        whole = {x: PIECE.findall(" " + x) for x in new if x and x[-1] not in SPACE_OF_ANY}
+        known = self.prepare({p for x in whole.values() for p in x})
+        now = self.parts.now
+        now.update(dict.fromkeys(new))
+        for part, pieces in whole.items():
+            value = known[pieces[0]]
+            for piece in pieces[1:]:
+                value = None if value is None or known[piece] is None else self.join(value, known[piece])
+            now[part] = value
+        return now
+
+    def values(self, texts: list[str]) -> Iterator[list]:
+        """For each text, the values of its pieces in order; [None] for a text to be encoded whole."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[list]:
+        short = [t.split(" ") if len(t) <= 2 * GROUP else None for t in texts]
+        parts = self.prepare_parts({p for x in short if x for p in x[1:]})
+        first = self.prepare({p for x in short if x for p in PIECE.findall(x[0])})
+        for text, split in zip(texts, short, strict=True):
+            if split is not None:
+                found = [first[p] for p in PIECE.findall(split[0])]
+                found.extend(map(parts.__getitem__, split[1:]))
+                if None not in found and not (split[0] and split[0][-1] in SPACE_OF_ANY):
+                    yield found
+                    continue
+            yield self._slowly(text)
 
-def runs(text: str):
-    """The pieces of a text, as lists of at most RUN."""
-    if len(text) <= 4 * RUN:
-        return [PIECE.findall(text)]
-    return (list(x) for x in batched((m.group() for m in PIECE.finditer(text)), RUN))
+    def _slowly(self, text: str) -> list:
+        """By pieces, some at a time: for texts with runs of white space, and very long ones."""
+        found = []
+        for pieces in batched((m.group() for m in PIECE.finditer(text)), GROUP // 8):
+            known = self.prepare(set(pieces))
+            found.extend(map(known.__getitem__, pieces))
+        return [None] if None in found else found

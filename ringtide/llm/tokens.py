@@ -9,6 +9,7 @@ The dictionary lies beside the blocks and is trained on serialized id arrays.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import arrow_task, checkpointed, columns_of, shared_folder, sums_before
-from .pieces import RARE_SPACE, PieceCache, runs
+from .pieces import RARE_SPACE, PieceCache
 
 #: Documents and bytes of a block, whichever is reached first.
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
@@ -36,6 +37,7 @@ _LOADED: dict[str, PieceCache] = {}
 def _encoder(path: str) -> PieceCache:
     """Bytes of ids (little-endian, 32 bits) of every piece; loaded once per Python worker."""
     if path not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work; the library's threads only add to it
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
@@ -49,16 +51,14 @@ def _encoder(path: str) -> PieceCache:
     return _LOADED[path]
 
 
-def encode(path: str, text: str) -> bytes:
-    """Ids of a whole text. Where white space that cuts meets other white space, the library gets the text itself."""
+def encode(path: str, texts: list[str]) -> Iterator[bytes]:
+    """Ids of whole texts. Where white space that cuts meets other white space, the library gets the text itself."""
     cache = _encoder(path)
-    parts = []
-    for pieces in runs(text):
-        values = list(map(cache.prepare(set(pieces)).__getitem__, pieces))
-        if None in values:
-            return np.array(cache.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts += [b"".join(values)]
-    return parts[0] if len(parts) == 1 else b"".join(parts)
+    for text, values in zip(texts, cache.values(texts), strict=True):
+        if values == [None]:
+            yield np.array(cache.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            yield b"".join(values)
 
 
 def serialized(ids: bytes, end: int) -> bytes:
@@ -82,7 +82,7 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, end
     sample = short.orderBy("__h", text_col).limit(SAMPLE_DOCS).select(text_col)
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"raw": pa.array([serialized(encode(path, t), end) for t in batch.column(0).to_pylist()], pa.binary())}
+        return {"raw": pa.array([serialized(x, end) for x in encode(path, batch.column(0).to_pylist())], pa.binary())}
 
     raw = [bytes(r[0]) for r in arrow_task(sample, "raw binary", work).collect()]
     try:
@@ -123,8 +123,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = 0, id_col:
 
         for batch in batches:
             ids_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = serialized(encode(path, text), end)
+            for doc, found in zip(batch.column(0).to_pylist(), encode(path, batch.column(1).to_pylist()), strict=True):
+                raw = serialized(found, end)
                 held.append((doc, packer.compress(raw), (len(raw) - 1) // raw[0]))
                 size += len(held[-1][1])
                 if len(held) >= BLOCK_DOCS or size >= BLOCK_BYTES:
