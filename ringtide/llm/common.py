@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..scale import cut_lineage
@@ -55,15 +57,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sums_before(totals: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+def sums_before(totals: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Sum of `value` over the rows before, inside `by`.
 
-    For tables with a row per partition of a job or less, never for tables of documents.
+    For tables with some rows per partition of a job, never for tables of documents.
     """
-    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long"))
 
 
+def running(df: DataFrame, key: str, value: str, purpose: str, **options: str) -> DataFrame:
+    """`df` with `__part`, its partition, and `__before`: the sum of `value` (not null) over earlier rows of `key`.
+
+    Rows keep their partitions and order, whatever these are. Each task adds up
+    its own rows; a row for each key and task then gives what earlier tasks
+    hold. The result is a table in the shared folder, so that partitions are
+    numbered once. `key` is a string or whole number with few values or sorted rows.
+    """
+    place, amount = df.columns.index(key), df.columns.index(value)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            before = []
+            for k, v in zip(batch.column(place).to_pylist(), batch.column(amount).to_pylist(), strict=True):
+                done = sums.get(k, 0)
+                before.append(done)
+                sums[k] = done + v
+            columns = [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__part", "__here"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__here", T.LongType())])
+    local = written(df.mapInArrow(task, schema), purpose, **options)
+    totals = local.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.sum(value).alias("__v"))
+    base = checkpointed(sums_before(totals, ["__k"], ["__p"], "__v", "__base").select("__k", "__p", "__base"))
+    joined = local.join(base, local[key].eqNullSafe(base["__k"]) & (local["__part"] == base["__p"]))
+    return joined.withColumn("__before", F.col("__base") + F.col("__here")).drop("__k", "__p", "__base", "__here")
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; others, whatever their names, cannot clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, neardup, quality, tokens
+from . import bpe, knn, language, neardup, quality, reshard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,15 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for every hundredth vector."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from 16 shards into 24 of equal bytes."""
+    return reshard.shard_digest(table(spark, sf_dir, "documents"))

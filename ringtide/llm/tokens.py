@@ -202,7 +202,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = arrow_task(blocks, f"part int, doc_id {kind}, start_in_part long, n_tokens long, ids_crc32 long", work)
     size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)
     ends = blocks.groupBy("part").agg(F.sum(size).alias("tokens")).withColumn("one", F.lit(0))
-    before = checkpointed(sums_before(ends, ["one"], "part", "tokens", "before").select("part", "before"))  # a row per file
+    before = checkpointed(sums_before(ends, ["one"], ["part"], "tokens", "before").select("part", "before"))  # a row per file
     joined = rows.join(before, "part")
     return joined.select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
