@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, language, neardup, quality, reshard, tokens
+from . import bpe, knn, language, licenses, mixing, neardup, quality, reshard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,16 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents from 16 shards into 24 of equal bytes."""
     return reshard.shard_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document when its source is mixed by the square root of its size."""
+    placed = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__at").alias("position"))
