@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, language, licenses, mixing, neardup, quality, reshard, tokens
+from . import bpe, extract, knn, language, licenses, mixing, neardup, quality, reshard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document when its source is mixed by the square root of its size."""
     placed = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return placed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__at").alias("position"))
+
+
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.fit_pages(pages))
