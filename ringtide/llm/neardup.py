@@ -258,5 +258,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without those that `near_duplicates` does not keep; rows with a null id stay."""
-    dropped = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    dropped = checkpointed(near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct())
+    return docs.join(few(dropped), docs[id_col] == dropped["__dropped"], "left_anti")
