@@ -13,6 +13,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -128,7 +129,7 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")")
         self.token_text = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.words: dict[str, list[int]] = {}
-        self.cache = PieceCache(self.encoded, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        self.cache = PieceCache(self.encoded, lambda letters: self.encoded(" " + letters), lambda a, b: (a[0] + b[0], a[1] + b[1]))
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of a word in the vocabulary's own alphabet, remembered."""
@@ -152,13 +153,10 @@ class WordBpe:
                     out += self.word_ids(word)
         return out
 
-    def encoded(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids as bytes and tokens as UTF-8, each behind a blank, for every piece."""
-        out = []
-        for piece in pieces:
-            ids = self.ids(piece)
-            out.append((np.array(ids, "<u4").tobytes(), self.decoded(ids)))
-        return out
+    def encoded(self, piece: str) -> tuple[bytes, bytes]:
+        """Ids as bytes, and tokens as UTF-8, each behind a blank."""
+        ids = self.ids(piece)
+        return array("I", ids).tobytes(), self.decoded(ids)
 
     def decoded(self, ids: list[int]) -> bytes:
         """Token texts, each behind a blank: the file names no decoder, so the library joins tokens by blanks."""

@@ -20,101 +20,92 @@ SPACE_OF_ANY = frozenset(RARE_SPACE + " \t\n\x0b\x0c\r")
 #: A run of letters and the punctuation behind it, which the tokenizers split there.
 #: Without U+0130: in lower case it ends in a mark, which joins the punctuation.
 CORE = re.compile(r"([ \t-\r]*[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
-#: Characters of texts that are looked at together; longer texts are cut where a piece begins.
-GROUP = 4 << 20
+#: What stands between two blanks, if it is letters and then perhaps such punctuation.
+PART = re.compile(CORE.pattern.replace(r"[ \t-\r]*", "").removesuffix("+)") + "*)")
+#: Pieces of a long text that are looked at together, and the characters from which a text is long.
+RUN, LONG = 500_000, 8 << 20
 #: Entries kept in each table of a worker; then the older half goes.
-KEPT = 400_000
+KEPT = 500_000
+ABSENT = object()
 
 
-class Recent:
-    """A table of at most about twice KEPT entries: those of now, and before them those in `old`."""
+class Recent(dict):
+    """What `make` makes of a key, made once while it is remembered: the keys of now, and before them those in `old`."""
 
-    def __init__(self):
-        self.now, self.old = {}, {}
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old = make, {}
 
-    def make_room(self, keys: set[str]) -> set[str]:
-        """The keys that are not in the table; those in `old` are taken over."""
-        new = keys.difference(self.now)
-        if new and len(self.now) + len(new) > KEPT:
-            self.old, self.now, new = self.now, {}, keys
-        if new and self.old:
-            known = [x for x in new if x in self.old]
-            self.now.update((x, self.old[x]) for x in known)
-            new = new.difference(known)
-        return new
+    def __missing__(self, key: str):
+        value = self.old.get(key, ABSENT)
+        if value is ABSENT:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        """Between texts: forget what was not asked for lately."""
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
 
 
 class PieceCache:
-    """What `encode` makes of the pieces of texts, each encoded once while it is remembered.
+    """Values of the pieces of texts, each made once while it is remembered.
 
-    `encode` takes a list of pieces and returns a value for each, `join` makes
-    the value of two pieces side by side. A value of None says that the text has
-    to be encoded whole.
+    `encode` gives the value of a piece, `encode_word` that of letters behind a
+    blank, and `join` that of two pieces side by side. A value of None says that
+    the text has to be encoded whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], join: Callable):
+    def __init__(self, encode: Callable[[str], object], encode_word: Callable[[str], object], join: Callable):
         self.encode, self.join = encode, join
-        self.pieces, self.parts = Recent(), Recent()
-
-    def prepare(self, pieces: set[str]) -> dict:
-        """A table with every one of `pieces` in it."""
-        cut, wanted, new = {}, {}, self.pieces.make_room(pieces)
-        now = self.pieces.now
-        for piece in new:
-            if m := CORE.fullmatch(piece):
-                cut[piece] = m.groups()
-                wanted.update(dict.fromkeys(x for x in m.groups() if x not in now))
-            else:
-                wanted[piece] = None
-        now.update(zip(wanted, self.encode(list(wanted)), strict=True))
-        now.update((piece, self.join(now[a], now[b])) for piece, (a, b) in cut.items())
-        return now
-
-    def prepare_parts(self, parts: set[str]) -> dict:
-        """A table with every part in it: what stands between two blanks, as the pieces of a blank and the part.
+        self.words, self.pieces, self.parts = Recent(encode_word), Recent(self.piece), Recent(self.part)
+
+    def piece(self, piece: str):
+        """Value of a piece: letters and the punctuation behind them apart."""
+        if m := CORE.fullmatch(piece):
+            return self.join(self.pieces[m[1]], self.pieces[m[2]])
+        return self.encode(piece)
+
+    def part(self, part: str):
+        """Value of a blank and what stands between it and the next one.
 
         A part that is empty or ends in white space would lend it to the next one: None.
         """
-        new = self.parts.make_room(parts)
-        whole = {x: PIECE.findall(" " + x) for x in new if x and x[-1] not in SPACE_OF_ANY}
-        known = self.prepare({p for x in whole.values() for p in x})
-        now = self.parts.now
-        now.update(dict.fromkeys(new))
-        for part, pieces in whole.items():
-            value = known[pieces[0]]
-            for piece in pieces[1:]:
-                value = None if value is None or known[piece] is None else self.join(value, known[piece])
-            now[part] = value
-        return now
+        if m := PART.fullmatch(part):
+            value = self.words[m[1]]
+            return self.join(value, self.pieces[m[2]]) if m[2] else value
+        if not part or part[-1] in SPACE_OF_ANY:
+            return None
+        return self.together(PIECE.findall(" " + part))
+
+    def together(self, pieces: list[str]):
+        """Value of some pieces side by side."""
+        value = self.pieces[pieces[0]]
+        for piece in pieces[1:]:
+            other = self.pieces[piece]
+            value = None if value is None or other is None else self.join(value, other)
+        return value
 
     def values(self, texts: list[str]) -> Iterator[list]:
         """For each text, the values of its pieces in order; [None] for a text to be encoded whole."""
-        group, size = [], 0
         for text in texts:
-            group.append(text)
-            size += len(text)
-            if size > GROUP:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[list]:
-        short = [t.split(" ") if len(t) <= 2 * GROUP else None for t in texts]
-        parts = self.prepare_parts({p for x in short if x for p in x[1:]})
-        first = self.prepare({p for x in short if x for p in PIECE.findall(x[0])})
-        for text, split in zip(texts, short, strict=True):
-            if split is not None:
-                found = [first[p] for p in PIECE.findall(split[0])]
-                found.extend(map(parts.__getitem__, split[1:]))
-                if None not in found and not (split[0] and split[0][-1] in SPACE_OF_ANY):
+            for table in (self.words, self.pieces, self.parts):
+                table.trim()
+            if len(text) < LONG:
+                first, *parts = text.split(" ")
+                found = [self.together(PIECE.findall(first))] if first else []
+                found += map(self.parts.__getitem__, parts)
+                if None not in found and not (first and first[-1] in SPACE_OF_ANY):
                     yield found
                     continue
-            yield self._slowly(text)
+            yield self.slowly(text)
 
-    def _slowly(self, text: str) -> list:
+    def slowly(self, text: str) -> list:
         """By pieces, some at a time: for texts with runs of white space, and very long ones."""
         found = []
-        for pieces in batched((m.group() for m in PIECE.finditer(text)), GROUP // 8):
-            known = self.prepare(set(pieces))
-            found.extend(map(known.__getitem__, pieces))
+        for pieces in batched((m.group() for m in PIECE.finditer(text)), RUN):
+            found += map(self.pieces.__getitem__, pieces)
+            self.pieces.trim()
         return [None] if None in found else found

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,10 @@ SAMPLE_DOCS, SAMPLE_CHARS = 512, 6000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 
+# Fixed values of byte-level vocabularies: visible bytes stand for themselves, the others for characters from U+0100 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+
 _LOADED: dict[str, PieceCache] = {}
 
 
@@ -41,12 +46,18 @@ def _encoder(path: str) -> PieceCache:
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
+        model = library.model
+
+        def encode(piece: str) -> bytes | None:
+            return None if piece[-1] in RARE_SPACE else array("I", library.encode(piece, add_special_tokens=False).ids).tobytes()
 
-        def encode(pieces: list[str]) -> list[bytes | None]:
-            found = library.encode_batch_fast(pieces, add_special_tokens=False)
-            return [None if p and p[-1] in RARE_SPACE else np.array(x.ids, "<u4").tobytes() for p, x in zip(pieces, found, strict=True)]
+        def encode_word(letters: str) -> bytes:
+            # letters behind a blank are one part of the splitter, so that the model may take them directly
+            raw = " " + letters
+            symbols = "Ġ" + letters if raw.isascii() else raw.encode().decode("latin-1").translate(SYMBOLS)
+            return array("I", [t.id for t in model.tokenize(symbols)]).tobytes()
 
-        cache = _LOADED[path] = PieceCache(encode, lambda a, b: a + b)
+        cache = _LOADED[path] = PieceCache(encode, encode_word, lambda a, b: a + b)
         cache.library = library
     return _LOADED[path]
 
