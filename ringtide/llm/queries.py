@@ -85,3 +85,73 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     pages = table(spark, sf_dir, "pages")
     return extract.extract(pages, extract.fit_pages(pages))
+
+
+ORACLES["op1_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM r WHERE place <= 10
+"""
+
+_GRID = ", ".join(f"('{name}', {i}, {cut}::DOUBLE)" for name, cuts in quality.RATIOS.items() for i, cut in enumerate(cuts))
+_RISK = quality.Risk()
+_SHARE = _RISK.share / len(quality.RATIOS)
+
+ORACLES["op6_quality"] = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
+win AS (SELECT doc_id, i, list_slice(words, i, i + 7) AS win FROM starts),
+twice AS (SELECT doc_id, unnest(list(i)) AS i FROM win GROUP BY doc_id, win HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN rep USING (doc_id)),
+b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS lines,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeats FROM f),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+grid(ratio, step, cut) AS (VALUES {_GRID}),
+tests AS (
+  SELECT lang, ratio, step, cut, count(*) AS n,
+    count(*) FILTER (WHERE CASE ratio WHEN 'symbols' THEN symbols WHEN 'lines' THEN lines ELSE repeats END > cut) AS k
+  FROM b, grid WHERE NOT base_failed AND doc_id IN (FROM good) GROUP BY lang, ratio, step, cut),
+terms AS (SELECT lang, ratio, step, n, unnest(range(0, k + 1)) AS i FROM tests),
+tails AS (
+  SELECT lang, ratio, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE}))) AS p
+  FROM terms GROUP BY lang, ratio, step),
+passed AS (
+  SELECT t.*, coalesce(k < n * {_SHARE} AND p <= {1 - _RISK.confidence} / ({len(quality.RATIOS)} * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM tests)), false) AS ok
+  FROM tests t JOIN tails s ON t.lang IS NOT DISTINCT FROM s.lang AND t.ratio = s.ratio AND t.step = s.step),
+held AS (SELECT *, min(ok) OVER (PARTITION BY lang, ratio ORDER BY step) AS held FROM passed),
+cuts AS (
+  SELECT lang, min(cut) FILTER (WHERE ratio = 'symbols') AS cut_symbols, min(cut) FILTER (WHERE ratio = 'lines') AS cut_lines,
+    min(cut) FILTER (WHERE ratio = 'repeats') AS cut_repeats FROM held WHERE held GROUP BY lang)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cut_symbols, cut_lines, cut_repeats, base_failed,
+  NOT (base_failed OR coalesce(symbols > cut_symbols, false) OR coalesce(lines > cut_lines, false) OR coalesce(repeats > cut_repeats, false)) AS kept
+FROM b LEFT JOIN cuts ON b.lang IS NOT DISTINCT FROM cuts.lang
+"""
+
+ORACLES["op8_near_duplicates"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least.b, w.doc_id)) AS component_id, w.doc_id <= coalesce(least.b, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.a = w.doc_id
+"""
