@@ -36,8 +36,8 @@ CHUNK = 1 << 20
 class Size:
     """Bounds of the model, which a task holds whole: words and grams of each order, of all languages together."""
 
-    words: int = 200_000
-    grams: int = 60_000
+    words: int = 120_000
+    grams: int = 40_000
     orders: tuple[int, ...] = (4, 3, 2, 1)
 
 
@@ -96,13 +96,28 @@ def _totals(counts: DataFrame, by: list[str]) -> list:
     return counts.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
 
 
+class Places(dict):
+    """A row number for every word, given when the word is first seen."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.add(at, word)
+        return at
+
+
 class Model:
-    """Log frequencies by word and gram, an array over the languages each, and the scores of words already seen."""
+    """Log frequencies by word and gram, an array over the languages each."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], orders: tuple[int, ...]):
         self.langs, self.words, self.grams, self.orders = langs, words, grams, orders
-        self.place: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.place: Places | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None, "rows": None}
 
     def word_score(self, word: str) -> np.ndarray:
         """Log likelihood of a word in every language, up to a constant of the word."""
@@ -111,22 +126,21 @@ class Model:
         for order in self.orders:
             found = [g for x in grams_of(word, order) if (g := self.grams.get(x)) is not None]
             if found:
-                return np.sum(found, axis=0) / order
+                return sum(found) / order
         return np.zeros(len(self.langs))
 
+    def add(self, at: int, word: str) -> None:
+        """Put the scores of a word into its row."""
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self.word_score(word)
+
     def scores(self, words: list[str]) -> np.ndarray:
-        """Sum of the words' scores."""
-        place = self.place
-        new = set(words).difference(place)
-        if len(place) + len(new) > KEPT:
-            place.clear()
-            self.rows, new = [], set(words)
-        for word in new:
-            place[word] = len(self.rows)
-            self.rows.append(self.word_score(word))
-        counts = Counter(words)
-        table = np.array([self.rows[place[w]] for w in counts])
-        return np.fromiter(counts.values(), float, len(counts)) @ table
+        """Sum of the words' scores; those of words already seen are remembered."""
+        if self.place is None or len(self.place) > KEPT:
+            self.place, self.rows = Places(self.add), np.zeros((4096, len(self.langs)))
+        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.rows[places].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior under equal priors; `und` and 0 without a letter."""
