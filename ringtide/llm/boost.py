@@ -29,18 +29,23 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, penalty: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss; every level splits each node at the best of `bins` quantiles of a feature."""
-    n, features = x.shape
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(features)]
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 100, depth: int = 4, rate: float = 0.15, bins: int = 32, penalty: float = 1.0, share: float = 0.4, seed: int = 1) -> Trees:
+    """Newton boosting of the logistic loss; every level splits each node at the best of `bins` quantiles of a feature.
+
+    Each tree sees a drawn share of the features, so that none can stand for all others.
+    """
+    n, total = x.shape
+    features, draw = max(1, round(share * total)), np.random.default_rng(seed)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(total)]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    base = float(np.log(share / (1 - share)))
+    positive = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    base = float(np.log(positive / (1 - positive)))
     score = np.full(n, base)
     inner, leaves = 2**depth - 1, 2**depth
     all_feature, all_threshold, all_value = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves))
-    flat = binned + np.arange(features) * bins
     for t in range(trees):
+        seen = np.sort(draw.choice(total, features, replace=False))
+        flat = binned[:, seen] + np.arange(features) * bins
         p = 1 / (1 + np.exp(-score))
         slope, bend = p - y, p * (1 - p)
         node = np.zeros(n, np.int64)
@@ -53,7 +58,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             gain = g**2 / (h + penalty) + (gs - g) ** 2 / (hs - h + penalty) - gs**2 / (hs + penalty)
             gain[(h < 1e-3) | (hs - h < 1e-3)] = 0
             best = gain.reshape(count, -1).argmax(axis=1)
-            f, b = best // bins, best % bins
+            f, b = seen[best // bins], best % bins
             good = gain.reshape(count, -1)[np.arange(count), best] > 1e-6
             limit = np.array([cuts[a][c] if ok and c < len(cuts[a]) else np.inf for a, c, ok in zip(f, b, good, strict=True)])
             all_feature[t, first:first + count], all_threshold[t, first:first + count] = f, limit

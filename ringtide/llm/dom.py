@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 # Fixed values of HTML: elements that make blocks, that have no end, whose content is no text of the page, and what ends an open element.
-BLOCKS = frozenset("""address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form
-    h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption""".split())
+BLOCKS = frozenset("""address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form
+    h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BREAKS = frozenset(["br", "hr", "wbr"])
 UNSEEN = frozenset("script style title noscript template iframe object svg math canvas audio video select textarea noframes".split())
 CLOSES = {"li": (["li"], ["ul", "ol", "menu", "dir"]), "dd": (["dd", "dt"], ["dl"]), "dt": (["dd", "dt"], ["dl"]), "tr": (["tr"], ["table"]),
@@ -124,18 +125,19 @@ def parse(source: str | None) -> Page:
             text.append("\n")
         elif tag == "a":
             link = not end
-        elif tag == "body" and not end or tag == "html":
-            if tag == "body":
-                page.kinds[0] |= 0
+        elif tag in ("body", "html"):
+            pass  # both are the root
         elif tag not in BLOCKS:
             page.inline[stack[-1]] += not end
         elif end:
             for depth in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[depth]] == tag:
+                if page.tag[stack[depth]] == tag or tag in HEADINGS and page.tag[stack[depth]] in HEADINGS:
                     close(depth)
                     break
         else:
             flush()
+            if tag in HEADINGS and page.tag[stack[-1]] in HEADINGS:
+                close(len(stack) - 1)
             if tag in CLOSES:
                 ends, inside = CLOSES[tag]
                 for depth in range(len(stack) - 1, 0, -1):

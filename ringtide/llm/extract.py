@@ -22,7 +22,7 @@ from .common import arrow_task, columns_of
 from .dom import Page, features, parse
 
 #: Pages that lend their text runs, none longer than so many characters, and the pages that are made of them.
-SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 100, 20_000, 500
+SAMPLE_PAGES, SAMPLE_CHARS, MADE_PAGES = 100, 20_000, 800
 #: Mark of main text in made pages: a character that no page uses.
 MARK = "\ue000"
 
@@ -97,11 +97,12 @@ class Layout:
         d = self.draw
         mark = lambda t: MARK + t
         out = [f"<h1>{mark(self.words(1, 12))}</h1>"] if d.random() < 0.85 else []
-        for _ in range(d.choice([1, 1, 2, 3, 4, 5, 8, 12])):
-            form = d.random()
+        tiny = d.random() < 0.2
+        for _ in range(1 if tiny else d.choice([1, 1, 2, 3, 4, 5, 8, 12])):
+            form = d.random() * (0.75 if tiny else 1)
             if form < 0.78:
                 end = d.choice(["</p>", "</p>", "</p>", "", "<br>"])
-                out.append(f"<p>{mark(self.paragraph())}{end}")
+                out.append(f"<p>{mark(self.words(1, 6) if tiny else self.paragraph())}{end}")
             elif form < 0.85:
                 out.append(f"<h{d.choice([2, 3])}>{mark(self.words(1, 8))}</h2>")
             elif form < 0.91:
