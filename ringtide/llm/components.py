@@ -7,31 +7,45 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Rounds between two checkpoints.
+ROUNDS = 2
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """The larger neighbours of every node, then the smaller ones, hung below its smallest neighbour."""
+    both = edges.union(edges.select(F.col("b"), F.col("a")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    # every edge now points from the larger to the smaller end
+    hung = larger.join(larger.groupBy("a").agg(F.min("b").alias("m")), "a")
+    ends = hung.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+    return ends.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
+
 
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `comp`, the smallest node reachable, for every node of `edges` (`a`, `b`).
 
-    Every round hangs the larger neighbours of a node, then the smaller ones,
-    below its smallest neighbour. The rounds end when the edges stand still,
-    after a number of them that grows with the logarithm of the graph. A hub's
-    edges are never gathered: its minimum is a partial aggregate and is joined
-    back. Self-loops and repeated edges are allowed; null ends are left out.
+    The rounds end when the edges stand still, after a number of them that grows
+    with the logarithm of the graph. A hub's edges are never gathered: its
+    minimum is a partial aggregate and is joined back. Self-loops and repeated
+    edges are allowed; null ends are left out.
     """
-    edges = checkpointed(edges.select("a", "b").where("a <> b").distinct())
-    before = None
+    edges, before = checkpointed(edges.select("a", "b").where("a <> b").distinct()), None
     while True:
-        both = edges.union(edges.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # every edge now points from the larger to the smaller end
-        least = larger.groupBy("a").agg(F.min("b").alias("m"))
-        hung = larger.join(least, "a")
-        smaller = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hung.select("a", F.col("m").alias("b")))
-        edges = checkpointed(smaller.where("a <> b").distinct())
+        for _ in range(ROUNDS):
+            edges = _round(edges)
+        edges = checkpointed(edges)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state[0] == 0 or state == before:
             break
         before = state
     hung = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
-    return hung.union(roots.join(hung.select("node"), "node", "left_anti"))
+    return hung.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links, whose ends are components of `comp` or nodes that it does not name."""
+    moved = checkpointed(components(links))
+    again = comp.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("__to")), "comp", "left")
+    named = again.select("node", F.coalesce("__to", "comp").alias("comp"))
+    return checkpointed(named.union(moved.join(comp.select("node"), "node", "left_anti")))

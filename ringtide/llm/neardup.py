@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_task, checkpointed, columns_of, written
-from .components import components
+from .components import components, merged
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: Values of a signature, and where the trees begin to read it.
 VALUES, TREES, STRIDE = 64, 16, 4
 #: Prefix lengths of the regions. At similarity 0.75 all trees miss a prefix of 3 once in 6000 pairs.
-DEPTHS = (3, 5, 8, 12)
+DEPTHS = (3, 6, 12)
 #: A region of at most so many nodes is compared pair by pair.
 SMALL = 32
 #: Equal signature values below which a pair is not tested: 5 standard deviations under the expectation at 0.75.
@@ -194,30 +194,28 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     sets = written(sets_of(docs, shared, id_col, text_col), "shingles", compression="none")
     none = spark.createDataFrame([], "a long, b long")
 
-    # first one pair for each node, the likeliest; then the pairs that still join two components
-    first = candidates.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
-    links = confirmed(first, sets)
-    comp = checkpointed(components(links))
+    # first one pair for each node, the likeliest; then what still joins two components
+    first = checkpointed(candidates.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b"))
+    comp = checkpointed(components(confirmed(first, sets)))
     tested = first
 
     def add(pairs: DataFrame) -> bool:
         """Test the pairs of different components that were not tested before."""
-        nonlocal links, comp, tested
-        new = labelled(pairs.join(tested, ["a", "b"], "left_anti"), comp, "a", "b").where("a_comp <> b_comp").select("a", "b")
-        new = checkpointed(new)
+        nonlocal comp, tested
+        new = checkpointed(labelled(pairs.join(tested, ["a", "b"], "left_anti"), comp, "a", "b").where("a_comp <> b_comp").select("a", "b"))
         if new.isEmpty():
             return False
-        links = links.union(confirmed(new, sets))
-        comp = checkpointed(components(links))
         tested = tested.union(new)
+        found = labelled(confirmed(new, sets), comp, "a", "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        if not found.isEmpty():
+            comp = merged(comp, found)
         return True
 
-    add(candidates.select("a", "b"))
     inside = labelled(small_regions.select("node", "tree", "key", "depth"), comp, "node")
     several = inside.groupBy("tree", "depth", "key").agg(F.collect_list(F.struct("node", "node_comp")).alias("m"), F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo <> hi")
     left = several.select(F.explode("m").alias("x"), "m")
     cross = left.select(F.col("x.node").alias("a"), "x.node_comp", F.explode("m").alias("y")).where("a < y.node AND node_comp <> y.node_comp").select("a", F.col("y.node").alias("b"))
-    add(likely(checkpointed(cross.distinct()), nodes).select("a", "b"))
+    add(candidates.select("a", "b").union(likely(checkpointed(cross.distinct()), nodes).select("a", "b")).distinct())
 
     led = none.select(F.col("a").alias("comp_led"), F.col("b").alias("key")).withColumn("tree", F.lit(0))
     while last is not None:
