@@ -16,7 +16,8 @@ def _stack(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right
     right_row = F.struct(*payload)
     right_type = right.select(right_row.alias("x")).schema["x"].dataType
     tie_type = right.schema[tie].dataType if tie else None
-    a = right.select(
+    # a row without a time comes before nothing
+    a = right.where(F.col(right_on).isNotNull()).select(
         *by, F.col(right_on).alias("__t"), F.lit(0).alias("__side"),
         (F.col(tie) if tie else F.lit(0)).alias("__tie"),
         right_row.alias("__right"), F.lit(None).cast(left_type).alias("__left"),

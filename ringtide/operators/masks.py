@@ -32,7 +32,8 @@ def seconds_since(points: DataFrame, spans: DataFrame, by: list[str], time: str,
     """Time since the latest stop among spans already started; 0 inside one, null before any."""
     s = spans.select(*by, F.col("start").alias("__start"), F.col("stop").alias("__stop"))
     hit = running_max_join(points, s, by, time, "__start", "__stop", "__last", chunks)
-    return hit.withColumn(out, F.greatest(F.col(time) - F.col("__last"), F.lit(0))).drop("__last")
+    since = F.greatest(F.col(time) - F.col("__last"), F.lit(0))
+    return hit.withColumn(out, F.when(F.col("__last").isNotNull(), since)).drop("__last")
 
 
 def passes(column: str, at_most=None, more_than=None, magnitude: bool = False) -> Column:

@@ -77,9 +77,27 @@ class Cuts:
     ties: tuple[tuple[float, tuple[float, ...]], ...] = ()
 
 
+def _axis(df: DataFrame, column: str) -> Column:
+    """A number that never falls where `column` rises, null where it is null; what cuts are made on."""
+    kind, c = df.schema[column].dataType.simpleString(), F.col(column)
+    if _is_numeric(df, column):
+        return c.cast("double")
+    if kind == "boolean":
+        return c.cast("int").cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind in ("date", "timestamp_ntz"):
+        days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+        inside = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c) if kind == "timestamp_ntz" else F.lit(0)
+        return (days * 86400.0 + inside).cast("double")
+    if kind == "string":  # the first six bytes
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"rows cannot be ordered by {column} of type {kind}")
+
+
 def _quantile_points(df: DataFrame, column: str, n: int) -> list[float]:
     return (
-        df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+        df.select(_axis(df, column).alias("x")).where(F.col("x").isNotNull())
         .approxQuantile("x", [i / n for i in range(1, n)], min(0.05, 0.25 / n))
     )
 
@@ -94,6 +112,7 @@ def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None =
     if isinstance(chunks, Cuts):
         return chunks
     order = [order] if isinstance(order, str) else list(order)
+    _axis(df, order[0])  # refuses, cut or not
     n = chunk_count(df, chunks)
     if n <= 1:
         return Cuts()
@@ -103,7 +122,7 @@ def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None =
         for value in sorted(points):
             share = found.count(value)
             if share > 1:  # the value spans several chunks: give it its own and cut it further
-                same = df.where(F.col(order[0]).cast("double") == value)
+                same = df.where(_axis(df, order[0]) == value)
                 ties.append((value, tuple(sorted(set(_quantile_points(same, order[1], share + 1))))))
                 points.add(math.nextafter(value, math.inf))
     return Cuts(tuple(sorted(points)), tuple(ties))
@@ -112,8 +131,9 @@ def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None =
 def _bucket(df: DataFrame, column: str, points: tuple[float, ...], name: str) -> DataFrame:
     splits = [float("-inf"), *points, float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="__order", outputCol=name, handleInvalid="keep")
-    out = cutter.transform(df.withColumn("__order", F.col(column).cast("double")))
-    return out.withColumn(name, F.col(name).cast("int")).drop("__order")
+    out = cutter.transform(df.withColumn("__order", _axis(df, column)))
+    # null sorts before all values; NaN, which sorts behind them, has a last chunk of its own
+    return out.withColumn(name, F.when(F.col("__order").isNull(), 0).otherwise(F.col(name).cast("int"))).drop("__order")
 
 
 def with_chunks(df: DataFrame, order: str | list[str], cuts: Cuts) -> tuple[DataFrame, int]:
@@ -129,7 +149,7 @@ def with_chunks(df: DataFrame, order: str | list[str], cuts: Cuts) -> tuple[Data
         for i, (value, points) in enumerate(cuts.ties):
             if points:
                 out = _bucket(out, order[1], points, f"__tie_{i}")
-                inner = F.when(F.col(order[0]).cast("double") == value, F.col(f"__tie_{i}")).otherwise(inner)
+                inner = F.when(_axis(df, order[0]) == value, F.col(f"__tie_{i}")).otherwise(inner)
         out = out.withColumn(CHUNK, F.col(CHUNK) * width + inner)
         out = out.drop(*[f"__tie_{i}" for i in range(len(cuts.ties))])
     return out, (len(cuts.points) + 1) * width
@@ -154,7 +174,7 @@ def scan(
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(1, W.unboundedFollowing)
     step = W.partitionBy(*keys).orderBy(CHUNK)
-    rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    rank = F.struct(*order)  # a struct is not null where its first value is
     for i, (name, spec) in enumerate(specs.items()):
         x, s, c = f"__in_{i}", f"__sum_{i}", f"__carry_{i}"
         value = F.col(x)

@@ -47,7 +47,7 @@ def _(spark, sf):
 
 @query("seconds_since", f"""WITH {b.SPIKES}, {b.INTERVALS},
 m AS (SELECT session, start, max(max(stop)) OVER (PARTITION BY session ORDER BY start) AS last FROM iv GROUP BY 1, 2)
-SELECT event_id, greatest(us - last, 0) AS since FROM sp ASOF LEFT JOIN m ON sp.session = m.session AND us >= start""".replace(
+SELECT event_id, CASE WHEN last IS NOT NULL THEN greatest(us - last, 0) END AS since FROM sp ASOF LEFT JOIN m ON sp.session = m.session AND us >= start""".replace(
     "max(max(stop)) OVER (PARTITION BY session ORDER BY start) AS last FROM iv GROUP BY 1, 2",
     "max(stop) OVER (PARTITION BY session ORDER BY start) AS last FROM (SELECT session, start, max(stop) AS stop FROM iv GROUP BY 1, 2)"))
 def _(spark, sf):

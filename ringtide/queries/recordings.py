@@ -318,7 +318,7 @@ def _(spark, sf):
 @query("minimal_paths", """WITH p AS (SELECT DISTINCT regexp_replace(url, '/+$', '') AS path FROM pages UNION SELECT DISTINCT regexp_replace(regexp_replace(url, '/[^/]*$', ''), '/+$', '') FROM pages WHERE page_id % 3 = 0)
 SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.path <> p.path AND starts_with(p.path, q.path || '/'))""")
 def _(spark, sf):
-    from ..plans.config import minimal_cover
+    from ..operators.paths import minimal_cover
 
     p = b.table(spark, sf, "pages")
     stem = F.regexp_replace("url", "/+$", "")

@@ -8,12 +8,12 @@ runs to find it out.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES_CONF = "spark.ringtide.scan.chunkBytes"
 DEFAULT_CHUNK_BYTES = 128 << 20
-MAX_CHUNKS = 4096
 
 
 def _leaf_bytes(leaf) -> int:
@@ -41,7 +41,7 @@ def chunk_count(df: DataFrame, chunks: int | None = None) -> int:
         return max(1, int(chunks))
     conf = df.sparkSession.conf
     target = int(conf.get(CHUNK_BYTES_CONF, str(DEFAULT_CHUNK_BYTES)))
-    return max(1, min(MAX_CHUNKS, math.ceil(estimated_bytes(df) / target)))
+    return max(1, math.ceil(estimated_bytes(df) / target))
 
 
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or fallback_dir
         if shared is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             import tempfile
 

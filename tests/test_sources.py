@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ringtide.plans.config import DEFAULTS, deep_merge, load_config, minimal_cover, shell_assignments, split_overrides
+from ringtide.operators.paths import minimal_cover
 from ringtide.sources import catalog, store
 from ringtide.sources.binary import read_traces
 from ringtide.sources.tracking_csv import load_tracking, read_body_track, rigid_body_names
@@ -98,21 +98,6 @@ def test_label_table(spark, tmp_path):
     assert rows[3]["prob"] == 0.5 and rows[10]["prob"] is None and rows[10]["auto_label"] == ""
 
 
-def test_config(tmp_path):
-    merged = deep_merge(DEFAULTS, {"state_scoring": {"movement": {"enabled": True}}})
-    assert merged["state_scoring"]["movement"]["enabled"] and merged["state_scoring"]["step_s"] == 1.0
-    assert not DEFAULTS["state_scoring"]["movement"]["enabled"]
-    path = tmp_path / "c.json"
-    for text, message in (("{", "line 1"), ("[]", "expected an object"), ('{"nope": 1}', "unknown keys")):
-        path.write_text(text)
-        with pytest.raises(SystemExit, match=message):
-            load_config(str(path))
-    assert split_overrides({"a": 1, "k": 2}, {"a": 0}, {"k"}) == ({"a": 1}, {"k": 2})
-    with pytest.raises(ValueError):
-        split_overrides({"r": 1}, {"r": 0}, set(), {"r"})
-    assert shell_assignments({"A": "x y", "B": ["p", "q r"]}) == "A='x y'\nB=(p 'q r')"
-
-
 def test_minimal_cover(spark):
     paths = spark.createDataFrame([("/a/b",), ("/a/b/c",), ("/a/bc",), ("/x",), ("/x/y/z",)], "p string")
     assert sorted(r[0] for r in minimal_cover(paths, "p").collect()) == ["/a/b", "/a/bc", "/x"]
