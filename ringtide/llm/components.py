@@ -22,23 +22,27 @@ def _round(edges: DataFrame) -> DataFrame:
     return ends.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs below one other, and none that others hang below."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+                                          F.struct(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return nodes.where("below + above > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `comp`, the smallest node reachable, for every node of `edges` (`a`, `b`).
 
-    The rounds end when the edges stand still, after a number of them that grows
+    The rounds end when only stars are left, after a number of them that grows
     with the logarithm of the graph. A hub's edges are never gathered: its
     minimum is a partial aggregate and is joined back. Self-loops and repeated
     edges are allowed; null ends are left out.
     """
-    edges, before = checkpointed(edges.select("a", "b").where("a <> b").distinct()), None
-    while True:
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _stars(edges):
         for _ in range(ROUNDS):
             edges = _round(edges)
         edges = checkpointed(edges)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            break
-        before = state
     hung = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     return hung.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
