@@ -5,8 +5,8 @@ tree of the forest reads the signature in its own order; nodes with a common
 prefix form a region, and a region that holds too many nodes is split by a longer
 prefix. Candidates are a region's smallest node with every other (which joins
 large groups with few tests) and all pairs of different components in a small
-region. Regions that stay large at the greatest depth take further leaders until
-each of their components has led. Every link is confirmed on the full sets.
+region. In regions that stay large at the greatest depth every node outside the main
+component leads as well. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_task, checkpointed, columns_of, written
 from .components import components, merged
@@ -28,6 +29,8 @@ VALUES, TREES, STRIDE = 64, 16, 4
 DEPTHS = (3, 6, 12)
 #: A region of at most so many nodes is compared pair by pair.
 SMALL = 32
+#: Nodes of a large region that lead in one round; the next rounds take the rest.
+LEADERS = 64
 #: Equal signature values below which a pair is not tested: 5 standard deviations under the expectation at 0.75.
 LEAST_EQUAL = 31
 #: Rows up to which a table of ids or pairs is broadcast; a larger one is joined by a shuffle.
@@ -165,7 +168,6 @@ def labelled(df: DataFrame, comp: DataFrame, *columns: str) -> DataFrame:
 
 def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Components (`node`, `comp`) of the nodes that have links. `nodes`: node, sig."""
-    spark = nodes.sparkSession
     stars, small, large, active = [], [], None, nodes
     for depth in DEPTHS:
         keys = prefixes(active, depth)
@@ -192,8 +194,6 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     # the sets of every node that shares a region with another: they alone can have links
     shared = checkpointed(union([s.select(F.col("b").alias("node")) for s in stars] + [s.select(F.col("a").alias("node")) for s in stars]).distinct())
     sets = written(sets_of(docs, shared, id_col, text_col), "shingles", compression="none")
-    none = spark.createDataFrame([], "a long, b long")
-
     # first one pair for each node, the likeliest; then what still joins two components
     first = checkpointed(candidates.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b"))
     comp = checkpointed(components(confirmed(first, sets)))
@@ -217,20 +217,23 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     cross = left.select(F.col("x.node").alias("a"), "x.node_comp", F.explode("m").alias("y")).where("a < y.node AND node_comp <> y.node_comp").select("a", F.col("y.node").alias("b"))
     add(candidates.select("a", "b").union(likely(checkpointed(cross.distinct()), nodes).select("a", "b")).distinct())
 
-    led = none.select(F.col("a").alias("comp_led"), F.col("b").alias("key")).withColumn("tree", F.lit(0))
+    led = None
     while last is not None:
-        # in a region still large at the greatest depth, the smallest node of a component that has not led is tested with all others
+        # in a region still large at the greatest depth, every node outside its main component is tested with all nodes of others
         now = labelled(last.select("node", "tree", "key"), comp, "node")
-        old = checkpointed(labelled(led.withColumnRenamed("comp_led", "c"), comp, "c").select("tree", "key", F.col("c_comp").alias("node_comp")).distinct())
-        rest = now.join(old, ["tree", "key", "node_comp"], "left_anti")
-        leaders = rest.groupBy("tree", "key").agg(F.min("node").alias("a"))
-        waiting = now.groupBy("tree", "key").agg(F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo <> hi")
-        leaders = checkpointed(leaders.join(waiting.select("tree", "key"), ["tree", "key"], "left_semi"))
+        sizes = now.groupBy("tree", "key", "node_comp").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("tree", "key").agg(F.max_by("node_comp", F.struct("n", -F.col("node_comp"))).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        rest = now.join(main, ["tree", "key"]).where("node_comp <> main").select("tree", "key", "node", "node_comp")
+        rest = rest if led is None else rest.join(led, ["tree", "key", "node"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("tree", "key").orderBy("node"))
+        leaders = checkpointed(rest.withColumn("__n", turn).where(F.col("__n") <= LEADERS).drop("__n"))
         if leaders.isEmpty():
             break
-        led = led.union(leaders.select("a", "key", "tree"))
-        pairs = now.select("tree", "key", F.col("node").alias("b")).join(leaders, ["tree", "key"]).where("a <> b")
-        add(likely(pairs, nodes).select("a", "b"))
+        names = leaders.select("tree", "key", "node")
+        led = names if led is None else led.union(names)
+        others = now.select("tree", "key", F.col("node").alias("b"), F.col("node_comp").alias("b_comp"))
+        pairs = others.join(leaders.withColumnRenamed("node", "a"), ["tree", "key"]).where("b_comp <> node_comp")
+        add(likely(pairs.select("a", "b"), nodes).select("a", "b"))
     return comp
 
 
