@@ -120,7 +120,7 @@ def top_k(rows: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", v
     held = written(found.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")), "vectors")
     asking = held.where("asks").dropDuplicates(["id", "v"])
     blocks = max(1, math.ceil(asking.count() / QUERY_ROWS))
-    asking = asking.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("row", F.xxhash64("id", "v"))
+    asking = written(asking.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("row", F.xxhash64("id", "v")), "queries")
 
     def work(here: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"row": [], "query_id": [], "vec_id": [], "score": []}
