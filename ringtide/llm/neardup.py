@@ -2,11 +2,10 @@
 
 A document is the set of its five-word shingles. Equal sets are one node. Every
 tree of the forest reads the signature in its own order; nodes with a common
-prefix form a region, and a region that holds too many nodes is split by a longer
-prefix. Candidates are a region's smallest node with every other (which joins
-large groups with few tests) and all pairs of different components in a small
-region. In regions that stay large at the greatest depth every node outside the main
-component leads as well. Every link is confirmed on the full sets.
+prefix form a region. Candidates are a region's smallest node with every other
+(which joins large groups with few tests) and all pairs of different components. A
+region that holds too many nodes is first split by longer prefixes, which joins what
+is most alike; then all its pairs of different components are compared in blocks. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_task, checkpointed, columns_of, written
 from .components import components, merged
@@ -29,14 +27,14 @@ VALUES, TREES, STRIDE = 64, 16, 4
 DEPTHS = (3, 6, 12)
 #: A region of at most so many nodes is compared pair by pair.
 SMALL = 32
-#: Nodes of a large region that lead in one round; the next rounds take the rest.
-LEADERS = 64
+#: Nodes of a block of a large region; blocks are compared two by two, each pair of them in a group of its own.
+BLOCK = 512
 #: Equal signature values below which a pair is not tested: 5 standard deviations under the expectation at 0.75.
 LEAST_EQUAL = 31
 #: Rows up to which a table of ids or pairs is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Word hashes that a worker keeps; bytes of a text that are split into words at a time.
-KEPT, CHUNK = 500_000, 1 << 22
+KEPT, CHUNK = 150_000, 1 << 22
 
 _MIX = np.random.default_rng(20_011)
 MULTIPLIERS = _MIX.integers(1 << 62, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
@@ -166,9 +164,91 @@ def labelled(df: DataFrame, comp: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def block_links():
+    """Links between components of two blocks of a region (or inside one), as a function of its Arrow table.
+
+    All likely pairs of different components are confirmed on the full sets,
+    but for those that links found before have joined; so there are fewer links
+    than nodes. A pair is left to the first tree in which it shares a region.
+    """
+    first, stride, values, least, percent = DEPTHS[0], STRIDE, VALUES, LEAST_EQUAL, PERCENT
+
+    def work(table: pa.Table) -> pa.Table:
+        _HASHES.clear()  # a worker that has made shingles before
+        table = table.combine_chunks()
+        node, comp, block, main = (table.column(c).to_numpy() for c in ("node", "comp", "block", "main"))
+        sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(-1, values)
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64)])
+        tree, i, j, with_main = (table.column(c)[0].as_py() for c in ("tree", "i", "j", "with_main"))
+        x = np.flatnonzero(~main & (block == i))
+        y = np.flatnonzero(main & (block == j)) if with_main else np.flatnonzero(~main & (block == j))
+        inside, links, parent = not with_main and i == j, [], {}
+
+        def top(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        for start in range(0, len(x), 64):
+            for at in range(0, len(y), 512):
+                rows, cols = x[start:start + 64], y[at:at + 512]
+                same = sig[rows].T[:, :, None] == sig[cols].T[:, None, :]
+                equal = same.sum(axis=0, dtype=np.uint8)
+                met = (equal >= least) & (comp[rows][:, None] != comp[cols][None, :])
+                if inside:
+                    met &= rows[:, None] < cols[None, :]
+                for t in range(tree):
+                    met &= ~same[[(t * stride + k) % values for k in range(first)]].all(axis=0)
+                r, c = np.nonzero(met)
+                order = np.argsort(-equal[r, c].astype(np.int64), kind="stable")
+                for p, q in zip(rows[r[order]].tolist(), cols[c[order]].tolist(), strict=True):
+                    u, v = top(int(comp[p])), top(int(comp[q]))
+                    n, m = ends[p + 1] - ends[p], ends[q + 1] - ends[q]
+                    if u == v or 100 * min(n, m) < percent * max(n, m):
+                        continue
+                    both = np.concatenate([flat[ends[p]:ends[p + 1]], flat[ends[q]:ends[q + 1]]])
+                    both.sort(kind="stable")
+                    meet = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * meet >= percent * (n + m - meet):
+                        parent[max(u, v)] = min(u, v)
+                        links.append((int(node[p]), int(node[q])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return work
+
+
+def region_links(wide: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) that join the components in the large regions `wide` (node, tree, key); no pair is left out.
+
+    Nodes outside a region's main component are dealt to blocks and meet all
+    blocks; the main component's nodes, which are linked already, meet only
+    those. No task holds more than two blocks at a time.
+    """
+    now = labelled(wide, comp, "node").withColumnRenamed("node_comp", "comp")
+    sizes = now.groupBy("tree", "key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    chief = sizes.groupBy("tree", "key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("chief"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+    blocks = chief.select("tree", "key", "chief", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("most") / BLOCK).cast("int").alias("inner"))
+    dealt = now.join(blocks, ["tree", "key"]).withColumn("main", F.col("comp") == F.col("chief"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    outer, inner = F.sequence(F.lit(0), F.col("outer") - 1), F.sequence(F.lit(0), F.col("inner") - 1)
+
+    def meeting(i: Column, j: Column, with_main: bool) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(with_main).alias("with_main"))
+
+    own = F.concat(F.transform(outer, lambda o: meeting(F.least(o, "block"), F.greatest(o, "block"), False)), F.transform(inner, lambda m: meeting(F.col("block"), m, True)))
+    meets = F.when(F.col("main"), F.transform(outer, lambda o: meeting(o, F.col("block"), True))).otherwise(own)
+    spread = dealt.select("node", "comp", "tree", "key", "main", "block", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
+    full = spread.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    return full.groupBy("tree", "key", "i", "j", "with_main").applyInArrow(block_links(), "a long, b long")
+
+
 def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Components (`node`, `comp`) of the nodes that have links. `nodes`: node, sig."""
-    stars, small, large, active = [], [], None, nodes
+    stars, small, large, wide, active = [], [], None, None, nodes
     for depth in DEPTHS:
         keys = prefixes(active, depth)
         if large is not None:
@@ -179,9 +259,9 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
         small.append(members.where(F.col("size") <= SMALL))
         large = members.where(F.col("size") > SMALL).select("node", "tree")
         if large.isEmpty():
-            large, last = None, None
             break
-        active, last = nodes.join(large.select("node").distinct(), "node", "left_semi"), members.where(F.col("size") > SMALL)
+        wide = members.where(F.col("size") > SMALL).select("node", "tree", "key") if wide is None else wide
+        active = nodes.join(large.select("node").distinct(), "node", "left_semi")
 
     def union(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -217,23 +297,10 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     cross = left.select(F.col("x.node").alias("a"), "x.node_comp", F.explode("m").alias("y")).where("a < y.node AND node_comp <> y.node_comp").select("a", F.col("y.node").alias("b"))
     add(candidates.select("a", "b").union(likely(checkpointed(cross.distinct()), nodes).select("a", "b")).distinct())
 
-    led = None
-    while last is not None:
-        # in a region still large at the greatest depth, every node outside its main component is tested with all nodes of others
-        now = labelled(last.select("node", "tree", "key"), comp, "node")
-        sizes = now.groupBy("tree", "key", "node_comp").agg(F.count(F.lit(1)).alias("n"))
-        main = sizes.groupBy("tree", "key").agg(F.max_by("node_comp", F.struct("n", -F.col("node_comp"))).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        rest = now.join(main, ["tree", "key"]).where("node_comp <> main").select("tree", "key", "node", "node_comp")
-        rest = rest if led is None else rest.join(led, ["tree", "key", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("tree", "key").orderBy("node"))
-        leaders = checkpointed(rest.withColumn("__n", turn).where(F.col("__n") <= LEADERS).drop("__n"))
-        if leaders.isEmpty():
-            break
-        names = leaders.select("tree", "key", "node")
-        led = names if led is None else led.union(names)
-        others = now.select("tree", "key", F.col("node").alias("b"), F.col("node_comp").alias("b_comp"))
-        pairs = others.join(leaders.withColumnRenamed("node", "a"), ["tree", "key"]).where("b_comp <> node_comp")
-        add(likely(pairs.select("a", "b"), nodes).select("a", "b"))
+    if wide is not None:
+        found = labelled(checkpointed(region_links(wide, comp, nodes, sets)), comp, "a", "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        if not found.isEmpty():
+            comp = merged(comp, found)
     return comp
 
 

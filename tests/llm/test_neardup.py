@@ -68,6 +68,22 @@ def test_classes_equal_all_pairs(spark, monkeypatch, small, depths):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("block", [512, 30])
+def test_pairs_inside_a_dense_family(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    passage, rows = [f"p{i}" for i in range(144)], []
+    for i in range(200):  # 140 of 200 shingles are common: 0.70; the twins 2k and 2k + 1 below 24 share 7 more: 0.76
+        tail = [f"d{i}x{j}" for j in range(30)]
+        if i < 24:
+            tail[:7] = [f"t{i // 2}x{j}" for j in range(7)]
+        rows.append((i, " ".join(passage + tail)))
+    random.Random(2).shuffle(rows)
+    want = brute(rows)
+    assert want == {i: i // 2 * 2 if i < 24 else i for i in range(200)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == want
+
+
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
     rows = families(9)[:150]
