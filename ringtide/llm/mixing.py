@@ -2,11 +2,12 @@
 
 A source with weight w emits its k-th block between the release floor(k / w) and
 the deadline ceil((k + 1) / w). Earliest deadline first among released blocks
-keeps every source within one block of its share at any time. Weights are
-fractions of one period, so that one period of the schedule says it all: block k
-stands k div a periods later, at the place of block k mod a, for a source with a
-blocks in a period. When a source has no more blocks, the others go on with
-their weights relative to each other: a new phase with its own period.
+keeps every source within one block of its share at any time. Weights are exact
+fractions, and a phase is scheduled to its end. When a source has no more blocks,
+the others go on with their weights relative to each other: a new phase.
+
+The largest sources take part by themselves. The others share one place among
+them, `rest`, and inside it take turns in the same way, by their own weights.
 """
 
 from __future__ import annotations
@@ -14,54 +15,52 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import running
 
-#: Rows of a block, and blocks of a period.
-BLOCK_ROWS, PERIOD = 32, 2000
-#: So many of the largest sources have weights of their own; smaller ones share one.
+#: Rows of a block.
+BLOCK_ROWS = 32
+#: So many of the largest sources take part by themselves; smaller ones are mixed inside one place of the order, which they share.
 SOURCES = 200
 
 
-def period_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks of every source in a period: by largest remainder, one at least; null or non-positive weights count as the least."""
-    sound = {s: w for s, w in weights.items() if w and w > 0 and math.isfinite(w)}
-    least = min(sound.values(), default=1.0)
-    weights = {s: sound.get(s, least) for s in weights}
-    free = max(period, 2 * len(weights)) - len(weights)
+def numerators(weights: dict[str, float]) -> dict[str, int]:
+    """The exact weights as whole numbers over one denominator; null or non-positive weights count as the least."""
+    sound = {s: Fraction(w) for s, w in weights.items() if w and w > 0 and math.isfinite(w)}
+    least = min(sound.values(), default=Fraction(1))
+    scale = math.lcm(*(w.denominator for w in sound.values()))
+    return {s: int(sound.get(s, least) * scale) for s in weights}
+
+
+def schedule(weights: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Places of every source's blocks by release and deadline, until a source has emitted all its blocks; without `blocks`, over as many places as the weights add up to."""
     total = sum(weights.values())
-    share = {s: free * w / total for s, w in weights.items()}
-    blocks = {s: 1 + int(share[s]) for s in weights}
-    rest = free + len(weights) - sum(blocks.values())
-    for s in sorted(share, key=lambda s: (int(share[s]) - share[s], s))[:rest]:
-        blocks[s] += 1
-    return blocks
-
-
-def schedule(blocks: dict[str, int]) -> dict[str, list[int]]:
-    """Places of every source's blocks in a period, by release and deadline."""
-    period = sum(blocks.values())
-    releases: list[list] = [[] for _ in range(period)]
-    for s, n in blocks.items():
-        for k in range(n):
-            releases[k * period // n].append((-(-(k + 1) * period // n), s))
+    waiting = [(0, s, 0) for s in sorted(weights)]
     ready: list = []
-    places: dict[str, list[int]] = {s: [] for s in blocks}
-    for slot in range(period):
-        for block in releases[slot]:
-            heapq.heappush(ready, block)
-        deadline, s = heapq.heappop(ready)
+    places: dict[str, list[int]] = {s: [] for s in weights}
+    slot = 0
+    while slot < total or blocks is not None:
+        while waiting and waiting[0][0] <= slot:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weights[s]), s, k))
+        deadline, s, k = heapq.heappop(ready)
         assert deadline > slot
         places[s].append(slot)
+        if blocks is not None and k + 1 == blocks[s]:
+            break
+        heapq.heappush(waiting, ((k + 1) * total // weights[s], s, k + 1))
+        slot += 1
     return places
 
 
 @dataclass
 class Phase:
-    """Part of the order in which the same sources are active."""
+    """Part of the order in which the same sources are active; `period` is its length."""
 
     source: str
     first_block: int
@@ -74,24 +73,43 @@ class Phase:
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
     """The phases of all sources; one ends with the last block of a source."""
     left, done = dict(blocks), dict.fromkeys(blocks, 0)
+    exact = numerators({s: weights[s] for s in blocks})
     out, slot, number = [], 0, 0
     while left := {s: n for s, n in left.items() if n}:
-        places = schedule(period_of({s: weights[s] for s in left}))
-        period = sum(map(len, places.values()))
-
-        def slot_of(s: str, k: int, places: dict = places, period: int = period) -> int:
-            return k // len(places[s]) * period + places[s][k % len(places[s])]
-
-        length = min(slot_of(s, n - 1) for s, n in left.items()) + 1
-        for s in left:
-            out.append(Phase(s, done[s], slot, period, places[s], number))
-            emitted = length // period * len(places[s]) + sum(p < length % period for p in places[s])
-            done[s] += emitted
-            left[s] -= emitted
+        places = schedule({s: exact[s] for s in left}, left)
+        length = sum(map(len, places.values()))
+        for s, at in places.items():
+            if at:
+                out.append(Phase(s, done[s], slot, length, at, number))
+                done[s] += len(at)
+                left[s] -= len(at)
         slot, number = slot + length, number + 1
     return out
 
 
+def block_plan(rows: dict[str, int], largest: set[str], weights, block_rows: int) -> pa.Table:
+    """Where each block of each source begins in its place of the order, and the slots and phases of the one or two blocks there that it fills."""
+    tail = {s: n for s, n in rows.items() if s not in largest}
+    shared = {s: n for s, n in rows.items() if s in largest} | ({"rest": sum(tail.values())} if tail else {})
+    slots: dict[str, list[tuple[int, int]]] = {s: [] for s in shared}
+    for p in phases({s: math.ceil(n / block_rows) for s, n in shared.items()}, weights(shared) if shared else {}):
+        slots[p.source] += [(p.first_slot + at, p.number) for at in p.places]
+    found = [(s, k, k * block_rows, *at, *at) for s in shared if s != "rest" for k, at in enumerate(slots[s])]
+    inner = {}
+    for p in phases({s: math.ceil(n / block_rows) for s, n in tail.items()}, weights(tail) if tail else {}):
+        for i, at in enumerate(p.places):
+            inner[p.first_slot + at] = (p.source, p.first_block + i)
+    start = 0
+    for at in range(len(inner)):
+        s, k = inner[at]
+        size = min(block_rows, tail[s] - k * block_rows)
+        found.append((s, k, start, *slots["rest"][start // block_rows], *slots["rest"][(start + size - 1) // block_rows]))
+        start += size
+    names = ["__source", "__own", "__start", "__slot_a", "__phase_a", "__slot_b", "__phase_b"]
+    kinds = [pa.string(), *[pa.int64()] * 6]
+    return pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=names)
+
+
 def square_roots(rows: dict[str, int]) -> dict[str, float]:
     """Weights that lift small sources: the square root of the rows."""
     return {s: math.sqrt(n) for s, n in rows.items()}
@@ -101,37 +119,35 @@ def mixed(docs: DataFrame, weights=square_roots, source_col: str = "source", blo
     """`docs` with `__key` (its source), `__block`, `__phase`, `__slot` and `__at`, its place in the mixed order.
 
     `weights` turns rows by source into weights by source; sources are named
-    by "s" and the value, a null source by "null", those beyond SOURCES by
-    "rest". Every row is placed once; none is dropped when a source runs out. A
-    source's rows keep the order in which they are read. Empty tables stay empty.
+    by "s" and the value, a null source by "null". Those beyond SOURCES count
+    together as "rest", and `weights` is asked again how they share it: their
+    blocks take turns inside "rest". Every row is placed once; none is dropped
+    when a source runs out. A source's rows keep the order in which they are
+    read. Empty tables stay empty. The plan has a row per block and is joined by
+    source and block, so that a hot source is spread; the driver holds it once.
     """
     spark = docs.sparkSession
     source = F.col(f"`{source_col}`").cast("string")
-    largest = [r["__s"] for r in docs.where(source.isNotNull()).groupBy(source.alias("__s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__s").limit(SOURCES).collect()]
-    key: Column = F.when(source.isNull(), "null").when(source.isin(largest), F.concat(F.lit("s"), source)).otherwise("rest")
-    numbered = running(docs.withColumn("__key", key).withColumn("__one", F.lit(1).cast("long")), "__key", "__one", "mixing", compression="zstd")
-    rows = {r["__key"]: r["n"] for r in numbered.groupBy("__key").agg(F.sum("__one").alias("n")).collect()}
-    found = phases({s: math.ceil(n / block_rows) for s, n in rows.items()}, weights(rows))
-    table: dict[str, list[Phase]] = {}
-    for p in found:
-        table.setdefault(p.source, []).append(p)
-    plan = spark.createDataFrame(
-        [(s, [(p.first_block, p.first_slot, p.period, p.number, p.places) for p in ps]) for s, ps in sorted(table.items())],
-        "__key string, __phases array<struct<first_block:long, first_slot:long, period:long, number:int, places:array<int>>>")
-    placed = numbered.withColumn("__block", F.floor(F.col("__before") / block_rows)).join(F.broadcast(plan), "__key")  # SOURCES + 2 rows
-    now = F.element_at("__phases", F.size(F.filter("__phases", lambda p: p["first_block"] <= F.col("__block"))))
-    placed = placed.withColumn("__now", now).drop("__phases")
-    k, places = F.col("__block") - F.col("__now.first_block"), F.col("__now.places")
-    size = F.size(places)
-    slot = F.col("__now.first_slot") + F.floor(k / size) * F.col("__now.period") + F.get(places, (k % size).cast("int"))
-    placed = placed.withColumn("__slot", slot.cast("long")).withColumn("__phase", F.col("__now.number"))
-    return placed.withColumn("__at", F.col("__slot") * block_rows + F.col("__before") % block_rows).drop("__now", "__one", "__part", "__before")
-
-
-def mix(docs: DataFrame, weights=square_roots, source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows of `docs` in the mixed order: partitions and rows within them follow it."""
+    named = F.when(source.isNull(), "null").otherwise(F.concat(F.lit("s"), source))
+    numbered = running(docs.withColumn("__source", named).withColumn("__one", F.lit(1).cast("long")), "__source", "__one", "mixing", compression="zstd")
+    rows = {r["__source"]: r["n"] for r in numbered.groupBy("__source").agg(F.sum("__one").alias("n")).collect()}
+    largest = set(sorted(rows.keys() - {"null"}, key=lambda s: (-rows[s], s))[:SOURCES]) | {"null"}
+    plan = block_plan(rows, largest, weights, block_rows)
+    plan = spark.createDataFrame(plan) if plan.num_rows else spark.createDataFrame([], ", ".join(f"{n} {'string' if n == '__source' else 'long'}" for n in plan.column_names))
+    placed = numbered.withColumn("__own", F.floor(F.col("__before") / block_rows)).join(plan, ["__source", "__own"])
+    inside = F.col("__start") + F.col("__before") % block_rows
+    placed = placed.withColumn("__block", F.floor(inside / block_rows))
+    first: Column = F.col("__block") == F.floor(F.col("__start") / block_rows)
+    slot, phase = F.when(first, F.col("__slot_a")).otherwise(F.col("__slot_b")), F.when(first, F.col("__phase_a")).otherwise(F.col("__phase_b"))
+    key: Column = F.when(F.col("__source").isin(sorted(largest)), F.col("__source")).otherwise("rest")
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], key.alias("__key"), "__block", phase.cast("int").alias("__phase"), slot.alias("__slot"), (slot * block_rows + inside % block_rows).alias("__at"))
+
+
+def mix(docs: DataFrame, weights=square_roots, source_col: str = "source", block_rows: int = BLOCK_ROWS, position: str | None = None) -> DataFrame:
+    """All rows of `docs` in the mixed order: partitions and rows within them follow it. `position` names a column that keeps the place."""
     if any(c.startswith("__") for c in docs.columns):
         raise ValueError("columns of docs may not begin with two underscores")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = mixed(docs, weights, source_col, block_rows).select("__at", *[F.col(f"`{c}`") for c in docs.columns])
-    return placed.repartitionByRange(parts, "__at").sortWithinPartitions("__at").drop("__at")
+    ordered = placed.repartitionByRange(parts, "__at").sortWithinPartitions("__at")
+    return ordered.withColumnRenamed("__at", position) if position else ordered.drop("__at")

@@ -1,6 +1,7 @@
 """Resharding, mixing and licenses."""
 
 import itertools
+import math
 import random
 import zlib
 
@@ -104,6 +105,46 @@ def test_mixed_rows(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("sources", "weight"), [(20, 0.24), (200, 0.1), (20, 0.0001)])
+def test_shares_follow_exact_weights(sources, weight):
+    weights = {f"s{i:03}": weight if i == 0 else (1 - weight) * (i + 1) for i in range(sources)}
+    total = sum(w for s, w in weights.items() if s != "s000") / (1 - weight)
+    weights["s000"] = weight * total
+    length = 40_000  # blocks; every source has enough for all of them
+    found = mixing.phases({s: math.ceil(w / total * length) + 2 for s, w in weights.items()}, weights)
+    for p in [p for p in found if p.number == 0]:
+        n = sum(len(q.places) for q in found if q.number == 0)
+        done = np.zeros(n)
+        slots = p.first_slot + np.arange(n) // len(p.places) * p.period
+        slots = (slots + np.array(p.places)[np.arange(n) % len(p.places)])
+        done[slots[slots < n]] = 1
+        assert np.abs(np.cumsum(done) - weights[p.source] / total * np.arange(1, n + 1)).max() < 1 + 1e-6
+    assert n > length / 2
+
+
+def test_small_sources_take_turns_inside_rest(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    sizes = {"a": 900, "b": 800, **{f"t{i}": 40 * (i + 1) for i in range(8)}}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(3, "source")
+    asked = []
+
+    def weights(counts):
+        asked.append(set(counts))
+        return mixing.square_roots(counts)
+
+    found = mixing.mixed(docs, weights, block_rows=4).collect()
+    assert len(found) == len({r["__at"] for r in found}) == len(rows)
+    assert {"st0", "st7"} <= set.union(*asked)
+    rest = [r["source"] for r in sorted(found, key=lambda r: r["__at"]) if r["__key"] == "rest"]
+    total = sum(math.sqrt(40 * (i + 1)) for i in range(8))
+    until = min(max(i for i, s in enumerate(rest) if s == t) for t in set(rest))  # until one runs out
+    for i in range(8):
+        share = math.sqrt(40 * (i + 1)) / total
+        done = np.cumsum([s == f"t{i}" for s in rest[:until]])
+        assert np.abs(done / 4 - share * np.arange(1, until + 1) / 4).max() <= 1.25  # a block, and a part of one on the way
+
+
 def test_licenses_equal_brute_force(spark):
     draw = random.Random(12)
     notices = [(k, t) for k, ts in licenses.NOTICES.items() for t in ts]
