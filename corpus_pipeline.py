@@ -25,13 +25,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order in which their sources take turns."""
-    return mixing.mix(docs)
+    """All rows, in the order in which their sources take turns, and their `position` in it, which files do not keep."""
+    return mixing.mix(docs, position="position")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of what is left, as hashes, beside the hash of the text that they decode to."""
-    return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Ids of what is left, as hashes, beside the hash of the text that they decode to; in the mixed order."""
+    return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"), order_col="position")
 
 
 STAGES = [

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_task, columns_of
+from .common import arrow_task, columns_of, written
 from .pieces import PieceCache
 
 #: Pair tests kept in a worker.
@@ -204,15 +204,23 @@ def encode_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return arrow_task(texts, f"`{id_col}` {kind}, ids array<int>, decoded string", work)
 
 
-def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As `encode_ids`, with hashes in place of the ids and texts: id, `n_tokens`, `ids_sha256`, `decoded_sha256`."""
+def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """As `encode_ids`, with hashes in place of the ids and texts: id, `n_tokens`, `ids_sha256`, `decoded_sha256`.
+
+    Rows come in the order of `order_col`, a whole number, if one is named.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe = word_bpe(path)
         n, ids, decoded = zip(*bpe.digests(batch.column(1).to_pylist()), strict=True)
-        return {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
-                "decoded_sha256": pa.array(decoded, pa.string())}
+        out = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()),
+               "decoded_sha256": pa.array(decoded, pa.string())}
+        return {**out, "__order": batch.column(2)} if order_col else out
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return arrow_task(columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit(""))), schema, work)
+    if not order_col:
+        return arrow_task(columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit(""))), schema, work)
+    some = df.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{order_col}`").cast("long"))
+    # written, because a sort by ranges reads its input twice
+    return written(arrow_task(some, f"{schema}, __order long", work), "digests").orderBy("__order").drop("__order")

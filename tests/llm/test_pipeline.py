@@ -1,7 +1,9 @@
 """The stages one after another on the smallest tables."""
 
+import math
+
 import corpus_pipeline
-from ringtide.llm import neardup, quality
+from ringtide.llm import mixing, neardup, quality
 
 
 def test_stages(spark, sf):
@@ -17,3 +19,11 @@ def test_stages(spark, sf):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     found = [r.doc_id for r in out.collect()]
     assert len(found) == len(set(found)) and set(found) == kept  # every text has a language here
+    # rows come in the order that the mixing stage gave them
+    sources = {r.doc_id: "null" if r.source is None else f"s{r.source}" for r in docs.collect()}
+    order = [sources[d] for d in found]
+    rows = {s: order.count(s) for s in set(order)}
+    slots = {}
+    for p in mixing.phases({s: math.ceil(n / 32) for s, n in rows.items()}, mixing.square_roots(rows)):
+        slots |= {p.first_slot + at: (p.source, p.first_block + i) for i, at in enumerate(p.places)}
+    assert order == [s for _, (s, k) in sorted(slots.items()) for _ in range(min(32, rows[s] - 32 * k))]
