@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, knn, language, licenses, mixing, neardup, quality, reshard, tokens
+from . import bpe, extract, knn, language, licenses, merkle, mixing, neardup, quality, reshard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages, extract.fit_pages(pages))
 
 
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document; those whose id has a CRC-32 that three divides are tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.third())
+
+
 ORACLES["op1_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
@@ -155,3 +161,46 @@ least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least.b, w.doc_id)) AS component_id, w.doc_id <= coalesce(least.b, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.a = w.doc_id
 """
+
+ORACLES["op13_manifest"] = """
+WITH RECURSIVE bytes AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, lang, text, 'x' || coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+    coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM documents, bytes),
+l AS (
+  SELECT doc_id, lang, sha256(substr(head, 2) || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(substr(head, 2) || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered FROM d),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM l),
+up AS (
+  SELECT 0 AS level, grp, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, grp, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY level, grp, idx // 8, n),
+tops AS (SELECT grp, h AS subroot, count(*) OVER () AS n FROM up WHERE n = 1),
+high AS (
+  SELECT 0 AS level, grp AS idx, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 8, n),
+every AS (
+  SELECT 0 AS part, grp, level, idx, h FROM up WHERE n > 1
+  UNION ALL SELECT 1, NULL, level, idx, h FROM high WHERE n > 1),
+steps AS (
+  SELECT e.part, e.level, e.grp, e.idx, coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (WHERE s.idx < e.idx), '') AS a,
+    coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (WHERE s.idx > e.idx), '') AS z
+  FROM every e JOIN every s ON e.part = s.part AND e.level = s.level AND e.grp IS NOT DISTINCT FROM s.grp AND e.idx // 8 = s.idx // 8 GROUP BY ALL),
+path AS (
+  SELECT l.doc_id, l.grp, l.idx, row_number() OVER (PARTITION BY l.grp, l.idx ORDER BY s.part, s.level) AS step, a, z
+  FROM leaves l JOIN steps s ON (s.part = 0 AND s.grp = l.grp AND s.idx = l.idx // (8 ** s.level)::BIGINT) OR (s.part = 1 AND s.idx = l.grp // (8 ** s.level)::BIGINT)),
+folded AS (
+  SELECT grp, idx, 0 AS step, coalesce(tampered, leaf) AS h FROM leaves
+  UNION ALL
+  SELECT f.grp, f.idx, f.step + 1, sha256(a || f.h || z) FROM folded f JOIN path p ON p.grp = f.grp AND p.idx = f.idx AND p.step = f.step + 1),
+proofs AS (SELECT grp, idx, sha256(string_agg(a || z, '' ORDER BY step)) AS proof FROM path GROUP BY grp, idx),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT l.doc_id, l.leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN tops USING (grp) CROSS JOIN root LEFT JOIN proofs p ON p.grp = l.grp AND p.idx = l.idx
+JOIN (SELECT grp, idx, max_by(h, step) AS h FROM folded GROUP BY grp, idx) f ON f.grp = l.grp AND f.idx = l.idx
+"""
