@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, knn, language, licenses, merkle, mixing, neardup, quality, reshard, tokens
+from . import bpe, extract, knn, language, licenses, merkle, mixing, neardup, negatives, quality, reshard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,14 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(pages, extract.fit_pages(pages))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; each seventh has its label moved on."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and check of every document; those whose id has a CRC-32 that three divides are tampered with."""
@@ -204,3 +212,18 @@ SELECT l.doc_id, l.leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha
 FROM leaves l JOIN tops USING (grp) CROSS JOIN root LEFT JOIN proofs p ON p.grp = l.grp AND p.idx = l.idx
 JOIN (SELECT grp, idx, max_by(h, step) AS h FROM folded GROUP BY grp, idx) f ON f.grp = l.grp AND f.idx = l.idx
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (
+  SELECT s.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY s.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS place
+  FROM s JOIN p ON p.anchor_id = s.anchor_id AND p.place <= 5 WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5
+"""
