@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, knn, language, licenses, merkle, mixing, neardup, negatives, quality, reshard, tokens
+from . import bpe, extract, knn, language, licenses, merkle, mixing, neardup, negatives, ngram_join, quality, reshard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
 
 
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under links of similarity 0.80 or more."""
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and check of every document; those whose id has a CRC-32 that three divides are tampered with."""
@@ -227,3 +233,17 @@ n AS (
   FROM s JOIN p ON p.anchor_id = s.anchor_id AND p.place <= 5 WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
 SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5
 """
+
+ORACLES["op12_ngram_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.a = w.doc_id
+"""
