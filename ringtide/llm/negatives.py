@@ -25,14 +25,16 @@ from .common import columns_of, written
 from .knn import products, usable
 
 #: Rows for which a shard is meant, rows of a leaf, and children of a ball at most.
-SHARD_ROWS, LEAF_ROWS, FAN = 8192, 64, 64
+SHARD_ROWS, LEAF_ROWS, FAN = 16_384, 256, 32
 #: A ball is split until its children have at most this share of its radius, or FAN of them are made.
 SHRINK = 0.5
 SCALE = 256
 #: What rounding can do to a bound, as a share of the two norms' product; a double holds 1e-16 of it.
 SLACK = 1e-7
-#: Trees and anchors in a batch that a worker holds.
+#: Anchors that descend a tree together.
 BATCH_ROWS = 256
+#: Scores below and above all others.
+NONE, ANY = -(2**63 - 1), 2**63 - 1
 
 
 class Cover:
@@ -119,38 +121,47 @@ class Searcher:
         low = span * np.cos(np.minimum(turn + self.angle + SLACK, np.pi)) - slack
         return low, high
 
-    def search(self, anchor: int, vector: np.ndarray, label: int, same: bool, windows: list[tuple[float, float]], k: int,
-               low: np.ndarray, high: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each window (least and largest score) the best `k` rows of the same (or of other) labels inside, as (score, id)."""
-        best: list[list[tuple[int, int]]] = [[] for _ in windows]  # heaps of (score, -id)
-        floors = [lo for lo, _ in windows]
-        ceiling = max(hi for _, hi in windows)
-        todo = [(-min(high[0], ceiling), 0)]
+    def search(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, same: bool, floors: np.ndarray, ceilings: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best `k` rows of the same (or of other) labels for each anchor and window: scores (NONE: fewer) and ids.
+
+        The anchors of a batch descend together, best first by the largest bound
+        that any of them has; at every ball only those go on for which it is not
+        outside all their windows, whose lower ends rise to the k-th score.
+        """
+        low, high = self.bounds(vectors)
+        count, windows = floors.shape
+        best, found = np.full((count, windows, k), NONE), np.zeros((count, windows, k), np.int64)
+        floors, top = floors.copy(), ceilings.max(axis=1)
+        todo = [(0.0, 0)]
         while todo:
-            top, node = heapq.heappop(todo)
-            if -top < min(floors):
-                break
-            if not any(high[node] >= f and low[node] <= hi for f, (_, hi) in zip(floors, windows, strict=True)):
+            node = heapq.heappop(todo)[1]
+            inside = ((high[:, node, None] >= floors) & (low[:, node, None] <= ceilings)).any(axis=1)
+            if not self.mixed[node]:
+                inside &= (labels == self.pure[node]) == same
+            who = np.flatnonzero(inside)
+            if not who.size:
                 continue
             if self.n_kids[node]:
                 kids = self.kids[self.first_kid[node]:self.first_kid[node + 1]]
-                wanted = self.mixed[kids] | ((self.pure[kids] == label) == same)
-                for kid in kids[wanted & (high[kids] >= min(floors)) & (low[kids] <= ceiling)].tolist():
-                    heapq.heappush(todo, (-min(high[kid], ceiling), kid))
+                for bound, kid in zip(np.minimum(high[np.ix_(who, kids)], top[who, None]).max(axis=0).tolist(), kids.tolist(), strict=True):
+                    heapq.heappush(todo, (-bound, kid))
                 continue
             start, stop = self.spans[node]
-            scores, ids = products(vector[None, :], self.rows[start:stop])[0], self.ids[start:stop]
-            fits = ((self.labels[start:stop] == label) == same) & (ids != anchor)
-            for w, (_, hi) in enumerate(windows):
-                for at in np.flatnonzero(fits & (scores >= floors[w]) & (scores <= hi)):
-                    row = (int(scores[at]), -int(ids[at]))
-                    if len(best[w]) < k:
-                        heapq.heappush(best[w], row)
-                    elif row > best[w][0]:
-                        heapq.heapreplace(best[w], row)
-                if len(best[w]) == k:
-                    floors[w] = max(floors[w], best[w][0][0])
-        return [[(s, -i) for s, i in found] for found in best]
+            scores, rows = products(vectors[who], self.rows[start:stop]), self.ids[start:stop]
+            fits = ((self.labels[None, start:stop] == labels[who, None]) == same) & (rows[None, :] != ids[who, None])
+            for w in range(windows):
+                good = fits & (scores >= floors[who, w, None]) & (scores <= ceilings[who, w, None])
+                some = np.flatnonzero(good.any(axis=1))
+                if not some.size:
+                    continue
+                mine, here = who[some], np.where(good[some], scores[some], NONE)
+                first = np.argsort(-here, axis=1, kind="stable")[:, :k]  # the rows of a leaf ascend by id
+                all_scores = np.concatenate([best[mine, w], np.take_along_axis(here, first, axis=1)], axis=1)
+                all_ids = np.concatenate([found[mine, w], rows[first]], axis=1)
+                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+                best[mine, w], found[mine, w] = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
+                floors[mine, w] = np.maximum(floors[mine, w], best[mine, w, k - 1])
+        return best, found
 
 
 def shard_of(label: Column, dim: Column, salt: Column, shards: Column) -> Column:
@@ -171,7 +182,8 @@ def hard_negatives(rows: DataFrame, asks: Column, positives: int = 5, negatives:
     or non-finite component take no part. A vector meets only those of its own
     length. Rows that share an id are one row, that with the least label and
     then the least vector. An empty table, or one of one label, gives an empty
-    table. Only the named columns and the condition are looked at.
+    table. Scores of 64 bits are exact; larger ones are refused. Only the named
+    columns and the condition are looked at.
     """
     v = F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE))))
     found = columns_of(rows.withColumn("__asks", F.coalesce(asks, F.lit(False))), id_col, vector_col, label_col, "__asks").select(
@@ -230,14 +242,18 @@ def hard_negatives(rows: DataFrame, asks: Column, positives: int = 5, negatives:
         def answer(tree: Searcher | None, waiting: list[dict], out: dict[str, list]) -> None:
             if not waiting:
                 return
-            vectors = np.array([q["v"] for q in waiting], np.int64)
-            low, high = tree.bounds(vectors)
+            ids, labels = (np.array([q[c] for q in waiting], np.int64) for c in ("id", "label"))
+            width = max(len(q["floors"]) if q["floors"] is not None else 1 for q in waiting)
+            floors, ceilings = np.full((len(waiting), width), ANY), np.full((len(waiting), width), NONE)  # what is not set is an empty window
             for i, q in enumerate(waiting):
-                windows = list(zip(q["floors"], q["ceilings"], strict=True)) if q["floors"] is not None else [(-math.inf, math.inf)]
-                for w, rows_of in enumerate(tree.search(q["id"], vectors[i], q["label"], same, windows, k, low[i], high[i])):
-                    for score, vec in rows_of:
-                        for name, value in zip(out, (q["id"], w, vec, score), strict=True):
-                            out[name].append(value)
+                if q["floors"] is None:
+                    floors[i, 0], ceilings[i, 0] = NONE + 1, ANY
+                else:
+                    floors[i, :len(q["floors"])], ceilings[i, :len(q["ceilings"])] = q["floors"], q["ceilings"]
+            best, found = tree.search(ids, np.array([q["v"] for q in waiting], np.int64), labels, same, floors, ceilings, k)
+            at, window, place = np.nonzero(best > NONE)
+            for name, values in zip(out, (ids[at], window, found[at, window, place], best[at, window, place]), strict=True):
+                out[name] += values.tolist()
             waiting.clear()
 
         return sorted_rows.mapInArrow(task, "id long, window int, found long, score long")
