@@ -22,6 +22,17 @@ class FrameRange(InputPartition):
         self.start, self.stop = start, stop
 
 
+def narrowed(condition, low: int, high: int) -> tuple[int, int]:
+    """``low <= frame < high`` after a pushed comparison of ``frame``; others change nothing."""
+    if getattr(condition, "attribute", None) != ("frame",):
+        return low, high
+    if isinstance(condition, (GreaterThan, GreaterThanOrEqual)):
+        return max(low, int(condition.value) + isinstance(condition, GreaterThan)), high
+    if isinstance(condition, (LessThan, LessThanOrEqual)):
+        return low, min(high, int(condition.value) + isinstance(condition, LessThanOrEqual))
+    return low, high
+
+
 class TraceReader(DataSourceReader):
     """Reads frame ranges in Arrow batches; comparisons on ``frame`` narrow the ranges."""
 
@@ -39,15 +50,7 @@ class TraceReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            column = getattr(f, "attribute", None)
-            if column == ("frame",) and isinstance(f, GreaterThanOrEqual):
-                self.low = max(self.low, int(f.value))
-            elif column == ("frame",) and isinstance(f, GreaterThan):
-                self.low = max(self.low, int(f.value) + 1)
-            elif column == ("frame",) and isinstance(f, LessThan):
-                self.high = min(self.high, int(f.value))
-            elif column == ("frame",) and isinstance(f, LessThanOrEqual):
-                self.high = min(self.high, int(f.value) + 1)
+            self.low, self.high = narrowed(f, self.low, self.high)
             yield f  # the rows are checked again after the scan
 
     def partitions(self):
