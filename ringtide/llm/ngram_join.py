@@ -23,20 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_task, checkpointed, columns_of, written
+from .common import checkpointed, columns_of, written
 from .components import components, merged
 from .neardup import few, labelled, sets_of, shingle_set
 
 #: The least similarity in hundredths.
 PERCENT = 80
 #: Share of the columns, by hash, from which prefixes are taken first; documents with too few of them go on with the others.
-SHARE = 0.4
+SHARE = 0.3
 RANGE = np.uint64(int(SHARE * 2**64))
 #: A column of more documents than this is frequent; of at most so many columns it is kept which ones they are
 #: (the most frequent ones). Both move columns to the end of the order and change no result.
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
-#: Documents of a block, and columns that a block multiplies at a time.
-BLOCK, COLUMNS = 512, 2048
+#: Documents of a block at most, entries of a block's sets in all, and columns that a block multiplies at a time.
+BLOCK, ENTRIES, COLUMNS = 512, 1 << 18, 2048
+#: Documents that a worker turns into sets or postings at a time.
+SLICE = 512
 
 
 def need(m, n):
@@ -54,16 +56,31 @@ def first_columns(shingles: np.ndarray) -> np.ndarray:
     return shingles[:max(int(np.searchsorted(shingles, RANGE)), prefix_length(len(shingles)))]
 
 
+def sliced_task(df: DataFrame, schema: str, work) -> DataFrame:
+    """`work` on slices of SLICE rows, which bound what a worker holds."""
+
+    def task(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                out = work(batch.slice(start, SLICE))
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return df.mapInArrow(task, schema)
+
+
 def incidence(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, `same` (hash of the set; null if empty), `cols` (its first columns)."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "same": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                "cols": pa.array([first_columns(s).view(np.int64) for s in sets], pa.list_(pa.int64()))}
+        sizes, same, cols = [], [], []
+        for text in batch.column(1):  # one text and one set at a time
+            found = shingle_set(text.as_py())
+            sizes.append(len(found))
+            same.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            cols.append(first_columns(found).view(np.int64).copy())
+        return {"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "same": pa.array(same, pa.binary()), "cols": pa.array(cols, pa.list_(pa.int64()))}
 
-    return arrow_task(docs.select(id_col, text_col), "doc_id long, n_shingles long, same binary, cols array<long>", work)
+    return sliced_task(docs.select(id_col, text_col), "doc_id long, n_shingles long, same binary, cols array<long>", work)
 
 
 def frequent_columns(nodes: DataFrame) -> np.ndarray:
@@ -95,7 +112,7 @@ def postings(nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
         kept = order[place < np.array([prefix_length(int(x)) for x in n])[row]]
         return {"col": pa.array(col[kept]), "node": pa.array(batch.column(0).to_numpy()[row[kept]]), "n": pa.array(n[row[kept]].astype(np.int32)), "hot": pa.array(hot[kept])}
 
-    return arrow_task(nodes.select("node", "n", "cols"), "col long, node long, n int, hot boolean", work)
+    return sliced_task(nodes.select("node", "n", "cols"), "col long, node long, n int, hot boolean", work)
 
 
 def partial_products(small: DataFrame) -> DataFrame:
@@ -187,12 +204,13 @@ def block_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
 
     Documents outside a region's largest component are dealt to blocks and meet
     all blocks; those of the largest component are linked already and meet only
-    the others. A task holds two blocks.
+    the others. A task holds two blocks, whose sets have a bounded number of entries.
     """
     now = labelled(members, comp, "node").withColumnRenamed("node_comp", "comp")
     sizes = now.groupBy("col", "class", "comp").agg(F.count(F.lit(1)).alias("n"))
     chief = sizes.groupBy("col", "class").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("chief"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
-    blocks = chief.select("col", "class", "chief", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("most") / BLOCK).cast("int").alias("inner"))
+    held = F.greatest(F.least(F.floor(ENTRIES / F.pow(F.lit(100 / PERCENT), F.col("class") + 2)), F.lit(BLOCK)), F.lit(1))  # by the largest size of the class
+    blocks = chief.select("col", "class", "chief", F.ceil((F.col("all") - F.col("most")) / held).cast("int").alias("outer"), F.ceil(F.col("most") / held).cast("int").alias("inner"))
     dealt = now.join(blocks, ["col", "class"]).withColumn("main", F.col("comp") == F.col("chief"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     # a meeting is a block i of the others (left) with a block j of the others, or with a block -1 - j of the largest component
@@ -209,11 +227,11 @@ def block_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
 
 def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Components (`node`, `comp`) of the nodes that have links. `nodes`: node, n, cols."""
-    posted = written(postings(nodes, frequent_columns(nodes)), "postings", compression="zstd")
+    posted = postings(nodes, frequent_columns(nodes))
     # columns known to be frequent are counted in parts and never gathered; the others are gathered by column
     of_column = Window.partitionBy("col")
     rare = posted.where("NOT hot").select("col", "node", "n", F.count(F.lit(1)).over(of_column).alias("size")).where("size > 1")
-    hot = posted.where("hot")
+    hot = written(posted.where("hot"), "postings", compression="zstd")
     hot_sizes = hot.groupBy("col").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = checkpointed(rare.union(hot.join(few(checkpointed(hot_sizes)), "col").select("col", "node", "n", "size")))
     small, large = shared.where(F.col("size") <= FREQUENT).drop("size"), shared.where(F.col("size") > FREQUENT)
