@@ -37,6 +37,8 @@ RANGE = np.uint64(int(SHARE * 2**64))
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Documents of a block at most, entries of a block's sets in all, and columns that a block multiplies at a time.
 BLOCK, ENTRIES, COLUMNS = 512, 1 << 18, 2048
+#: Earlier regions that are tried as the one that holds all documents of a region.
+EARLIER = 4
 #: Documents that a worker turns into sets or postings at a time.
 SLICE = 512
 
@@ -225,6 +227,22 @@ def block_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
     return full.groupBy("col", "class", "i", "j").applyInArrow(block_product(), "a long, b long")
 
 
+def needed(members: DataFrame) -> DataFrame:
+    """`members` (`col`, `class`, `node`, `leader`, `size`) without the regions all of whose documents are in one earlier region.
+
+    A pair of such a region meets in the earlier one. Documents of a shared
+    passage lie in nested regions, of which one is left. An earlier region is
+    looked for among the first ones of the leader.
+    """
+    order = F.struct((F.col("col") < 0).alias("beyond"), "col")
+    firsts = members.groupBy("node", "class").agg(F.slice(F.sort_array(F.collect_set(order)), 1, EARLIER).alias("firsts"))
+    regions = members.select("col", "class", F.col("leader").alias("node"), "size", order.alias("own")).distinct()
+    tried = regions.join(firsts, ["node", "class"]).select("col", "class", "size", F.explode(F.filter("firsts", lambda f: f < F.col("own"))["col"]).alias("other"))
+    inside = members.select("col", "class", "node").join(tried, ["col", "class"]).join(members.select(F.col("col").alias("other"), "class", "node"), ["other", "class", "node"])
+    covered = inside.groupBy("col", "class", "other").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).where("n = size").select("col", "class").distinct()
+    return members.join(covered, ["col", "class"], "left_anti")
+
+
 def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Components (`node`, `comp`) of the nodes that have links. `nodes`: node, n, cols."""
     posted = postings(nodes, frequent_columns(nodes))
@@ -237,9 +255,10 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     small, large = shared.where(F.col("size") <= FREQUENT).drop("size"), shared.where(F.col("size") > FREQUENT)
     # two sets that can be linked are in one class of sizes or in two neighbouring ones; a region is a column and two classes
     level = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
-    large = large.select("col", "node", "n", F.explode(F.array(level - 1, level)).alias("class"))
-    regions = large.groupBy("col", "class").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = checkpointed(large.join(regions, ["col", "class"]).select("col", "class", "node", "leader"))
+    large = large.select("col", "node", F.explode(F.array(level - 1, level)).alias("class"))
+    regions = large.groupBy("col", "class").agg(F.count_distinct("node").alias("size"), F.min("node").alias("leader")).where("size > 1")
+    members = checkpointed(large.join(regions, ["col", "class"]).select("col", "class", "node", "leader", "size").distinct())
+    members = checkpointed(needed(members))
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("overlap")).distinct()
     pairs = checkpointed(partial_products(small).union(stars).groupBy("a", "b").agg(F.max("overlap").alias("overlap")))
     named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct())
