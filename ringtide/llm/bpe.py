@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_task, columns_of, written
-from .pieces import PieceCache
+from .common import arrow_task, columns_of, holds, written
+from .pieces import PieceCache, Recent
 
 #: Pair tests kept in a worker.
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 200_000
 #: A word that the file's normaliser only makes lower case, and its splitter leaves whole.
 LETTERS = re.compile(r"[ \t-\r]*([A-Za-z]+)")
 
@@ -48,7 +48,7 @@ class PrefixEncoder:
             self.merged.setdefault((x, y), rank)
             if token not in self.rank:
                 self.rank[token], self.left[token], self.right[token] = rank, x, y
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for text, token in vocab.items():
             symbols = self.letters(text.removesuffix(end), text.endswith(end)) if end else text
@@ -86,11 +86,12 @@ class PrefixEncoder:
 
     def compatible(self, x: int, y: int) -> bool:
         """`apart` without a limit, remembered."""
-        known = self.pairs.get((x, y))
+        key = x << 32 | y
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
-            known = self.pairs[x, y] = self.apart(x, y, float("inf"))
+            known = self.pairs[key] = self.apart(x, y, float("inf"))
         return known
 
     def word(self, symbols: str) -> list[int]:
@@ -127,50 +128,41 @@ class WordBpe:
         self.encoder = PrefixEncoder(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")")
-        self.token_text = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
-        self.words: dict[str, list[int]] = {}
-        self.cache = PieceCache(self.encoded, lambda letters: self.encoded(" " + letters), lambda a, b: (a[0] + b[0], a[1] + b[1]))
-
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of a word in the vocabulary's own alphabet, remembered."""
-        if word not in self.words:
-            if len(self.words) > PAIRS_KEPT // 2:
-                self.words.clear()
-            self.words[word] = self.encoder.word(word)
-        return self.words[word]
-
-    def ids(self, piece: str) -> list[int]:
-        """Ids of a piece of text."""
+        texts = self.library.get_vocab(with_added_tokens=True)
+        self.token_text = [b""] * (max(texts.values(), default=-1) + 1)
+        for text, i in texts.items():
+            self.token_text[i] = b" " + text.encode()
+        self.words = Recent(lambda word: array("I", self.encoder.word(word)).tobytes())
+        self.cache = PieceCache(self.encoded, lambda letters: self.encoded(" " + letters), lambda a, b: a + b)
+
+    def encoded(self, piece: str) -> bytes:
+        """Ids of a piece of text as bytes; words in the vocabulary's own alphabet are remembered."""
         if m := LETTERS.fullmatch(piece):
-            return self.word_ids(m[1].lower())
-        out = []
+            return self.words[m[1].lower()]
+        out = b""
         for part in self.split_special.split(piece):
             if part in self.special:
-                out.append(self.special[part])
+                out += array("I", [self.special[part]]).tobytes()
             elif part:
                 plain = self.library.normalizer.normalize_str(part)
                 for word, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
-                    out += self.word_ids(word)
+                    out += self.words[word]
         return out
 
-    def encoded(self, piece: str) -> tuple[bytes, bytes]:
-        """Ids as bytes, and tokens as UTF-8, each behind a blank."""
-        ids = self.ids(piece)
-        return array("I", ids).tobytes(), self.decoded(ids)
-
-    def decoded(self, ids: list[int]) -> bytes:
+    def decoded(self, raw: bytes) -> bytes:
         """Token texts, each behind a blank: the file names no decoder, so the library joins tokens by blanks."""
-        return "".join(" " + self.token_text[i] for i in ids).encode()
+        return b"".join(map(self.token_text.__getitem__, array("I", raw)))
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of tokens, hash of the ids, hash of the decoded text."""
-        for values in self.values(texts):
-            raw = b"".join([v[0] for v in values])
-            yield len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(b"".join([v[1] for v in values])[1:]).hexdigest()
+        for raw in self.ids(texts):
+            yield len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(memoryview(self.decoded(raw))[1:]).hexdigest()
 
-    def values(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
-        """For each text, the ids and tokens of its pieces."""
-        return self.cache.values(texts)
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text, its ids as bytes."""
+        for values in self.cache.values(texts):
+            self.words.trim()
+            yield b"".join(values)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -178,6 +170,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 def word_bpe(path: str) -> WordBpe:
     """The vocabulary of a file, loaded once per Python worker."""
+    holds("bpe", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
@@ -194,10 +187,9 @@ def encode_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def work(batch: pa.RecordBatch) -> dict:
         bpe, ids, texts = word_bpe(path), [], []
-        for values in bpe.values(batch.column(1).to_pylist()):
-            own = np.frombuffer(b"".join([v[0] for v in values]), "<u4").tolist()
-            ids.append(own)
-            texts.append(bpe.decoded(own)[1:].decode())
+        for raw in bpe.ids(batch.column(1).to_pylist()):
+            ids.append(np.frombuffer(raw, "<i4"))
+            texts.append(bpe.decoded(raw)[1:].decode())
         return {id_col: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
 
     texts = columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit("")))

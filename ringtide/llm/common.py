@@ -18,6 +18,17 @@ from ..scale import cut_lineage
 SPACES = r"\x20\x09-\x0D"
 
 
+#: What operators keep in a Python worker between tasks, by operator: functions that forget it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holds(operator: str, forget: Callable[[], None]) -> None:
+    """Announce what `operator` keeps in a worker; what others kept there, which Spark uses again, is forgotten."""
+    for other in [name for name in _HELD if name != operator]:
+        _HELD.pop(other)()
+    _HELD[operator] = forget
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once, kept in the folder of ``spark.checkpoint.dir``, which survives lost executors."""
     return cut_lineage(df)

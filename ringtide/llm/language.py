@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_task, checkpointed, columns_of
+from .common import arrow_task, checkpointed, columns_of, holds
 
 #: Runs of letters (and the few letter-like numbers that the class lets through).
 WORD = re.compile(r"[^\W\d_]+")
@@ -209,6 +209,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> dict:
+        holds("language", lambda: None)
         found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
         return {**{c: batch.column(c) for c in rest}, "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
 
@@ -227,6 +228,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("language", lambda: None)
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))

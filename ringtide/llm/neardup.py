@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_task, checkpointed, columns_of, written
+from .common import arrow_task, checkpointed, columns_of, holds, written
 from .components import components, merged
 
 #: Words of a shingle, and the least similarity in hundredths.
@@ -62,6 +62,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of a whole text, A to Z in lower case; words end at U+0020 and U+0009 to U+000D."""
+    holds("shingles", _HASHES.clear)
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     if len(_HASHES) > KEPT:
         _HASHES.clear()

@@ -24,8 +24,8 @@ CORE = re.compile(r"([ \t-\r]*[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-@\[-`{-~]+
 PART = re.compile(CORE.pattern.replace(r"[ \t-\r]*", "").removesuffix("+)") + "*)")
 #: Pieces of a long text that are looked at together, and the characters from which a text is long.
 RUN, LONG = 500_000, 8 << 20
-#: Entries kept in each table of a worker; then the older half goes.
-KEPT = 500_000
+#: Bytes that each table of a worker may come to, an entry counted with its key, value and place; then the older half goes.
+KEPT_BYTES, ENTRY_BYTES = 48 << 20, 220
 ABSENT = object()
 
 
@@ -34,24 +34,25 @@ class Recent(dict):
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.size = make, {}, 0
 
     def __missing__(self, key: str):
         value = self.old.get(key, ABSENT)
         if value is ABSENT:
             value = self.make(key)
         self[key] = value
+        self.size += ENTRY_BYTES + len(key) + len(value or b"")
         return value
 
     def trim(self) -> None:
         """Between texts: forget what was not asked for lately."""
-        if len(self) > KEPT:
-            self.old = dict(self)
+        if self.size > KEPT_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
 
 
 class PieceCache:
-    """Values of the pieces of texts, each made once while it is remembered.
+    """Values (bytes) of the pieces of texts, each made once while it is remembered.
 
     `encode` gives the value of a piece, `encode_word` that of letters behind a
     blank, and `join` that of two pieces side by side. A value of None says that

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_task, checkpointed, columns_of, shared_folder, sums_before
+from .common import arrow_task, checkpointed, columns_of, holds, shared_folder, sums_before
 from .pieces import RARE_SPACE, PieceCache
 
 #: Documents and bytes of a block, whichever is reached first.
@@ -41,6 +41,7 @@ _LOADED: dict[str, PieceCache] = {}
 
 def _encoder(path: str) -> PieceCache:
     """Bytes of ids (little-endian, 32 bits) of every piece; loaded once per Python worker."""
+    holds("token files", _LOADED.clear)
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work; the library's threads only add to it
         library = Tokenizer.from_file(path)

@@ -27,9 +27,9 @@ def texts():
 
 def test_prefix_table_gives_the_librarys_ids(texts):
     own, library = bpe.WordBpe(WORDS), Tokenizer.from_file(WORDS)
-    for text, found, values in zip(texts, own.digests(texts), own.values(texts), strict=True):
+    for text, found, raw in zip(texts, own.digests(texts), own.ids(texts), strict=True):
         ids = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(b"".join(v[0] for v in values), "<u4").tolist() == ids, text
+        assert np.frombuffer(raw, "<u4").tolist() == ids, text
         decoded = library.decode(ids, skip_special_tokens=False)
         assert found == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
@@ -41,7 +41,7 @@ def test_pieces_give_the_librarys_ids(texts):
 
 
 def test_caches_forget(texts, monkeypatch):
-    monkeypatch.setattr("ringtide.llm.pieces.KEPT", 40)
+    monkeypatch.setattr("ringtide.llm.pieces.KEPT_BYTES", 10_000)
     monkeypatch.setattr("ringtide.llm.pieces.LONG", 30)
     library, tokens._LOADED = Tokenizer.from_file(BYTES), {}
     for text, found in zip(texts, tokens.encode(BYTES, texts), strict=True):
