@@ -20,6 +20,8 @@ from pyspark.sql.window import Window as W
 from ..scale import chunk_count
 
 CHUNK = "__chunk"
+#: Rows drawn for each piece into which the rows of one leading value are cut; the draw moves cuts only.
+TIE_SAMPLE = 100
 
 
 @dataclass(frozen=True)
@@ -69,32 +71,41 @@ def position() -> Spec:
 class Cuts:
     """Where an order is cut; shared by the scans of one operator.
 
-    `points` cut the leading column. A value that fills whole chunks by itself
-    is in `ties` with the points that cut its rows by the second column.
+    `points` cut the axis of the leading column. An axis value that fills whole
+    chunks by itself is in `ties` with the points that cut its rows: values of
+    all order columns, compared as the order compares them.
     """
 
     points: tuple[float, ...] = ()
-    ties: tuple[tuple[float, tuple[float, ...]], ...] = ()
+    ties: tuple[tuple[float, tuple[tuple, ...]], ...] = ()
 
 
-def _axis(df: DataFrame, column: str) -> Column:
-    """A number that never falls where `column` rises, null where it is null; what cuts are made on."""
+def _exact(df: DataFrame, column: str) -> Column:
+    """A value that is ordered as the column is and that a literal can hold."""
     kind, c = df.schema[column].dataType.simpleString(), F.col(column)
-    if _is_numeric(df, column):
-        return c.cast("double")
-    if kind == "boolean":
-        return c.cast("int").cast("double")
+    if _is_numeric(df, column) or kind in ("boolean", "string", "binary"):
+        return c
     if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind in ("date", "timestamp_ntz"):
-        days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date"))
-        inside = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c) if kind == "timestamp_ntz" else F.lit(0)
-        return (days * 86400.0 + inside).cast("double")
-    if kind == "string":  # the first six bytes
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    if kind == "date":
+        return F.date_diff(c, F.lit("1970-01-01").cast("date"))
     raise TypeError(f"rows cannot be ordered by {column} of type {kind}")
 
 
+def _axis(df: DataFrame, column: str) -> Column:
+    """A number that never falls where `column` rises, null where it is null; what cuts are made on.
+
+    Values that differ may share a number: long whole numbers, and texts that begin alike.
+    """
+    kind, c = df.schema[column].dataType.simpleString(), _exact(df, column)
+    if kind in ("string", "binary"):  # the first six bytes
+        raw = F.encode(c, "UTF-8") if kind == "string" else c
+        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
+    return (c.cast("int") if kind == "boolean" else c).cast("double")
+
+
 def _quantile_points(df: DataFrame, column: str, n: int) -> list[float]:
     return (
         df.select(_axis(df, column).alias("x")).where(F.col("x").isNotNull())
@@ -112,22 +123,30 @@ def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None =
     if isinstance(chunks, Cuts):
         return chunks
     order = [order] if isinstance(order, str) else list(order)
-    _axis(df, order[0])  # refuses, cut or not
+    for column in order:
+        _exact(df, column)  # refuses, cut or not
     n = chunk_count(df, chunks)
     if n <= 1:
         return Cuts()
     found = _quantile_points(df, order[0], n)
     points, ties = set(found), []
-    if len(order) > 1 and _is_numeric(df, order[1]):
-        for value in sorted(points):
-            share = found.count(value)
-            if share > 1:  # the value spans several chunks: give it its own and cut it further
-                same = df.where(_axis(df, order[0]) == value)
-                ties.append((value, tuple(sorted(set(_quantile_points(same, order[1], share + 1))))))
-                points.add(math.nextafter(value, math.inf))
+    for value in sorted(points):
+        share = found.count(value)
+        if share > 1:  # the value spans several chunks: give it its own and cut it further
+            ties.append((value, _tie_points(df, order, value, share + 1)))
+            points.add(math.nextafter(value, math.inf))
     return Cuts(tuple(sorted(points)), tuple(ties))
 
 
+def _tie_points(df: DataFrame, order: list[str], value: float, pieces: int) -> tuple[tuple, ...]:
+    """Rows that cut those of one axis value into about equal parts, from a bounded number of them."""
+    names = [f"__c{i}" for i in range(len(order))]
+    same = df.where(_axis(df, order[0]) == value).select(*[_exact(df, c).alias(n) for c, n in zip(order, names, strict=True)])
+    drawn = same.orderBy(F.xxhash64(*names)).limit(TIE_SAMPLE * pieces).orderBy(*names)
+    rows = [tuple(r) for r in drawn.collect()]
+    return tuple(dict.fromkeys(rows[len(rows) * i // pieces] for i in range(1, pieces))) if rows else ()
+
+
 def _bucket(df: DataFrame, column: str, points: tuple[float, ...], name: str) -> DataFrame:
     splits = [float("-inf"), *points, float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="__order", outputCol=name, handleInvalid="keep")
@@ -136,6 +155,13 @@ def _bucket(df: DataFrame, column: str, points: tuple[float, ...], name: str) ->
     return out.withColumn(name, F.when(F.col("__order").isNull(), 0).otherwise(F.col(name).cast("int"))).drop("__order")
 
 
+def _reaches(df: DataFrame, order: list[str], point: tuple) -> Column:
+    """Whether a row stands at `point` or behind it; nulls come first and NaN last, as in the order."""
+    own = F.struct(*[_exact(df, c).alias(f"c{i}") for i, c in enumerate(order)])
+    kinds = [f.dataType for f in df.select(*[_exact(df, c).alias(f"c{i}") for i, c in enumerate(order)]).schema]
+    return own >= F.struct(*[F.lit(v).cast(k).alias(f"c{i}") for i, (v, k) in enumerate(zip(point, kinds, strict=True))])
+
+
 def with_chunks(df: DataFrame, order: str | list[str], cuts: Cuts) -> tuple[DataFrame, int]:
     """Add the chunk number of each row along `order`."""
     if not cuts.points:
@@ -146,12 +172,11 @@ def with_chunks(df: DataFrame, order: str | list[str], cuts: Cuts) -> tuple[Data
     if cuts.ties:
         width = max(len(p) for _, p in cuts.ties) + 1
         inner = F.lit(0)
-        for i, (value, points) in enumerate(cuts.ties):
+        for value, points in cuts.ties:
             if points:
-                out = _bucket(out, order[1], points, f"__tie_{i}")
-                inner = F.when(_axis(df, order[0]) == value, F.col(f"__tie_{i}")).otherwise(inner)
+                at = sum((_reaches(df, order, p).cast("int") for p in points), F.lit(0))
+                inner = F.when(_axis(df, order[0]) == value, at).otherwise(inner)
         out = out.withColumn(CHUNK, F.col(CHUNK) * width + inner)
-        out = out.drop(*[f"__tie_{i}" for i in range(len(cuts.ties))])
     return out, (len(cuts.points) + 1) * width
 
 

@@ -1,6 +1,7 @@
 """Scans give the same answers however often their order is cut."""
 
 import datetime as dt
+import decimal
 import math
 
 import pytest
@@ -33,6 +34,39 @@ def test_cut_and_uncut_agree(spark, kind):
         assert found[0] == found[1] == found[2]
 
 
+TIED = {
+    "string": [f"session-{i:03d}" for i in range(20)] + ["session-", "session-é", None],
+    "binary": [f"session-{i:03d}".encode() for i in range(20)] + [b"", None],
+    "timestamp_ntz": [dt.datetime(2020, 1, 1, 0, 0, 5, i * 40_000) for i in range(20)] + [None],
+    "timestamp": [dt.datetime(2020, 1, 1, 0, 0, 5, i * 40_000) for i in range(20)],
+    "bigint": [2**60 + i for i in range(20)] + [-(2**62), None],
+    "decimal(38,0)": [decimal.Decimal(10**30 + i) for i in range(20)],
+}
+
+
+@pytest.mark.parametrize("second", ["string", "double"])
+@pytest.mark.parametrize("kind", TIED)
+def test_values_that_share_a_place_on_the_axis(spark, kind, second):
+    """Leading values that a cut cannot tell apart, and a second column that runs against them."""
+    make = {"bigint": lambda i: -i, "string": lambda i: f"same prefix {999 - i}", "double": lambda i: math.nan if i % 7 == 0 else -i / 3,
+            "timestamp_ntz": lambda i: dt.datetime(2021, 1, 1) - dt.timedelta(milliseconds=i)}[second]
+    rows = [(i % 2, v, None if n == 3 else make(n * 40 + i), n * 40 + i) for i, v in enumerate(TIED[kind]) for n in range(10)]
+    df = spark.createDataFrame(rows, f"k int, t {kind}, u {second}, id bigint").repartition(5)
+    specs = {"before": scan.previous("id"), "after": scan.following("id"), "sum": scan.running_sum("id"), "at": scan.position()}
+    found = [sorted(map(str, scan.scan(df, ["k"], ["t", "u", "id"], specs, chunks).collect())) for chunks in (1, 16)]
+    assert found[0] == found[1]
+    cuts = scan.plan_cuts(df, ["t", "u", "id"], 16)
+    sizes = [r["count"] for r in scan.with_chunks(df, ["t", "u", "id"], cuts)[0].groupBy(scan.CHUNK).count().collect()]
+    assert max(sizes) < len(rows) / 3  # the tied values do not stay in one piece
+
+
+@pytest.mark.parametrize("chunks", [1, 4])
+def test_other_second_orders_are_refused(spark, chunks):
+    df = spark.createDataFrame([(1, 2, [2]), (1, 2, [3])], "k int, t int, u array<int>")
+    with pytest.raises(TypeError):
+        scan.scan(df, ["k"], ["t", "u"], {"at": scan.position()}, chunks)
+
+
 @pytest.mark.parametrize("chunks", [1, 4])
 def test_other_orders_are_refused(spark, chunks):
     df = spark.createDataFrame([(1, [2]), (1, [3])], "k int, t array<int>")
