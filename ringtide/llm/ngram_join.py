@@ -7,9 +7,10 @@ n - ceil(0.8 n) + 1 of each, in one order of all columns. Frequent columns come
 in that order. The product over these columns adds up overlaps pair by pair, and a
 pair that cannot reach its bound with what is left of its sets is discarded; the rest
 is counted on the full sets. Columns of many documents are not multiplied pair by
-pair: every document is first compared with one of them, which joins groups of copies,
-and what is still apart is multiplied in dense blocks of documents, column block by column
-block, until no pair of the block can reach its bound.
+pair: every document is first compared with one of them, which joins groups of copies.
+What is still apart is multiplied pair by pair in columns of bounded size, and in larger
+ones in dense blocks of documents, column block by column block, until no pair of the
+block can reach its bound.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RANGE = np.uint64(int(SHARE * 2**64))
 #: A column of more documents than this is frequent; of at most so many columns it is kept which ones they are
 #: (the most frequent ones). Both move columns to the end of the order and change no result.
 FREQUENT, MOST_FREQUENT = 32, 1 << 18
+#: Documents of a column up to which those of different components are multiplied pair by pair; beyond, block by block.
+MEDIUM = 512
 #: Documents of a block at most, entries of a block's sets in all, and columns that a block multiplies at a time.
 BLOCK, ENTRIES, COLUMNS = 512, 1 << 18, 2048
 #: Earlier regions that are tried as the one that holds all documents of a region.
@@ -117,15 +120,16 @@ def postings(nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
     return sliced_task(nodes.select("node", "n", "cols"), "col long, node long, n int, hot boolean", work)
 
 
-def partial_products(small: DataFrame) -> DataFrame:
-    """Pairs (`a`, `b`) of small columns that can reach their bound, with the `overlap` inside these columns.
+def partial_products(columns: DataFrame, apart: str = "true") -> DataFrame:
+    """Pairs (`a`, `b`) that share columns of `columns` and can reach their bound, with the `overlap` inside these columns.
 
     What a set has outside its prefix can be shared as well, and no more. A pair
-    that also shares a large column is met there, so the sum need not know of it.
+    that also shares a larger column is met there, so the sum need not know of it.
+    `apart` is a condition on the two documents (`x`, `y`).
     """
-    x = small.select("col", F.col("node").alias("a"), F.col("n").alias("m"))
-    y = small.select("col", F.col("node").alias("b"), F.col("n").alias("n"))
-    pairs = x.join(y, "col").where(f"a < b AND 100 * least(m, n) >= {PERCENT} * greatest(m, n)")
+    pairs = columns.alias("x").join(columns.alias("y"), "col").where(
+        f"x.node < y.node AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) AND {apart}")
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"))
     overlap = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.first("m").alias("m"), F.first("n").alias("n"))
     beyond = f"greatest(({PERCENT} * m + 99) div 100, ({PERCENT} * n + 99) div 100) - 1"
     return overlap.where(f"overlap + {beyond} >= ({PERCENT} * (m + n) + {99 + PERCENT}) div {100 + PERCENT}").select("a", "b", "overlap")
@@ -252,19 +256,13 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     hot = written(posted.where("hot"), "postings", compression="zstd")
     hot_sizes = hot.groupBy("col").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = checkpointed(rare.union(hot.join(few(checkpointed(hot_sizes)), "col").select("col", "node", "n", "size")))
-    small, large = shared.where(F.col("size") <= FREQUENT).drop("size"), shared.where(F.col("size") > FREQUENT)
-    # two sets that can be linked are in one class of sizes or in two neighbouring ones; a region is a column and two classes
-    level = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
-    large = large.select("col", "node", F.explode(F.array(level - 1, level)).alias("class"))
-    regions = large.groupBy("col", "class").agg(F.count_distinct("node").alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = checkpointed(large.join(regions, ["col", "class"]).select("col", "class", "node", "leader", "size").distinct())
-    members = checkpointed(needed(members))
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("overlap")).distinct()
-    pairs = checkpointed(partial_products(small).union(stars).groupBy("a", "b").agg(F.max("overlap").alias("overlap")))
-    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct())
-    sets = written(sets_of(docs, named, id_col, text_col), "shingles", compression="none")
-    # first one pair for each node, that of the largest overlap; then what still joins two components; then the blocks
+    # first one pair for each node, that of the largest overlap, which joins what is alike
+    large = shared.where(F.col("size") > FREQUENT)
+    stars = large.join(large.groupBy("col").agg(F.min("node").alias("a")), "col").where("a <> node").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("overlap"))
+    pairs = partial_products(shared.where(F.col("size") <= FREQUENT)).union(stars.distinct())
     first = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a")).select("a", "b"))
+    named = checkpointed(shared.select("node").distinct())
+    sets = written(sets_of(docs, named, id_col, text_col), "shingles", compression="none")
     comp = checkpointed(components(linked(first, sets)))
 
     def add(links: DataFrame) -> None:
@@ -273,10 +271,19 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
         if not ends.isEmpty():
             comp = merged(comp, ends)
 
-    rest = labelled(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), comp, "a", "b").where("a_comp <> b_comp").select("a", "b")
-    add(linked(checkpointed(rest), sets))
+    # then all pairs of different components that share a column of bounded size
+    columns = labelled(shared.where(F.col("size") <= MEDIUM), comp, "node")
+    several = columns.groupBy("col").agg(F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo < hi").select("col")
+    cross = partial_products(checkpointed(columns.join(several, "col", "left_semi")), "x.node_comp <> y.node_comp").select("a", "b")
+    add(linked(checkpointed(cross.join(first, ["a", "b"], "left_anti")), sets))
+    # and in blocks those of the others. Two sets that can be linked are in one class of sizes or in two neighbouring ones:
+    # a region is a column and two classes, and a pair belongs to the lower class of its documents
+    level = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
+    wide = shared.where(F.col("size") > MEDIUM).select("col", "node", level.alias("level"), F.explode(F.array(level - 1, level)).alias("class")).distinct()
+    regions = wide.groupBy("col", "class").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), F.min("level").alias("least")).where("size > 1 AND least = class")
+    members = checkpointed(wide.join(regions, ["col", "class"]).select("col", "class", "node", "leader", "size"))
     if not members.isEmpty():
-        add(checkpointed(block_links(members.select("col", "class", "node"), comp, sets)))
+        add(checkpointed(block_links(checkpointed(needed(members)).select("col", "class", "node"), comp, sets)))
     return comp
 
 

@@ -51,9 +51,9 @@ def sample(seed):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("frequent", "most", "block", "columns"), [(32, 1 << 18, 512, 2048), (2, 1 << 18, 7, 16), (4, 0, 40, 50), (3, 60, 512, 2048)])
-def test_classes_equal_all_pairs(spark, monkeypatch, frequent, most, block, columns):
-    for name, value in (("FREQUENT", frequent), ("MOST_FREQUENT", most), ("BLOCK", block), ("COLUMNS", columns)):
+@pytest.mark.parametrize(("frequent", "most", "medium", "block", "columns"), [(32, 1 << 18, 512, 512, 2048), (2, 1 << 18, 3, 7, 16), (4, 0, 5, 40, 50), (3, 60, 20, 512, 2048)])
+def test_classes_equal_all_pairs(spark, monkeypatch, frequent, most, medium, block, columns):
+    for name, value in (("FREQUENT", frequent), ("MOST_FREQUENT", most), ("MEDIUM", medium), ("BLOCK", block), ("COLUMNS", columns), ("SLICE", 50)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = sample(frequent + block)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, col int").repartition(3)
@@ -62,9 +62,11 @@ def test_classes_equal_all_pairs(spark, monkeypatch, frequent, most, block, colu
     assert found == [(doc, sizes[doc], comp) for doc, comp in sorted(brute(rows).items())]
 
 
-def test_pairs_at_the_threshold_inside_a_family(spark, monkeypatch):
+@pytest.mark.parametrize("medium", [512, 8])
+def test_pairs_at_the_threshold_inside_a_family(spark, monkeypatch, medium):
     """Unlinked relatives, most of whose columns are frequent, with twins among them that are just linked or just not."""
     monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    monkeypatch.setattr(ngram_join, "MEDIUM", medium)
     passage, rows = [f"p{i}" for i in range(144)], []
     for i in range(120):  # 140 of 164 shingles are common to all: 0.74; twins share 6 more (0.80) or 5 more (0.79)
         tail = [f"d{i}x{j}" for j in range(24)]
