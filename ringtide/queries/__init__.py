@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["masks", "tuning", "angles", "matching", "recordings", "population", "motion", "decoder", "signals", "tables"]
+MODULES = ["masks", "tuning", "angles", "matching", "recordings", "population", "motion", "decoder", "signals", "tables", "streams"]
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")

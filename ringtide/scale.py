@@ -62,3 +62,13 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="ringtide-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path below the checkpoint folder, which every executor reaches."""
+    import uuid
+
+    sc = spark.sparkContext._jsc.sc()
+    if sc.getCheckpointDir().isEmpty():
+        cut_lineage(spark.range(1))  # sets the folder that the session names, or a test's own
+    return f"{sc.getCheckpointDir().get()}/{purpose}-{uuid.uuid4().hex}"

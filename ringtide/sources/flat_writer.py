@@ -1,4 +1,8 @@
-"""Flat int16 files written by many tasks: each writes the bytes of its own frames, the commit publishes the file."""
+"""Flat files written by many tasks: each writes the bytes of its own frames, the commit publishes the file.
+
+Samples are interleaved int16 without a header. Stamps are doubles behind the
+header of an array file, which the commit writes when their number is known.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "flat_traces"
+#: Bytes before the first stamp.
+HEADER = 128
 
 
 def shared_path(uri: str) -> str:
@@ -36,8 +42,9 @@ class Runs(WriterCommitMessage):
 class FlatWriter(DataSourceArrowWriter):
     """Tasks write into a hidden file beside the target; it gets the target's name when all frames are there."""
 
-    def __init__(self, path: str, channels: int, overwrite: bool):
-        self.path, self.channels = shared_path(path), channels
+    def __init__(self, path: str, channels: int, overwrite: bool, stamps: bool = False):
+        self.path, self.channels, self.stamps = shared_path(path), channels, stamps
+        self.offset, self.width = (HEADER, 8) if stamps else (0, 2 * channels)
         if os.path.exists(self.path) and not overwrite:
             raise ValueError(f"{path} exists; pass overwrite=True to replace it")
         folder, name = os.path.split(os.path.abspath(self.path))
@@ -51,17 +58,20 @@ class FlatWriter(DataSourceArrowWriter):
             for batch in iterator:
                 if not batch.num_rows:
                     continue
-                frames, traces = batch.column("frame"), batch.column("v")
-                if frames.null_count or traces.null_count:
+                frames, values = batch.column("frame"), batch.column("t" if self.stamps else "v")
+                if frames.null_count or values.null_count:
                     raise ValueError("a row without a frame or without samples")
-                frames, lengths = frames.to_numpy(), traces.value_lengths().to_numpy()
-                if (lengths != self.channels).any() or traces.flatten().null_count:
-                    raise ValueError(f"a frame without {self.channels} samples")
-                samples = traces.flatten().to_numpy().astype("<i2", copy=False).reshape(-1, self.channels)
+                frames = frames.to_numpy()
+                if self.stamps:
+                    samples = values.to_numpy().astype("<f8", copy=False)
+                else:
+                    if (values.value_lengths().to_numpy() != self.channels).any() or values.flatten().null_count:
+                        raise ValueError(f"a frame without {self.channels} samples")
+                    samples = values.flatten().to_numpy().astype("<i2", copy=False).reshape(-1, self.channels)
                 breaks = [0, *(np.flatnonzero(np.diff(frames) != 1) + 1).tolist(), len(frames)]
                 for a, b in zip(breaks, breaks[1:]):
                     first = int(frames[a])
-                    data, at = memoryview(np.ascontiguousarray(samples[a:b])).cast("B"), first * 2 * self.channels
+                    data, at = memoryview(np.ascontiguousarray(samples[a:b])).cast("B"), self.offset + first * self.width
                     while len(data):
                         done = os.pwrite(file, data, at)
                         data, at = data[done:], at + done
@@ -83,6 +93,14 @@ class FlatWriter(DataSourceArrowWriter):
             end = stop
         if not end:
             open(self.hidden, "wb").close()
+        if self.stamps:
+            text = f"{{'descr': '<f8', 'fortran_order': False, 'shape': ({end},), }}"
+            head = b"\x93NUMPY\x01\x00" + (HEADER - 10).to_bytes(2, "little") + text.encode().ljust(HEADER - 11) + b"\n"
+            file = os.open(self.hidden, os.O_WRONLY)
+            try:
+                os.pwrite(file, head, 0)
+            finally:
+                os.close(file)
         os.replace(self.hidden, self.path)
 
     def abort(self, messages) -> None:
@@ -91,7 +109,7 @@ class FlatWriter(DataSourceArrowWriter):
 
 
 class FlatTarget(DataSource):
-    """``df.write.format("flat_traces")`` with options path and channels."""
+    """``df.write.format("flat_traces")`` with options path and channels, or stamps."""
 
     @classmethod
     def name(cls):
@@ -101,7 +119,7 @@ class FlatTarget(DataSource):
         return "frame bigint, v array<smallint>"
 
     def writer(self, schema, overwrite):
-        return FlatWriter(self.options["path"], int(self.options["channels"]), overwrite)
+        return FlatWriter(self.options["path"], int(self.options.get("channels", 1)), overwrite, "stamps" in self.options)
 
 
 def to_int16(traces: str) -> Column:
@@ -120,3 +138,11 @@ def write_traces(samples: DataFrame, path: str, channels: int, frame: str = "fra
     rows = samples.select(F.col(frame).cast("bigint").alias("frame"), to_int16(traces).alias("v"))
     rows = rows.repartitionByRange("frame").sortWithinPartitions("frame")
     rows.write.format(FORMAT).option("path", path).option("channels", channels).mode("overwrite" if overwrite else "append").save()
+
+
+def write_stamps(stamps: DataFrame, path: str, frame: str = "frame", time: str = "t", overwrite: bool = False) -> None:
+    """Stamps of frames 0 to n-1 as an array file of doubles, as `write_traces` writes samples."""
+    stamps.sparkSession.dataSource.register(FlatTarget)
+    rows = stamps.select(F.col(frame).cast("bigint").alias("frame"), F.col(time).cast("double").alias("t"))
+    rows = rows.repartitionByRange("frame").sortWithinPartitions("frame")
+    rows.write.format(FORMAT).option("path", path).option("stamps", "true").mode("overwrite" if overwrite else "append").save()
