@@ -58,7 +58,11 @@ def fit_many(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray
             z = (x - p[:, 1:2]) / p[:, 2:3]
             g = np.where(x < p[:, 3:4], 0.0, np.exp(-0.5 * z * z)) * weight
             j = np.stack([g, p[:, 0:1] * g * z / p[:, 2:3], p[:, 0:1] * g * z * z / p[:, 2:3]], axis=2)
-            a, b = np.einsum("nbi,nbj->nij", j, j), np.einsum("nbi,nb->ni", j, r)
+            pull = np.einsum("nbi,nb->ni", j, r)
+            # a parameter that is pulled across the bound it stands at stays there
+            held = (p[:, :3] <= low[:, :3]) & (pull < 0) | (p[:, :3] >= high[:, :3]) & (pull > 0)
+            j, b = j * ~held[:, None, :], pull * ~held
+            a = np.einsum("nbi,nbj->nij", j, j)
             scale = np.maximum(np.einsum("nii->ni", a), 1e-300)
             a = a + damp[:, None, None] * scale[:, :, None] * np.eye(3)
             trial = p.copy()
