@@ -1,32 +1,32 @@
 """Interleaving sources to target weights by Pfair scheduling (operator 5).
 
-A source with weight w emits its k-th block between the release floor(k / w) and
-the deadline ceil((k + 1) / w). Earliest deadline first among released blocks
-keeps every source within one block of its share at any time. Weights are exact
-fractions, and a phase is scheduled to its end. When a source has no more blocks,
-the others go on with their weights relative to each other: a new phase.
-
-The largest sources take part by themselves. The others share one place among
-them, `rest`, and inside it take turns in the same way, by their own weights.
+All sources flow at the same time, each in proportion to its weight, and one that
+has nothing left leaves its share to the others. A source's k-th block has its
+release at the slot in which the flow begins with it, and its deadline at the end
+of the slot in which the flow is through with it. Earliest deadline first among
+released blocks meets all deadlines, so a source is never a whole block ahead of
+its flow or behind it. Weights are exact fractions; every source has its own.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running
+from .common import running, shared_folder
 
 #: Rows of a block.
 BLOCK_ROWS = 32
-#: So many of the largest sources take part by themselves; smaller ones are mixed inside one place of the order, which they share.
-SOURCES = 200
+#: Blocks of the plan that the driver holds before it writes them.
+PIECE = 1 << 18
 
 
 def numerators(weights: dict[str, float]) -> dict[str, int]:
@@ -37,77 +37,59 @@ def numerators(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(sound.get(s, least) * scale) for s in weights}
 
 
-def schedule(weights: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, list[int]]:
-    """Places of every source's blocks by release and deadline, until a source has emitted all its blocks; without `blocks`, over as many places as the weights add up to."""
-    total = sum(weights.values())
-    waiting = [(0, s, 0) for s in sorted(weights)]
+class Flow:
+    """The flow of all sources: how many slots have passed when a source's flow has come to block k."""
+
+    def __init__(self, blocks: dict[str, int], weights: dict[str, int]):
+        self.weights = weights
+        leaving = sorted((Fraction(n, weights[s]), s) for s, n in blocks.items())
+        self.ends, self.gone, self.left = [e for e, _ in leaving], [0], [sum(weights.values())]
+        for _, s in leaving:
+            self.gone.append(self.gone[-1] + blocks[s])
+            self.left.append(self.left[-1] - weights[s])
+
+    def at(self, source: str, k: int, phase: int) -> tuple[int, int, int]:
+        """Slots passed, rounded down and up, and the number of sources that have left, no fewer than `phase`."""
+        w = self.weights[source]
+        if phase < len(self.ends) and k * self.ends[phase].denominator > self.ends[phase].numerator * w:
+            phase = bisect.bisect_left(self.ends, Fraction(k, w), phase)
+        whole = self.left[phase] * k
+        return self.gone[phase] + whole // w, self.gone[phase] - -whole // w, phase
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[int, str, int, int]]:
+    """(slot, source, block, sources that had left at its release) for all blocks, slot by slot.
+
+    Holds one block of every source. Ties go to the name that comes first.
+    """
+    blocks = {s: n for s, n in blocks.items() if n}
+    flow = Flow(blocks, numerators({s: weights[s] for s in blocks}))
+    waiting = [(0, s, 0, 0) for s in sorted(blocks)]
     ready: list = []
-    places: dict[str, list[int]] = {s: [] for s in weights}
-    slot = 0
-    while slot < total or blocks is not None:
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * total // weights[s]), s, k))
-        deadline, s, k = heapq.heappop(ready)
+            _, s, k, phase = heapq.heappop(waiting)
+            release, deadline, later = flow.at(s, k + 1, phase)
+            heapq.heappush(ready, (deadline, s, k, phase, release, later))
+        deadline, s, k, phase, release, later = heapq.heappop(ready)
         assert deadline > slot
-        places[s].append(slot)
-        if blocks is not None and k + 1 == blocks[s]:
-            break
-        heapq.heappush(waiting, ((k + 1) * total // weights[s], s, k + 1))
-        slot += 1
-    return places
-
-
-@dataclass
-class Phase:
-    """Part of the order in which the same sources are active; `period` is its length."""
-
-    source: str
-    first_block: int
-    first_slot: int
-    period: int
-    places: list[int]
-    number: int
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
-    """The phases of all sources; one ends with the last block of a source."""
-    left, done = dict(blocks), dict.fromkeys(blocks, 0)
-    exact = numerators({s: weights[s] for s in blocks})
-    out, slot, number = [], 0, 0
-    while left := {s: n for s, n in left.items() if n}:
-        places = schedule({s: exact[s] for s in left}, left)
-        length = sum(map(len, places.values()))
-        for s, at in places.items():
-            if at:
-                out.append(Phase(s, done[s], slot, length, at, number))
-                done[s] += len(at)
-                left[s] -= len(at)
-        slot, number = slot + length, number + 1
-    return out
-
-
-def block_plan(rows: dict[str, int], largest: set[str], weights, block_rows: int) -> pa.Table:
-    """Where each block of each source begins in its place of the order, and the slots and phases of the one or two blocks there that it fills."""
-    tail = {s: n for s, n in rows.items() if s not in largest}
-    shared = {s: n for s, n in rows.items() if s in largest} | ({"rest": sum(tail.values())} if tail else {})
-    slots: dict[str, list[tuple[int, int]]] = {s: [] for s in shared}
-    for p in phases({s: math.ceil(n / block_rows) for s, n in shared.items()}, weights(shared) if shared else {}):
-        slots[p.source] += [(p.first_slot + at, p.number) for at in p.places]
-    found = [(s, k, k * block_rows, *at, *at) for s in shared if s != "rest" for k, at in enumerate(slots[s])]
-    inner = {}
-    for p in phases({s: math.ceil(n / block_rows) for s, n in tail.items()}, weights(tail) if tail else {}):
-        for i, at in enumerate(p.places):
-            inner[p.first_slot + at] = (p.source, p.first_block + i)
-    start = 0
-    for at in range(len(inner)):
-        s, k = inner[at]
-        size = min(block_rows, tail[s] - k * block_rows)
-        found.append((s, k, start, *slots["rest"][start // block_rows], *slots["rest"][(start + size - 1) // block_rows]))
-        start += size
-    names = ["__source", "__own", "__start", "__slot_a", "__phase_a", "__slot_b", "__phase_b"]
-    kinds = [pa.string(), *[pa.int64()] * 6]
-    return pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=names)
+        yield slot, s, k, phase
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, (release, s, k + 1, later))
+
+
+PLAN = "__source string, __block long, __slot long, __phase int"
+
+
+def write_plan(spark: SparkSession, found: Iterator[tuple[int, str, int, int]]) -> DataFrame:
+    """The schedule as a table, piece by piece."""
+    path, any_piece = shared_folder(spark, "plan"), False
+    while piece := list(islice(found, PIECE)):
+        slot, source, block, phase = zip(*piece, strict=True)
+        table = pa.table({"__source": pa.array(source, pa.string()), "__block": pa.array(block, pa.int64()), "__slot": pa.array(slot, pa.int64()), "__phase": pa.array(phase, pa.int32())})
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        any_piece = True
+    return spark.read.schema(PLAN).parquet(path) if any_piece else spark.createDataFrame([], PLAN)
 
 
 def square_roots(rows: dict[str, int]) -> dict[str, float]:
@@ -116,38 +98,37 @@ def square_roots(rows: dict[str, int]) -> dict[str, float]:
 
 
 def mixed(docs: DataFrame, weights=square_roots, source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """`docs` with `__key` (its source), `__block`, `__phase`, `__slot` and `__at`, its place in the mixed order.
+    """`docs` with `__key` (its source), `__block`, `__phase` (sources that had left), `__slot` and `__at`, its place in the mixed order.
 
     `weights` turns rows by source into weights by source; sources are named
-    by "s" and the value, a null source by "null". Those beyond SOURCES count
-    together as "rest", and `weights` is asked again how they share it: their
-    blocks take turns inside "rest". Every row is placed once; none is dropped
-    when a source runs out. A source's rows keep the order in which they are
-    read. Empty tables stay empty. The plan has a row per block and is joined by
-    source and block, so that a hot source is spread; the driver holds it once.
+    by "s" and the value, a null source by "null". Every row is placed once;
+    none is dropped when a source runs out. A source's rows keep the order in
+    which they are read. Empty tables stay empty. The plan has a row per block
+    and is joined by source and block, so that a hot source is spread; the
+    driver holds the sources' names and counts and a piece of the plan at a time.
     """
     spark = docs.sparkSession
     source = F.col(f"`{source_col}`").cast("string")
     named = F.when(source.isNull(), "null").otherwise(F.concat(F.lit("s"), source))
     numbered = running(docs.withColumn("__source", named).withColumn("__one", F.lit(1).cast("long")), "__source", "__one", "mixing", compression="zstd")
     rows = {r["__source"]: r["n"] for r in numbered.groupBy("__source").agg(F.sum("__one").alias("n")).collect()}
-    largest = set(sorted(rows.keys() - {"null"}, key=lambda s: (-rows[s], s))[:SOURCES]) | {"null"}
-    plan = block_plan(rows, largest, weights, block_rows)
-    plan = spark.createDataFrame(plan) if plan.num_rows else spark.createDataFrame([], ", ".join(f"{n} {'string' if n == '__source' else 'long'}" for n in plan.column_names))
-    placed = numbered.withColumn("__own", F.floor(F.col("__before") / block_rows)).join(plan, ["__source", "__own"])
-    inside = F.col("__start") + F.col("__before") % block_rows
-    placed = placed.withColumn("__block", F.floor(inside / block_rows))
-    first: Column = F.col("__block") == F.floor(F.col("__start") / block_rows)
-    slot, phase = F.when(first, F.col("__slot_a")).otherwise(F.col("__slot_b")), F.when(first, F.col("__phase_a")).otherwise(F.col("__phase_b"))
-    key: Column = F.when(F.col("__source").isin(sorted(largest)), F.col("__source")).otherwise("rest")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], key.alias("__key"), "__block", phase.cast("int").alias("__phase"), slot.alias("__slot"), (slot * block_rows + inside % block_rows).alias("__at"))
+    plan = write_plan(spark, schedule({s: math.ceil(n / block_rows) for s, n in rows.items()}, weights(rows) if rows else {}))
+    placed = numbered.withColumn("__block", F.floor(F.col("__before") / block_rows)).join(plan, ["__source", "__block"])
+    at = F.col("__slot") * block_rows + F.col("__before") % block_rows
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__source").alias("__key"), "__block", "__phase", "__slot", at.alias("__at"))
 
 
 def mix(docs: DataFrame, weights=square_roots, source_col: str = "source", block_rows: int = BLOCK_ROWS, position: str | None = None) -> DataFrame:
-    """All rows of `docs` in the mixed order: partitions and rows within them follow it. `position` names a column that keeps the place."""
-    if any(c.startswith("__") for c in docs.columns):
-        raise ValueError("columns of docs may not begin with two underscores")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """All rows of `docs` in the mixed order: partitions and rows within them follow it.
+
+    With `position` the rows stay where they are and the column of that name
+    keeps their place. Columns of `docs` that begin with two underscores, or
+    have the name of `position`, are refused.
+    """
+    if any(c.startswith("__") or c == position for c in docs.columns):
+        raise ValueError(f"columns of docs may not begin with two underscores or be named {position}")
     placed = mixed(docs, weights, source_col, block_rows).select("__at", *[F.col(f"`{c}`") for c in docs.columns])
-    ordered = placed.repartitionByRange(parts, "__at").sortWithinPartitions("__at")
-    return ordered.withColumnRenamed("__at", position) if position else ordered.drop("__at")
+    if position:
+        return placed.withColumnRenamed("__at", position)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, "__at").sortWithinPartitions("__at").drop("__at")

@@ -25,7 +25,7 @@ PART = re.compile(CORE.pattern.replace(r"[ \t-\r]*", "").removesuffix("+)") + "*
 #: Pieces of a long text that are looked at together, and the characters from which a text is long.
 RUN, LONG = 500_000, 8 << 20
 #: Bytes that each table of a worker may come to, an entry counted with its key, value and place; then the older half goes.
-KEPT_BYTES, ENTRY_BYTES = 48 << 20, 220
+KEPT_BYTES, ENTRY_BYTES = 36 << 20, 220
 ABSENT = object()
 
 

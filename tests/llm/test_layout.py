@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 import zlib
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -59,90 +61,109 @@ def test_rewrite_only_what_changes(spark):
     assert sorted(r.doc_id for r in back.collect()) == list(range(150)) and back.groupBy("shard").count().count() == 4
 
 
-def test_schedule_stays_within_a_block():
+def flow_of(blocks, weights, slots):
+    """Blocks of every source that the flow has passed after each slot, by stepping from one leaving source to the next."""
+    left, done, out = dict(blocks), dict.fromkeys(blocks, Fraction(0)), []
+    for _ in range(slots):
+        room = Fraction(1)
+        while room > 0:
+            active = [s for s in blocks if done[s] < left[s]]
+            total = sum(weights[s] for s in active)
+            step = min([room / total, *[(left[s] - done[s]) / weights[s] for s in active]])
+            for s in active:
+                done[s] += weights[s] * step
+            room -= total * step
+            if not active:
+                break
+        out.append(dict(done))
+    return out
+
+
+def test_schedule_stays_within_a_block_of_the_flow():
     draw = random.Random(8)
-    for _ in range(30):
-        blocks = {f"s{i}": draw.randint(1, 40) for i in range(draw.randint(1, 9))}
-        places, period = mixing.schedule(blocks), sum(blocks.values())
-        assert sorted(p for x in places.values() for p in x) == list(range(period))
-        for s, n in blocks.items():
-            done = np.zeros(period + 1)
-            done[np.array(places[s]) + 1] = 1
-            assert np.abs(np.cumsum(done) - n / period * np.arange(period + 1)).max() < 1
-
-
-def test_phases_place_every_block_once():
-    blocks = {"a": 7, "b": 100, "c": 1, "d": 33}
-    found = mixing.phases(blocks, {"a": 1.0, "b": 2.0, "c": 0.0, "d": None})
-    slots = []
+    for _ in range(40):
+        blocks = {f"s{i}": draw.randint(1, 25) for i in range(draw.randint(1, 9))}
+        weights = {s: draw.choice([1.0, 0.25, 3.5, 7.0, draw.random() + 0.01]) for s in blocks}
+        found = list(mixing.schedule(blocks, weights))
+        n = sum(blocks.values())
+        assert [x[0] for x in found] == list(range(n))
+        done, flow = dict.fromkeys(blocks, 0), flow_of(blocks, {s: Fraction(w) for s, w in weights.items()}, n)
+        for slot, s, k, _ in found:
+            assert k == done[s]
+            done[s] += 1
+            assert all(abs(done[t] - flow[slot][t]) < 1 for t in blocks)
+        assert done == blocks
+
+
+def earliest_deadlines(blocks, weights):
+    """The schedule from the definition: at every slot the released block with the earliest deadline."""
+    flow = [dict.fromkeys(blocks, Fraction(0)), *flow_of(blocks, weights, sum(blocks.values()))]
+    window = {}
     for s, n in blocks.items():
-        own = [p for p in found if p.source == s]
         for k in range(n):
-            p = [p for p in own if p.first_block <= k][-1]
-            i = k - p.first_block
-            slots.append(p.first_slot + i // len(p.places) * p.period + p.places[i % len(p.places)])
-    assert sorted(slots) == list(range(141))
+            release = next(t for t in range(len(flow) - 1) if flow[t + 1][s] > k)
+            window[s, k] = release, next(t for t in range(1, len(flow)) if flow[t][s] >= k + 1)
+    at, out = dict.fromkeys(blocks, 0), []
+    for slot in range(sum(blocks.values())):
+        _, s = min((window[s, at[s]][1], s) for s in blocks if at[s] < blocks[s] and window[s, at[s]][0] <= slot)
+        out.append((slot, s, at[s]))
+        at[s] += 1
+    return out
+
+
+def test_schedule_is_earliest_deadline_first():
+    draw = random.Random(9)
+    for _ in range(25):
+        blocks = {f"s{i}": draw.randint(1, 12) for i in range(draw.randint(1, 7))}
+        weights = {s: float(draw.randint(1, 9)) for s in blocks}
+        assert [x[:3] for x in mixing.schedule(blocks, weights)] == earliest_deadlines(blocks, {s: Fraction(w) for s, w in weights.items()})
+
+
+@pytest.mark.parametrize(("sources", "weight"), [(20, 0.24), (200, 0.1), (20, 0.0001), (1000, 0.3)])
+def test_shares_follow_exact_weights(sources, weight):
+    weights = {f"s{i:03}": weight if i == 0 else (1 - weight) * (i + 1) for i in range(sources)}
+    total = sum(w for s, w in weights.items() if s != "s000") / (1 - weight)
+    weights["s000"] = weight * total
+    length = 40_000  # blocks; every source has enough for all of them
+    found = [x for x in mixing.schedule({s: math.ceil(w / total * length) + 2 for s, w in weights.items()}, weights) if x[0] < length]
+    for s in [*list(weights)[:5], *list(weights)[-5:]]:
+        done = np.zeros(length)
+        done[[x[0] for x in found if x[1] == s]] = 1
+        assert np.abs(np.cumsum(done) - weights[s] / total * np.arange(1, length + 1)).max() < 1 + 1e-6
+
+
+def test_equal_sources_are_equal_however_many_there_are():
+    found = list(islice(mixing.schedule({f"s{i:03}": 100 for i in range(400)}, dict.fromkeys([f"s{i:03}" for i in range(400)], 2.0)), 4000))
+    counts = {}
+    for _, s, _, _ in found:
+        counts[s] = counts.get(s, 0) + 1
+    assert len(counts) == 400 and set(counts.values()) == {10}
+    long_tail = {f"s{i:04}": 1 for i in range(3000)} | {"big": 2000}
+    assert len(list(mixing.schedule(long_tail, mixing.square_roots(long_tail)))) == 5000
+    assert list(mixing.schedule({}, {})) == []
+    odd = list(mixing.schedule({"a": 7, "b": 100, "c": 1, "d": 33}, {"a": 1.0, "b": 2.0, "c": 0.0, "d": None}))
+    assert len(odd) == 141 and {x[1] for x in odd} == set("abcd")
 
 
 def test_mixed_rows(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SOURCES", 3)
+    monkeypatch.setattr(mixing, "PIECE", 30)
     rows = [(i, ["a", "a", "a", "b", "c", "d", "e", None][i % 8]) for i in range(700)] + [(1, "a"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
     found = mixing.mixed(docs, block_rows=4).collect()
     assert len(found) == len(rows) and len({r["__at"] for r in found}) == len(rows)
-    assert {r["__key"] for r in found} == {"sa", "sb", "sc", "rest", "null"}
-    for slot in {r["__slot"] for r in found}:
-        assert len({r["__key"] for r in found if r["__slot"] == slot}) == 1
-    first = [r for r in found if r["__phase"] == 0]
-    weights = mixing.square_roots({k: sum(r["__key"] == k for r in found) for k in {r["__key"] for r in found}})
-    length = max(r["__slot"] for r in first) + 1
-    for key, weight in weights.items():
-        done = np.zeros(length)
-        done[sorted({r["__slot"] for r in first if r["__key"] == key})] = 1
-        assert np.abs(np.cumsum(done) - weight / sum(weights.values()) * np.arange(1, length + 1)).max() <= 1.1  # weights in 2000ths
+    assert {r["__key"] for r in found} == {"sa", "sb", "sc", "sd", "se", "null"}
+    counts = {k: sum(r["__key"] == k for r in found) for k in {r["__key"] for r in found}}
+    blocks = {k: math.ceil(n / 4) for k, n in counts.items()}
+    want = {(s, k): (slot, phase) for slot, s, k, phase in mixing.schedule(blocks, mixing.square_roots(counts))}
+    assert all(want[r["__key"], r["__block"]] == (r["__slot"], r["__phase"]) and r["__at"] // 4 == r["__slot"] for r in found)
     out = mixing.mix(docs, block_rows=4)
     assert out.columns == docs.columns and out.count() == len(rows)
+    placed = mixing.mix(docs, block_rows=4, position="place")
+    assert sorted(r.place for r in placed.collect()) == sorted(r["__at"] for r in found)
     assert mixing.mix(docs.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize(("sources", "weight"), [(20, 0.24), (200, 0.1), (20, 0.0001)])
-def test_shares_follow_exact_weights(sources, weight):
-    weights = {f"s{i:03}": weight if i == 0 else (1 - weight) * (i + 1) for i in range(sources)}
-    total = sum(w for s, w in weights.items() if s != "s000") / (1 - weight)
-    weights["s000"] = weight * total
-    length = 40_000  # blocks; every source has enough for all of them
-    found = mixing.phases({s: math.ceil(w / total * length) + 2 for s, w in weights.items()}, weights)
-    for p in [p for p in found if p.number == 0]:
-        n = sum(len(q.places) for q in found if q.number == 0)
-        done = np.zeros(n)
-        slots = p.first_slot + np.arange(n) // len(p.places) * p.period
-        slots = (slots + np.array(p.places)[np.arange(n) % len(p.places)])
-        done[slots[slots < n]] = 1
-        assert np.abs(np.cumsum(done) - weights[p.source] / total * np.arange(1, n + 1)).max() < 1 + 1e-6
-    assert n > length / 2
-
-
-def test_small_sources_take_turns_inside_rest(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SOURCES", 2)
-    sizes = {"a": 900, "b": 800, **{f"t{i}": 40 * (i + 1) for i in range(8)}}
-    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(3, "source")
-    asked = []
-
-    def weights(counts):
-        asked.append(set(counts))
-        return mixing.square_roots(counts)
-
-    found = mixing.mixed(docs, weights, block_rows=4).collect()
-    assert len(found) == len({r["__at"] for r in found}) == len(rows)
-    assert {"st0", "st7"} <= set.union(*asked)
-    rest = [r["source"] for r in sorted(found, key=lambda r: r["__at"]) if r["__key"] == "rest"]
-    total = sum(math.sqrt(40 * (i + 1)) for i in range(8))
-    until = min(max(i for i, s in enumerate(rest) if s == t) for t in set(rest))  # until one runs out
-    for i in range(8):
-        share = math.sqrt(40 * (i + 1)) / total
-        done = np.cumsum([s == f"t{i}" for s in rest[:until]])
-        assert np.abs(done / 4 - share * np.arange(1, until + 1) / 4).max() <= 1.25  # a block, and a part of one on the way
+    for bad in (docs.withColumn("__x", F.lit(1)), docs.withColumn("place", F.lit(1))):
+        with pytest.raises(ValueError, match="may not"):
+            mixing.mix(bad, position="place")
 
 
 def test_licenses_equal_brute_force(spark):

@@ -23,7 +23,5 @@ def test_stages(spark, sf):
     sources = {r.doc_id: "null" if r.source is None else f"s{r.source}" for r in docs.collect()}
     order = [sources[d] for d in found]
     rows = {s: order.count(s) for s in set(order)}
-    slots = {}
-    for p in mixing.phases({s: math.ceil(n / 32) for s, n in rows.items()}, mixing.square_roots(rows)):
-        slots |= {p.first_slot + at: (p.source, p.first_block + i) for i, at in enumerate(p.places)}
+    slots = {slot: (s, k) for slot, s, k, _ in mixing.schedule({s: math.ceil(n / 32) for s, n in rows.items()}, mixing.square_roots(rows))}
     assert order == [s for _, (s, k) in sorted(slots.items()) for _ in range(min(32, rows[s] - 32 * k))]
