@@ -25,8 +25,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order in which their sources take turns, and their `position` in it, which files do not keep."""
-    return mixing.mix(docs, position="position")
+    """All rows, and their `position` in the order in which their sources take turns. A column of that name gives way to it."""
+    return mixing.mix(docs.drop("position"), position="position")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
