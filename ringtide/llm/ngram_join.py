@@ -261,9 +261,20 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     stars = large.join(large.groupBy("col").agg(F.min("node").alias("a")), "col").where("a <> node").select("a", F.col("node").alias("b"), F.lit(0).cast("long").alias("overlap"))
     pairs = partial_products(shared.where(F.col("size") <= FREQUENT)).union(stars.distinct())
     first = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a")).select("a", "b"))
-    named = checkpointed(shared.select("node").distinct())
-    sets = written(sets_of(docs, named, id_col, text_col), "shingles", compression="none")
-    comp = checkpointed(components(linked(first, sets)))
+    sets = None
+
+    def known(nodes: DataFrame) -> DataFrame:
+        """The full sets that were made so far, and those of `nodes`."""
+        nonlocal sets
+        fresh = checkpointed(nodes.distinct() if sets is None else nodes.distinct().join(sets.select("node"), "node", "left_anti"))
+        made = written(sets_of(docs, fresh, id_col, text_col), "shingles", compression="none")
+        sets = made if sets is None else sets.union(made)
+        return sets
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return linked(pairs, known(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+
+    comp = checkpointed(components(confirmed(first)))
 
     def add(links: DataFrame) -> None:
         nonlocal comp
@@ -275,7 +286,7 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     columns = labelled(shared.where(F.col("size") <= MEDIUM), comp, "node")
     several = columns.groupBy("col").agg(F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo < hi").select("col")
     cross = partial_products(checkpointed(columns.join(several, "col", "left_semi")), "x.node_comp <> y.node_comp").select("a", "b")
-    add(linked(checkpointed(cross.join(first, ["a", "b"], "left_anti")), sets))
+    add(confirmed(checkpointed(cross.join(first, ["a", "b"], "left_anti"))))
     # and in blocks those of the others. Two sets that can be linked are in one class of sizes or in two neighbouring ones:
     # a region is a column and two classes, and a pair belongs to the lower class of its documents
     level = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
@@ -283,7 +294,8 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     regions = wide.groupBy("col", "class").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"), F.min("level").alias("least")).where("size > 1 AND least = class")
     members = checkpointed(wide.join(regions, ["col", "class"]).select("col", "class", "node", "leader", "size"))
     if not members.isEmpty():
-        add(checkpointed(block_links(checkpointed(needed(members)).select("col", "class", "node"), comp, sets)))
+        members = checkpointed(needed(members)).select("col", "class", "node")
+        add(checkpointed(block_links(members, comp, known(members.select("node")))))
     return comp
 
 
