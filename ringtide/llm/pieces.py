@@ -32,9 +32,9 @@ ABSENT = object()
 class Recent(dict):
     """What `make` makes of a key, made once while it is remembered: the keys of now, and before them those in `old`."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, kept: int = 0):
         super().__init__()
-        self.make, self.old, self.size = make, {}, 0
+        self.make, self.kept, self.old, self.size = make, kept or KEPT_BYTES, {}, 0
 
     def __missing__(self, key: str):
         value = self.old.get(key, ABSENT)
@@ -46,7 +46,7 @@ class Recent(dict):
 
     def trim(self) -> None:
         """Between texts: forget what was not asked for lately."""
-        if self.size > KEPT_BYTES:
+        if self.size > self.kept:
             self.old, self.size = dict(self), 0
             self.clear()
 
@@ -59,9 +59,9 @@ class PieceCache:
     the text has to be encoded whole.
     """
 
-    def __init__(self, encode: Callable[[str], object], encode_word: Callable[[str], object], join: Callable):
+    def __init__(self, encode: Callable[[str], object], encode_word: Callable[[str], object], join: Callable, kept: int = 0):
         self.encode, self.join = encode, join
-        self.words, self.pieces, self.parts = Recent(encode_word), Recent(self.piece), Recent(self.part)
+        self.words, self.pieces, self.parts = Recent(encode_word, kept), Recent(self.piece, kept), Recent(self.part, kept)
 
     def piece(self, piece: str):
         """Value of a piece: letters and the punctuation behind them apart."""

@@ -31,6 +31,8 @@ BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 6000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Bytes of each table of pieces that a worker keeps.
+KEPT_BYTES = 110 << 20
 
 # Fixed values of byte-level vocabularies: visible bytes stand for themselves, the others for characters from U+0100 on.
 VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,7 +60,7 @@ def _encoder(path: str) -> PieceCache:
             symbols = "Ġ" + letters if raw.isascii() else raw.encode().decode("latin-1").translate(SYMBOLS)
             return array("I", [t.id for t in model.tokenize(symbols)]).tobytes()
 
-        cache = _LOADED[path] = PieceCache(encode, encode_word, lambda a, b: a + b)
+        cache = _LOADED[path] = PieceCache(encode, encode_word, lambda a, b: a + b, KEPT_BYTES)
         cache.library = library
     return _LOADED[path]
 

@@ -41,7 +41,7 @@ def test_pieces_give_the_librarys_ids(texts):
 
 
 def test_caches_forget(texts, monkeypatch):
-    monkeypatch.setattr("ringtide.llm.pieces.KEPT_BYTES", 10_000)
+    monkeypatch.setattr("ringtide.llm.tokens.KEPT_BYTES", 10_000)
     monkeypatch.setattr("ringtide.llm.pieces.LONG", 30)
     library, tokens._LOADED = Tokenizer.from_file(BYTES), {}
     for text, found in zip(texts, tokens.encode(BYTES, texts), strict=True):
