@@ -138,10 +138,12 @@ def enforce_min_duration(bins: DataFrame, keys: list[str], index: str, code: str
 
 
 def apply_movement_veto(bins: DataFrame, keys: list[str], index: str, code: str, speed: str,
-                        threshold_log10: float, step: float, min_duration: float,
+                        threshold_log10: float | Column, step: float, min_duration: float,
                         veto: tuple[str, ...] = ("NREM", "REM"), floor: float = 1e-3) -> DataFrame:
     """Bins scored asleep while moving become WAKE; short runs are absorbed again.
 
+    The threshold may be a column of `bins`; a null one moves nothing.
+
     Adds ``moving``, ``code_before`` and ``code_after``. Bins without a speed stay.
     """
     value = F.log10(F.greatest(F.col(speed).cast("double"), F.lit(floor)))

@@ -157,6 +157,41 @@ def bimodal_threshold(df: DataFrame, value: str, n_grid: int = 1000) -> float:
     return float(crossing(gaussian_pair(df, [], value).first(), n_grid, mid["m"]))
 
 
+def bimodal_thresholds(df: DataFrame, keys: list[str], value: str, n_grid: int = 1000) -> DataFrame:
+    """`bimodal_threshold` of every key at once: ``keys, n_values, threshold``. A task looks for the crossing in each key's own row."""
+    fit = gaussian_pair(df, keys, value)
+    mid = quantiles(df, keys, value, {"m": 0.5})
+    both = fit.join(mid, keys) if keys else fit.withColumns({"m": mid.select("m").scalar(), "n_values": mid.select("n_values").scalar()})
+    types = {f.name: f.dataType.simpleString() for f in both.schema}
+
+    def work(frames):
+        for pdf in frames:
+            out = pdf[[*keys, "n_values"]].copy()
+            out["threshold"] = [float(r["m"]) if r["n_values"] < 10 else float(crossing(r, n_grid, r["m"])) for r in pdf.to_dict("records")]
+            yield out
+
+    schema = "".join(f"{k} {types[k]}, " for k in keys) + "n_values bigint, threshold double"
+    return both.select(*keys, "n_values", "m", "m1", "m2", "v1", "v2", "w1").mapInPandas(work, schema)
+
+
+def movement_thresholds(df: DataFrame, keys: list[str], speed: str, floor: float = 1e-3) -> DataFrame:
+    """`movement_threshold` of every key: ``keys, n_values, threshold`` (log10 of the speed), null below ten values."""
+    work = df.where(finite(speed)).select(*keys, F.log10(F.greatest(F.col(speed).cast("double"), F.lit(floor))).alias("x"))
+    found = bimodal_thresholds(work, keys, "x")
+    return found.withColumn("threshold", F.when(F.col("n_values") >= 10, F.col("threshold")))
+
+
+def automatic_thresholds(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``keys, threshold``: a cut read off each key's own values; null where there are too few.
+
+    A least speed lies between the two modes of its logarithm. Any other limit is
+    the upper fence, of the logarithm unless it limits an elevation.
+    """
+    if name == "min_speed_mm_s":
+        return movement_thresholds(df, keys, value).select(*keys, F.pow(F.lit(10.0), "threshold").alias("threshold"))
+    return upper_fence(df, keys, value, log=name != "max_elevation_deg").select(*keys, F.col("fence").alias("threshold"))
+
+
 def movement_threshold(df: DataFrame, speed: str, floor: float = 1e-3) -> float | None:
     """Two-mode split of log10 speed; None with fewer than ten values."""
     work = df.where(finite(speed)).select(
@@ -198,4 +233,4 @@ def two_level_thresholds(df: DataFrame, keys: list[str], value: str, max_iter: i
 
 
 __all__ = ["otsu_table", "find_bimodal_threshold", "upper_fence", "gaussian_pair", "bimodality_score",
-           "bimodal_threshold", "movement_threshold", "two_level_thresholds"]
+           "bimodal_threshold", "bimodal_thresholds", "movement_threshold", "movement_thresholds", "automatic_thresholds", "two_level_thresholds"]

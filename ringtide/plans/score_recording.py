@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.lfp import boxcar, broadband_slow_wave, emg_from_lfp, log_frequencies, log_spectrogram, pick_slots, theta_ratio
 from ..operators.quantiles import quantiles
 from ..operators.states import apply_movement_veto, classify_states, enforce_min_duration
-from ..operators.thresholds import crossing, gaussian_pair, movement_threshold
+from ..operators.thresholds import crossing, gaussian_pair, movement_thresholds
 from ..scale import cut_lineage
 
 SIGNALS = ["broadband", "theta", "emg"]
@@ -62,9 +62,10 @@ def score_recording(signals: DataFrame, keys: list[str], step_s: float, min_dura
     if speed is None:
         return scored.withColumn("code_before", F.col("code"))
     moving = scored.join(speed, [*keys, "window"], "left")
-    if threshold_log10 is None:
-        threshold_log10 = movement_threshold(moving, "speed")
-    if threshold_log10 is None:
-        return moving.withColumn("code_before", F.col("code"))
-    out = apply_movement_veto(moving, keys, "window", "code", "speed", threshold_log10, step_s, min_duration)
-    return out.drop("code").withColumnRenamed("code_after", "code")
+    cut = F.lit(threshold_log10).cast("double")
+    if threshold_log10 is None:  # one for every recording
+        found = movement_thresholds(moving, keys, "speed").select(*keys, F.col("threshold").alias("__cut"))
+        moving = moving.join(found, keys, "left") if keys else moving.withColumn("__cut", found.select("__cut").scalar())
+        cut = F.col("__cut")
+    out = apply_movement_veto(moving, keys, "window", "code", "speed", cut, step_s, min_duration)
+    return out.drop("code", "__cut").withColumnRenamed("code_after", "code")

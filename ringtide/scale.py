@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES_CONF = "spark.ringtide.scan.chunkBytes"
 DEFAULT_CHUNK_BYTES = 128 << 20
+#: Estimates from here on stand for a size that is not known.
+UNKNOWN = 1 << 60
 
 
 def _leaf_bytes(leaf) -> int:
@@ -27,12 +29,16 @@ def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the rows' size, held to four times what the plan reads.
 
     Without column statistics a join is estimated as the product of its sides.
-    No job is run, except to count the rows of checkpoints.
+    No job is run, except to count the rows of checkpoints and of plans whose
+    size is unknown.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     read = sum(_leaf_bytes(leaves.apply(i)) for i in range(leaves.size()))
-    return min(int(str(plan.stats().sizeInBytes())), 4 * read)
+    found = min(int(str(plan.stats().sizeInBytes())), 4 * read)
+    if found >= UNKNOWN:  # a cached plan that nobody has computed yet says so
+        found = df.count() * int(df._jdf.schema().defaultSize())
+    return found
 
 
 def chunk_count(df: DataFrame, chunks: int | None = None) -> int:

@@ -6,6 +6,7 @@ import math
 
 import pytest
 
+from ringtide import scale
 from ringtide.operators import decoding, joins, masks, scan
 
 DAY = dt.date(2020, 1, 1)
@@ -89,3 +90,9 @@ def test_frames_per_bin(spark):
     frames = spark.createDataFrame(rows, "s int, t double")
     found = {r.s: r.per_bin for r in decoding.frames_per_bin(frames, ["s"], "t", 0.0499).collect()}
     assert found == {0: 5, 1: 6, 2: 1}
+
+
+def test_cached_rows_of_unknown_size_are_counted(spark):
+    df = spark.range(1000).withColumn("x", scan.F.col("id") * 2).cache()
+    assert scale.chunk_count(df) == 1  # nothing has filled the cache, so there is no estimate
+    assert scan.number_rows(df, [], ["id"], "at").where("at <> id").isEmpty()
