@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Rounds between two checkpoints.
-ROUNDS = 2
+#: Rounds between two checkpoints, and edges of a task.
+ROUNDS, EDGES = 2, 1 << 17
+
+
+def packed(edges: DataFrame) -> DataFrame:
+    """A checkpointed table of edges in as many partitions as its rows fill, so that few of them cost few files and tasks."""
+    return edges.coalesce(max(1, -(-edges.count() // EDGES)))
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -38,11 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     minimum is a partial aggregate and is joined back. Self-loops and repeated
     edges are allowed; null ends are left out.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = packed(checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     while not _stars(edges):
         for _ in range(ROUNDS):
             edges = _round(edges)
-        edges = checkpointed(edges)
+        edges = packed(checkpointed(edges))
     hung = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     return hung.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 

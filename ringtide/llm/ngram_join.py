@@ -39,7 +39,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 18
 #: Documents of a column up to which those of different components are multiplied pair by pair; beyond, block by block.
 MEDIUM = 512
 #: Documents of a block at most, entries of a block's sets in all, and columns that a block multiplies at a time.
-BLOCK, ENTRIES, COLUMNS = 512, 1 << 18, 2048
+BLOCK, ENTRIES, COLUMNS = 1024, 1 << 18, 2048
 #: Earlier regions that are tried as the one that holds all documents of a region.
 EARLIER = 4
 #: Documents that a worker turns into sets or postings at a time.
@@ -311,10 +311,10 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = columns_of(docs, id_col, text_col).withColumn(id_col, F.col(id_col).cast("long"))
     rows = written(incidence(docs, id_col, text_col), "incidence", compression="none")
     usable = rows.where("doc_id IS NOT NULL AND same IS NOT NULL")
-    # one document for each set, and one set for each document that stands for one
-    first = checkpointed(usable.groupBy("same").agg(F.min("doc_id").alias("node")))
-    nodes = usable.join(first, "same").where("doc_id = node").dropDuplicates(["node", "same"]).select("node", F.col("n_shingles").alias("n"), "cols")
+    # one document for each set; copies are dropped before the shuffle
+    alone = usable.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("cols").alias("cols"))
+    nodes = written(alone, "nodes", compression="none")
     comp = node_links(nodes, docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    place = labelled(first, comp, "node").select("same", F.col("node_comp").alias("component_id"))
+    place = labelled(nodes.select("same", "node"), comp, "node").select("same", F.col("node_comp").alias("component_id"))
     found = rows.select("doc_id", "n_shingles", "same").join(place, "same", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
