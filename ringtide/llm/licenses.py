@@ -5,13 +5,16 @@ the shingles of a window is compared with the template's. Windows overlap by
 half and are two to four times as long as the templates that they may retrieve,
 so that a notice lies whole in one window, whose similarity with the template is
 then at least a quarter; MINHASHES bands of one value miss such a window once in
-ten thousand times. The share of the template's shingles that really stand
-there decides.
+ten thousand times. In what the windows of a template cover, a span is slid that
+is a quarter longer than the template, and the share of the template's shingles
+that really stand in it decides. Of overlapping spans of one license the fullest
+stays, of equally full ones the shortest.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,9 +40,7 @@ NOTICES = {
 
 #: Words of a shingle; hash functions, each a band of its own; least share of a template's shingles.
 SHINGLE, MINHASHES, CONTAINED = 3, 32, 0.8
-#: Template lengths, in shingles, up to which a window of twice as many is used.
-LENGTHS = (1, 2, 4, 8, 16, 32, 64)
-#: Shingles of a text that are looked at together.
+#: Shingles of a text that are looked at together, at least.
 BLOCK = 1 << 15
 WORD = re.compile(r"[^\W_]+")
 KEPT = 500_000
@@ -78,9 +79,10 @@ def shingles(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Template:
-    """A notice: its license, its distinct shingles in order, and the least value of every hash function."""
+    """A notice: its license, its length in shingles, its distinct shingles in order, and the least value of every hash function."""
 
     license: str
+    length: int
     shingles: np.ndarray
     minima: np.ndarray
 
@@ -90,14 +92,15 @@ def minima(values: np.ndarray) -> np.ndarray:
 
 
 def templates(notices: dict[str, list[str]]) -> list[Template]:
-    """Templates of notices; those under SHINGLE words have no shingle and are refused."""
+    """Templates of notices of any length; those under SHINGLE words have no shingle and are refused."""
     out = []
     for name, texts in notices.items():
         for text in texts:
-            found = np.unique(shingles(text))
-            if not 1 <= len(found) <= LENGTHS[-1]:
-                raise ValueError(f"a notice of {name} has {len(found)} shingles")
-            out.append(Template(name, found, minima(found)))
+            stream = shingles(text)
+            if not len(stream):
+                raise ValueError(f"a notice of {name} has under {SHINGLE} words")
+            found = np.unique(stream)
+            out.append(Template(name, len(stream), found, minima(found)))
     return out
 
 
@@ -105,59 +108,77 @@ class Scanner:
     """Finds the templates in texts."""
 
     def __init__(self, notices: dict[str, list[str]]):
-        self.templates = templates(notices)
-        self.classes = []
-        shorter = 0
-        for longest in LENGTHS:
-            own = [t for t in self.templates if shorter < len(t.shingles) <= longest]
-            shorter = longest
-            if own:
-                self.classes.append((longest, own))
+        #: templates by the least power of two that holds them; windows are twice as long
+        self.classes: dict[int, list[Template]] = {}
+        for template in templates(notices):
+            self.classes.setdefault(1 << (template.length - 1).bit_length(), []).append(template)
+        self.longest = max(self.classes, default=1)
 
     def find(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, first word, last word, share of the template's shingles), by place."""
         stream = shingles(text or "")
-        found = []
-        for start in range(0, len(stream), BLOCK):
-            found += self.block(stream, start)
-        best: dict[tuple[str, int], tuple[str, int, int, float]] = {}
-        for name, a, b, share in found:
-            if (name, a) not in best or share > best[name, a][3]:
-                best[name, a] = (name, a, b, share)
-        kept: list[tuple[str, int, int, float]] = []
-        for match in sorted(best.values(), key=lambda m: (-m[3], m[1], m[0])):
-            if not any(k[0] == match[0] and k[1] <= match[2] and match[1] <= k[2] for k in kept):
-                kept.append(match)
-        return sorted(kept, key=lambda m: (m[1], m[0]))
-
-    def block(self, stream: np.ndarray, start: int) -> list[tuple[str, int, int, float]]:
-        """Matches of windows that begin in the block of the stream at `start`; the last ones reach beyond it."""
+        found: set[tuple[str, int, int, float]] = set()
+        size = max(BLOCK, self.longest)
+        windows: dict[int, list[int]] = {}
+        known: dict[int, tuple[int, Template]] = {}
+        for start in range(0, len(stream), size):
+            for step, template, at in self.retrieved(stream, start, size):
+                windows.setdefault(id(template), []).extend(at)
+                known[id(template)] = (step, template)
+        for key, at in windows.items():
+            step, template = known[key]
+            places = np.unique(np.array(at))
+            for run in np.split(places, np.flatnonzero(np.diff(places) > 2 * step) + 1):  # windows that touch are searched together
+                first = int(run[0])
+                part = stream[first:int(run[-1]) + 2 * step + template.length // 4]
+                found.update((template.license, first + a, first + b + SHINGLE - 1, share) for a, b, share in self.spans(part, template))
+        kept: dict[str, list[tuple[str, int, int, float]]] = {}
+        for match in sorted(found, key=lambda m: (-m[3], m[2] - m[1], m[1], m[0])):
+            own = kept.setdefault(match[0], [])
+            i = bisect(own, match[1], key=lambda m: m[1])
+            if (i == 0 or own[i - 1][2] < match[1]) and (i == len(own) or match[2] < own[i][1]):
+                own.insert(i, match)
+        return sorted((m for own in kept.values() for m in own), key=lambda m: (m[1], m[0]))
+
+    def retrieved(self, stream: np.ndarray, start: int, size: int) -> list[tuple[int, Template, list[int]]]:
+        """Step, template and beginnings of its windows in the block of the stream at `start`; the last windows reach beyond it."""
         out = []
-        part = stream[start:start + BLOCK + LENGTHS[-1]]
-        values = np.full((MINHASHES, -(-len(part) // LENGTHS[-1]) * LENGTHS[-1]), np.iinfo(np.uint64).max, np.uint64)
+        part = stream[start:start + size + self.longest]
+        values = np.full((MINHASHES, -(-len(part) // self.longest) * self.longest), np.iinfo(np.uint64).max, np.uint64)
         np.multiply(part[None, :] ^ MASKS[:, None], MULTIPLIERS[:, None], out=values[:, :len(part)])
         cells, width = values, 1
-        for step, own in self.classes:
+        for step, own in sorted(self.classes.items()):
             while width < step:  # cells of twice the width
                 cells, width = np.minimum(cells[:, ::2], cells[:, 1::2]), 2 * width
             windows = cells if cells.shape[1] == 1 else np.minimum(cells[:, :-1], cells[:, 1:])
             for template in own:
-                for w in np.flatnonzero((windows == template.minima[:, None]).any(axis=0)):
-                    first = start + int(w) * step
-                    here = np.flatnonzero(np.isin(stream[first:first + 2 * step], template.shingles))
-                    for a, b, share in self.spans(stream[first:first + 2 * step], here, template):
-                        out.append((template.license, first + a, first + b + SHINGLE - 1, share))
+                hits = np.flatnonzero((windows == template.minima[:, None]).any(axis=0))
+                if len(hits):
+                    out.append((step, template, (start + hits * step).tolist()))
         return out
 
     @staticmethod
-    def spans(window: np.ndarray, here: np.ndarray, template: Template) -> list[tuple[int, int, float]]:
-        """Runs of the template's shingles that lie no further apart than the template is long, and hold enough of it."""
+    def spans(part: np.ndarray, template: Template) -> list[tuple[int, int, float]]:
+        """Spans (first, last, share) that hold enough of the template, one for each shingle of it that can begin one.
+
+        A span ends where the last shingle comes that it did not hold before.
+        """
+        here = np.flatnonzero(np.isin(part, template.shingles))
+        least = CONTAINED * len(template.shingles)
+        if len(here) < least:
+            return []
+        # place in `here` of the same shingle's last occurrence before
+        values = part[here]
+        order = np.argsort(values, kind="stable")
+        before = np.full(len(here), -1)
+        same = values[order[1:]] == values[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        ends = np.searchsorted(here, here + template.length + template.length // 4)
         out = []
-        for run in np.split(here, np.flatnonzero(np.diff(here) > len(template.shingles)) + 1):
-            if len(run):
-                share = len(np.unique(window[run])) / len(template.shingles)
-                if share >= CONTAINED:
-                    out.append((int(run[0]), int(run[-1]), share))
+        for i in np.flatnonzero(ends - np.arange(len(here)) >= least):
+            fresh = np.flatnonzero(before[i:ends[i]] < i)
+            if len(fresh) >= least:
+                out.append((int(here[i]), int(here[i + fresh[-1]]), len(fresh) / len(template.shingles)))
         return out
 
 
@@ -168,7 +189,9 @@ def scan(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, id_col: str =
     """Notices in every whole text: id, `license`, `first_word`, `last_word` (from 0), `contained` (share of the template).
 
     A null, empty or short text has none. Repeated rows give repeated notices.
-    Matches of one license that overlap count once, the fullest of them.
+    Matches of one license that overlap count once, the fullest of them and then
+    the shortest; copies side by side are found one by one. A notice may be of any
+    length from three words on.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     name = repr(sorted(notices.items()))

@@ -181,3 +181,57 @@ def test_licenses_equal_brute_force(spark):
     assert sorted((r.doc_id, r.license, r.first_word, r.last_word) for r in found) == want
     assert {r.contained for r in found} == {1.0}
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def every_span(scanner, text):
+    """The definition: all spans of a text and template, the fullest first, then the shortest and the earliest; none may overlap a chosen one."""
+    stream, found = licenses.shingles(text).tolist(), set()
+    for template in itertools.chain(*scanner.classes.values()):
+        own = set(template.shingles.tolist())
+        for a in range(len(stream)):
+            held, b = set(), a
+            for i in range(a, min(len(stream), a + template.length + template.length // 4)):
+                if stream[i] in own and stream[i] not in held:
+                    held.add(stream[i])
+                    b = i
+            if stream[a] in own and len(held) >= licenses.CONTAINED * len(own):
+                found.add((template.license, a, b + licenses.SHINGLE - 1, len(held) / len(own)))
+    kept = []
+    for m in sorted(found, key=lambda m: (-m[3], m[2] - m[1], m[1], m[0])):
+        if not any(k[0] == m[0] and k[1] <= m[2] and m[1] <= k[2] for k in kept):
+            kept.append(m)
+    return sorted(kept, key=lambda m: (m[1], m[0]))
+
+
+@pytest.mark.parametrize("name", list(licenses.NOTICES))
+def test_licenses_side_by_side(name):
+    """Runs of 2 to 9 copies at all offsets are found copy by copy."""
+    scanner = licenses.Scanner(licenses.NOTICES)
+    for notice in licenses.NOTICES[name]:
+        n = len(licenses.WORD.findall(notice))
+        for copies in range(2, 10):
+            for offset in range(0, 2 * n, 1 if n < 12 else 5):
+                text = " ".join(["w"] * offset + [notice] * copies + ["v"] * 7)
+                assert scanner.find(text) == [(name, offset + i * n, offset + (i + 1) * n - 1, 1.0) for i in range(copies)]
+
+
+def test_licenses_changed_and_long():
+    """Copies with words lost, changed or put in, beside and inside each other, and a template of 600 words, by the definition."""
+    draw = random.Random(31)
+    long = " ".join(f"t{draw.randint(0, 3000)}" for _ in range(600))
+    scanner = licenses.Scanner({**licenses.NOTICES, "long": [long]})
+    assert scanner.find(f"a {long} {long} b") == [("long", 1, 600, 1.0), ("long", 601, 1200, 1.0)]
+    scanner = licenses.Scanner({**licenses.NOTICES, "hundred": [" ".join(long.split()[:100])]})
+    found = 0
+    for _ in range(60):
+        words = []
+        for _ in range(draw.randint(1, 6)):
+            copy = draw.choice([*itertools.chain(*licenses.NOTICES.values()), " ".join(long.split()[:100])]).split()
+            for _ in range(draw.choice([0, 0, 1, 2])):
+                at = draw.randrange(len(copy))
+                copy[at:at + draw.randint(0, 1)] = draw.choice([[], ["new"], ["two", "new"]])
+            words += copy + ["w"] * draw.choice([0, 0, 1, 9])
+        want = every_span(scanner, " ".join(words))
+        found += len(want)
+        assert scanner.find(" ".join(words)) == want
+    assert found > 100
