@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import _ALL
@@ -14,6 +17,19 @@ def draw_shifts(n: int, low: int, high: int, seed: int = 0) -> list[int]:
     return [int(x) for x in np.random.default_rng(seed).integers(low, high, size=n)]
 
 
+def shifts_by_size(n: int, least: int, seed: int = 0) -> Callable[[Column], Column]:
+    """`n` shifts in [least, size - least) for every size in a column, each drawn by a generator of its own from the seed.
+
+    A size without room for a shift, or none, gives null.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def drawn(sizes: pd.Series) -> pd.Series:
+        return pd.Series([draw_shifts(n, least, int(x) - least, seed) if pd.notna(x) and 2 * least < x else None for x in sizes], dtype=object)
+
+    return drawn
+
+
 def draw_orders(n: int, size: int, seed: int = 0) -> list[list[int]]:
     """`n` permutations of ``range(size)`` from one seeded generator."""
     rng = np.random.default_rng(seed)

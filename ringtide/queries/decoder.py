@@ -266,3 +266,31 @@ def _(spark, sf):
     pairs = others.select("session").distinct().withColumn("unit", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])))
     return apply_decoder(base, pairs.withColumn("ref_unit", F.col("unit")), others, ["session"], "bin", "counts", "dur", "heading",
                          F.col("n") >= 2, ANGLES, 900.0, True, 1.0, 3.0)
+
+
+def _shared_units(spark, sf):
+    """Sessions 1 to 3 with the units they share with session 0: all but their last."""
+    pairs = binned(spark, sf).where("session > 0").select("session").distinct()
+    pairs = pairs.withColumn("unit", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])))
+    return pairs.withColumn("ref_unit", F.col("unit"))
+
+
+@query("transfer_decoder")
+def _(spark, sf):
+    """Sessions 1 to 3 scored with session 0's model, wake and sleep beside their nulls."""
+    from ..plans.decode_session import transfer_decoder
+
+    base = model(spark, sf).where("session = 0").drop("session")
+    return transfer_decoder(base, _shared_units(spark, sf), binned(spark, sf).where("session > 0"), ["session"], "bin", "counts", "dur",
+                            "heading", F.col("n") >= 2, {"REM": F.col("n") < 2}, ANGLES, 900.0, n_shuffles=3, min_shift=30, min_run=2.0)
+
+
+@query("reference_decode")
+def _(spark, sf):
+    """Held-out bins of every session read with the units that the others share."""
+    from ..plans.decode_session import held_out, reference_decode, train_decoder
+
+    full = held_out(binned(spark, sf), ["session"], "bin", "dur", F.col("n") >= 2, _BLOCK)
+    curves = train_decoder(full, ["session"], "counts", "heading", "dur", ANGLES, 20.0, 0.05)
+    return reference_decode(full, curves, curves.where("unit < 4"), ["session"], "bin", "counts", "dur", "heading", {"REM": F.col("n") < 2},
+                            ANGLES, 900.0, n_shuffles=3, min_shift=30, min_run=2.0)
