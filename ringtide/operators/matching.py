@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import circular_difference, length, vector_angle
 from ..scale import cut_lineage
-from .quantiles import finite, quantiles
+from .quantiles import corr_or_null, finite, quantiles
 from .scan import following, number_rows, previous, running_sum, scan
 
 
@@ -80,7 +80,7 @@ def tuning_similarity(pairs: DataFrame, curves_ref: DataFrame, curves_other: Dat
     c = curves_other.select(F.col("unit_id").alias("other_unit"), back.alias("angle_bin"), F.col("hz").alias("__b"))
     keys = ["ref_unit", "other_unit"]
     both = pairs.select(*keys).join(a, "ref_unit").join(c, ["other_unit", "angle_bin"])
-    r = F.when((F.stddev_pop("__a") > 0) & (F.stddev_pop("__b") > 0), F.corr("__a", "__b"))
+    r = F.when((F.stddev_pop("__a") > 0) & (F.stddev_pop("__b") > 0), corr_or_null("__a", "__b"))
     scored = both.groupBy(*keys).agg(r.alias("similarity"))
     return pairs.join(scored, keys, "left")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scale import cut_lineage
 from .blocks import dense, filter_rows, map_blocks, smoothed_rates
-from .quantiles import average_rank, finite
+from .quantiles import average_rank, corr_or_null, finite
 
 
 def wide_counts(counts: DataFrame, bins: DataFrame, keys: list[str], index: str, unit: str, count: str,
@@ -183,14 +183,14 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFram
     ranked = average_rank(average_rank(kept, keys, x, "__rx"), keys, y, "__ry")
     return ranked.groupBy(*keys).agg(
         F.count("*").cast("bigint").alias("n"),
-        F.when((F.count("*") >= 3) & (F.stddev_pop("__rx") > 0) & (F.stddev_pop("__ry") > 0), F.corr("__rx", "__ry")).alias("rho"))
+        F.when((F.count("*") >= 3) & (F.stddev_pop("__rx") > 0) & (F.stddev_pop("__ry") > 0), corr_or_null("__rx", "__ry")).alias("rho"))
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson's r over finite pairs per key; null below three or without spread."""
     return df.where(finite(x) & finite(y)).groupBy(*keys).agg(
         F.count("*").cast("bigint").alias("n"),
-        F.when((F.count("*") >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("r"))
+        F.when((F.count("*") >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), corr_or_null(x, y)).alias("r"))
 
 
 def binned_mean(df: DataFrame, keys: list[str], x: str, y: str, low: float, width: float, n_bins: int,
@@ -246,7 +246,7 @@ def structure_test(pairs_x: DataFrame, pairs_y: DataFrame, units: DataFrame, ord
     """
     x = pairs_x.where("i < j").select("i", "j", F.col("v").alias("x"))
     y = pairs_y.select("i", "j", F.col("v").alias("y"))
-    observed = x.join(y, ["i", "j"]).agg(F.corr("x", "y").alias("value"))
+    observed = x.join(y, ["i", "j"]).agg(corr_or_null("x", "y").alias("value"))
     spark = pairs_x.sparkSession
     rows = [(s, p, int(q)) for s, order in enumerate(orders) for p, q in enumerate(order)]
     mapping = spark.createDataFrame(rows, "shuffle int, p bigint, q bigint")
@@ -256,4 +256,4 @@ def structure_test(pairs_x: DataFrame, pairs_y: DataFrame, units: DataFrame, ord
     right = moved.select("shuffle", F.col("from").alias("j"), F.col("to").alias("tj"))
     shuffled = x.join(left, "i").join(right, ["shuffle", "j"]).join(
         y.select(F.col("i").alias("ti"), F.col("j").alias("tj"), "y"), ["ti", "tj"])
-    return observed, shuffled.groupBy("shuffle").agg(F.corr("x", "y").alias("value"))
+    return observed, shuffled.groupBy("shuffle").agg(corr_or_null("x", "y").alias("value"))

@@ -17,6 +17,15 @@ def finite(x: Column | str) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(float("inf")))
 
 
+def corr_or_null(a: str, b: str) -> Column:
+    """Pearson r of the rows that hold both, as an aggregate; null if either side is flat.
+
+    ``F.corr`` divides by zero there, which ANSI mode refuses even under a ``F.when``.
+    """
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
               chunks=None) -> DataFrame:
     """Linear-interpolation quantiles of each key, one column per name in `probs`.

@@ -9,7 +9,7 @@ from ..functions.angles import circular_difference
 from ..operators.blocks import smoothed_rates
 from ..operators.circular import align_angles, decoding_metrics
 from ..operators.pairs import masked_rates, pairwise_correlations
-from ..operators.quantiles import quantiles
+from ..operators.quantiles import corr_or_null, quantiles
 from ..operators.ring import (alignment_apply, embed_pairs, partner_snr, population_vector, ring_coupling,
                               standardised_pairs, unit_weights)
 from ..operators.scan import running_sum, scan
@@ -73,7 +73,7 @@ def fit_ring(bins: DataFrame, keys: list[str], index: str, counts: str, duration
     kept = cut_lineage(standardised_pairs(among(whole, on), keys, "metric"))
     placed = cut_lineage(embed_pairs(kept, keys, "metric", k_neighbors))
     slope, overall = ring_coupling(kept, keys, placed)
-    split = among(both, on).where("i < j").groupBy(*keys).agg(F.corr("a", "b").alias("split_half_r"))
+    split = among(both, on).where("i < j").groupBy(*keys).agg(corr_or_null("a", "b").alias("split_half_r"))
     units = placed.join(slope, [*keys, "unit"])
     for extra in (overall, split):
         units = units.join(extra, keys) if keys else units.withColumn(extra.columns[-1], extra.scalar())
