@@ -55,7 +55,7 @@ def behavior_interval_mask(frames: DataFrame, keys: list[str], order: list[str],
     Adds ``interval_kept`` to each frame, about the interval that follows it; the
     last frame of a key has null.
     """
-    chunks = plan_cuts(frames, order, chunks)
+    chunks = plan_cuts(frames, order, chunks, keyless=not keys)
     work = frames.withColumn("__pass", passing)
     work = scan(work, keys, order, {"__next": following(F.struct(F.col("__pass").alias("ok"), F.col(time).alias("t")))}, chunks)
     start = F.col(start_mask) if start_mask else F.lit(True)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import ALL as _ALL
 from .scan import running_sum, scan
 
-_ALL = "__all"
-
 
 def finite(x: Column | str) -> Column:
     """True where a double is neither null, NaN nor infinite."""

@@ -14,7 +14,7 @@ def label_runs(df: DataFrame, keys: list[str], order: list[str], values: list[st
 
     `also` is a condition over ``__prev.<column>`` and the row that starts a run too.
     """
-    chunks = plan_cuts(df, order, chunks)
+    chunks = plan_cuts(df, order, chunks, keyless=not keys)
     held = F.struct(*[F.col(c) for c in dict.fromkeys([*values, *order])])
     out = scan(df, keys, order, {"__prev": previous(held)}, chunks)
     same = F.lit(True)

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window as W
 from ..scale import chunk_count
 
 CHUNK = "__chunk"
+ALL = "__all"  # the key of what has none
 #: Rows drawn for each piece into which the rows of one leading value are cut; the draw moves cuts only.
 TIE_SAMPLE = 100
 
@@ -118,14 +119,14 @@ def _is_numeric(df: DataFrame, column: str) -> bool:
     return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
 
 
-def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None = None) -> Cuts:
-    """Cut points along `order`; quantile-sketch jobs, and only when there is enough to cut."""
+def plan_cuts(df: DataFrame, order: str | list[str], chunks: int | Cuts | None = None, keyless: bool = False) -> Cuts:
+    """Cut points along `order`; quantile-sketch jobs, and only when there is enough to cut. `keyless` scans are cut finer."""
     if isinstance(chunks, Cuts):
         return chunks
     order = [order] if isinstance(order, str) else list(order)
     for column in order:
         _exact(df, column)  # refuses, cut or not
-    n = chunk_count(df, chunks)
+    n = chunk_count(df, chunks, keyless)
     if n <= 1:
         return Cuts()
     found = _quantile_points(df, order[0], n)
@@ -190,7 +191,7 @@ def scan(
     """Add ordered columns to `df`; `order` must order the rows of a key totally."""
     temporary = {f"__in_{i}": s.expr for i, s in enumerate(specs.values()) if s.expr is not None}
     work = df.withColumns({k: v for k, v in temporary.items()})
-    work, n = with_chunks(work, order, plan_cuts(df, order, chunks))
+    work, n = with_chunks(work, order, plan_cuts(df, order, chunks, keyless=keys in ([], [ALL])))
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     onward = inside.rowsBetween(0, W.unboundedFollowing)

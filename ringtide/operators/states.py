@@ -182,7 +182,7 @@ def frame_speeds(frames: DataFrame, keys: list[str], time: str, coordinates: lis
                  max_gap: float, tie: list[str] | None = None, chunks=None) -> DataFrame:
     """Speed between consecutive usable frames; steps over more than `max_gap` get none."""
     order = [time, *(tie or [])]
-    chunks = plan_cuts(frames, order, chunks)
+    chunks = plan_cuts(frames, order, chunks, keyless=not keys)
     work = held_frames(frames, keys, order, coordinates, "held", chunks)
     usable = ~F.col("held")
     for c in coordinates:
@@ -202,7 +202,7 @@ def interpolate_gaps(bins: DataFrame, keys: list[str], index: str, value: str, s
     """Fill runs of missing values closed on both sides and no longer than `max_gap`."""
     out = out or value
     limit = round(max_gap / step) if max_gap > 0 else 0
-    chunks = plan_cuts(bins, index, chunks)
+    chunks = plan_cuts(bins, index, chunks, keyless=not keys)
     work = number_rows(bins, keys, [index], "__i", chunks)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).cast("double").alias("v")))
     work = scan(work, keys, [index], {"__a": last_valid(known), "__b": next_valid(known)}, chunks)

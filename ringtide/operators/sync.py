@@ -46,7 +46,7 @@ def pick_ttl_channel(described: DataFrame, channel: str) -> DataFrame:
 def falling_edges(samples: DataFrame, thresholds: DataFrame, keys: list[str], frame: str, value: str,
                   chunks=None) -> DataFrame:
     """Rows that are the first not above the threshold after one that was."""
-    chunks = plan_cuts(samples, frame, chunks)
+    chunks = plan_cuts(samples, frame, chunks, keyless=not keys)
     work = samples.join(thresholds.select(*keys, "threshold"), keys)
     above = F.col(value).cast("double") > F.col("threshold")
     work = scan(work.withColumn("__above", above), keys, [frame], {"__before": previous("__above")}, chunks)

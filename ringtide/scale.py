@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES_CONF = "spark.ringtide.scan.chunkBytes"
 DEFAULT_CHUNK_BYTES = 128 << 20
+#: A scan without keys sorts whole chunks in one task each, and rows take tens of times their bytes in compressed files.
+KEYLESS_SHARE = 32
 #: Estimates from here on stand for a size that is not known.
 UNKNOWN = 1 << 60
 
@@ -41,12 +43,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return found
 
 
-def chunk_count(df: DataFrame, chunks: int | None = None) -> int:
-    """How many ordered pieces to cut `df` into so that one task holds a bounded part."""
+def chunk_count(df: DataFrame, chunks: int | None = None, keyless: bool = False) -> int:
+    """How many ordered pieces to cut `df` into so that one task holds a bounded part; smaller ones if no key deals the rows out."""
     if chunks is not None:
         return max(1, int(chunks))
     conf = df.sparkSession.conf
     target = int(conf.get(CHUNK_BYTES_CONF, str(DEFAULT_CHUNK_BYTES)))
+    if keyless:
+        target = max(1, target // KEYLESS_SHARE)
     return max(1, math.ceil(estimated_bytes(df) / target))
 
 
