@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.angles import bin_centre, heading_bin, length, vector_angle
+from ..scale import cut_lineage, written
 from .nulls import draw_shifts
-from .scan import number_rows
+from .shifted import shifted_bands, shifted_cells, shifted_lengths, smoother
 
 
 def wrapped_kernel(sigma_bins: float, n_bins: int, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -100,28 +101,34 @@ def mean_vector(curves: DataFrame, keys: list[str], n_bins: int, rate: str = "hz
         F.when(ok, vector_angle("__x", "__y")).alias("preferred_direction_deg"), "peak_rate_hz")
 
 
+def _shifted(frames: DataFrame, unit: str, heading: str, duration: str, order: list[str], n_bins: int, sigma_deg: float,
+             shifts: list[int], n_frames: int, per_second: float) -> tuple:
+    """What `shifted_lengths` and `shifted_bands` take."""
+    spent = frames.groupBy(heading_bin(F.col(heading), n_bins).alias("angle_bin")).agg(F.sum(duration).alias("d")).collect()
+    occupancy = {r["angle_bin"]: float(r["d"] or 0) for r in spent}  # a number per bin
+    rates = smoother([occupancy.get(i, 0.0) for i in range(n_bins)],
+                     wrapped_kernel(sigma_deg / (360.0 / n_bins), n_bins), per_second)
+    return shifted_cells(frames, unit, heading, order, n_bins, shifts, n_frames), unit, len(shifts), rates, n_bins
+
+
 def shifted_curves(frames: DataFrame, unit: str, heading: str, duration: str, order: list[str],
                    n_bins: int, sigma_deg: float, shifts: list[int], n_frames: int,
                    per_second: float = 1.0) -> DataFrame:
     """Tuning curves after shifting the spikes along the frame clock, one per unit and shift.
 
-    Shift s gives frame i the spikes of frame ``(i + s) mod n``. Only frames with
-    spikes are copied, once per shift, and meet the heading of their new frame in
-    an equi-join on the frame number.
+    Shift s gives frame i the spikes of frame ``(i + s) mod n``. Bins that no
+    spike reaches have no row.
     """
-    numbered = number_rows(frames, [], order, "__frame")
-    track = numbered.select("__frame", heading_bin(F.col(heading), n_bins).alias("angle_bin"))
-    occupancy = numbered.groupBy(heading_bin(F.col(heading), n_bins).alias("angle_bin")).agg(
-        F.sum(duration).alias("occupancy"))
-    spikes = numbered.groupBy(unit, "__frame").agg(F.count("*").alias("__n"))
-    table = F.array(*[F.struct(F.lit(i).alias("shuffle"), F.lit(s).alias("by")) for i, s in enumerate(shifts)])
-    moved = spikes.withColumn("__s", F.explode(table)).select(
-        unit, F.col("__s.shuffle").alias("shuffle"), "__n",
-        F.pmod(F.col("__frame") - F.col("__s.by"), F.lit(n_frames)).alias("__frame"))
-    cells = moved.join(track, "__frame").groupBy(unit, "shuffle", "angle_bin").agg(
-        F.sum("__n").cast("bigint").alias("n_spikes"))
-    cells = cells.join(occupancy, "angle_bin")
-    return occupancy_normalized_rate(cells, [unit, "shuffle"], n_bins, sigma_deg, per_second)
+    bands = shifted_bands(*_shifted(frames, unit, heading, duration, order, n_bins, sigma_deg, shifts, n_frames, per_second))
+    return bands.select(unit, "angle_bin", F.posexplode("hz").alias("shuffle", "hz")).where("hz IS NOT NULL").select(
+        unit, "shuffle", "angle_bin", "hz")
+
+
+def _percentile(values: Column, p: float) -> Column:
+    """Linear-interpolation percentile of a sorted array without nulls; null if it is empty."""
+    at = F.lit(float(p)) * (F.size(values) - 1)
+    low, high = (F.get(values, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (at - F.floor(at))
 
 
 def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, order: list[str],
@@ -131,11 +138,12 @@ def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, o
                     shifts: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Vector length of each unit against circularly shifted spikes.
 
-    Returns the statistics per unit, and the null curves per unit, shuffle and
-    bin. `min_shift` is in seconds; `per_second` is the number of duration units
+    Returns the statistics per unit, and per unit and bin the null curves' ``hz``
+    under every shuffle (see `shifted_bands`). `min_shift` is in seconds; `per_second` is the number of duration units
     in one. The number of frames and their mean length size the draws, unless
     `shifts` gives them.
     """
+    frames = written(frames.select(*dict.fromkeys([unit, heading, duration, *order])), "frames")
     row = frames.agg(F.count("*").alias("n"), F.avg(duration).alias("mean")).first()
     n, mean = int(row["n"]), float(row["mean"]) / per_second
     least = round(min_shift / mean)
@@ -148,13 +156,12 @@ def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, o
     curves = occupancy_normalized_rate(counts, [unit], n_bins, sigma_deg, per_second)
     stats = mean_vector(curves, [unit], n_bins)
     totals = frames.groupBy(unit).agg(F.count("*").cast("bigint").alias("n_spikes"))
-    null_curves = shifted_curves(frames, unit, heading, duration, order, n_bins, sigma_deg, shifts, n, per_second)
-    null = mean_vector(null_curves, [unit, "shuffle"], n_bins).select(
-        unit, "shuffle", F.col("mean_vector_length").alias("null_mvl"))
-    joined = null.join(stats.select(unit, "mean_vector_length"), unit)
-    hits = joined.groupBy(unit).agg(
-        F.sum((F.col("null_mvl") >= F.col("mean_vector_length")).cast("bigint")).alias("__hits"),
-        F.percentile("null_mvl", 1 - alpha).alias("mvl_threshold"))
+    moved = _shifted(frames, unit, heading, duration, order, n_bins, sigma_deg, shifts, n, per_second)
+    null = shifted_lengths(*moved).select(unit, F.sort_array(F.array_compact("null_mvl")).alias("__null"))
+    some = F.col("mean_vector_length").isNotNull() & (F.size("__null") > 0)
+    hits = stats.select(unit, "mean_vector_length").join(null, unit).select(
+        unit, F.when(some, F.size(F.filter("__null", lambda x: x >= F.col("mean_vector_length")))).cast("bigint").alias("__hits"),
+        _percentile(F.col("__null"), 1 - alpha).alias("mvl_threshold"))
     p = (1 + F.col("__hits")) / F.lit(n_shuffles + 1)
     quiet = F.col("peak_rate_hz") < min_peak_rate
     total_s = n * mean
@@ -163,13 +170,13 @@ def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, o
         (F.col("n_spikes") / F.lit(total_s)).alias("mean_rate_hz"), "n_spikes",
         F.coalesce(p, F.lit(1.0)).alias("p_value"), "mvl_threshold", quiet.alias("too_quiet"),
         (F.coalesce(p, F.lit(1.0)) <= alpha).alias("__sig"))
-    return out.withColumn("significant", F.col("__sig") & ~F.col("too_quiet")).drop("__sig"), null_curves
+    return out.withColumn("significant", F.col("__sig") & ~F.col("too_quiet")).drop("__sig"), shifted_bands(*moved)
 
 
 def null_band(null_curves: DataFrame, unit: str, percentiles=(2.5, 50.0, 97.5)) -> DataFrame:
-    """Percentiles of the shuffled curves per unit and bin; a group is one value per shuffle."""
-    wanted = F.array(*[F.lit(p / 100.0) for p in percentiles])
-    return null_curves.groupBy(unit, "angle_bin").agg(F.percentile("hz", wanted).alias("band"))
+    """Percentiles of the shuffled curves per unit and bin, whose `hz` holds one value per shuffle."""
+    known = null_curves.withColumn("__known", F.sort_array(F.array_compact("hz")))
+    return known.select(unit, "angle_bin", F.array(*[_percentile(F.col("__known"), p / 100.0) for p in percentiles]).alias("band"))
 
 
 def apply_mvl_cutoff(stats: DataFrame, min_mvl) -> DataFrame:
@@ -182,6 +189,8 @@ def apply_mvl_cutoff(stats: DataFrame, min_mvl) -> DataFrame:
 
     weak = F.col("weakly_tuned") if "weakly_tuned" in stats.columns else F.lit(False)
     work = stats.withColumn("__candidate", F.col("significant") | weak)
+    if min_mvl == "bimodal":
+        work = cut_lineage(work)  # the cut and the units both come from it
     if min_mvl is None:
         cut = F.lit(None).cast("double")
     elif min_mvl == "bimodal":

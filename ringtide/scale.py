@@ -74,6 +74,13 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` computed once, as a Parquet table in the shared folder, read again."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path below the checkpoint folder, which every executor reaches."""
     import uuid
