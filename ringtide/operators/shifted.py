@@ -71,7 +71,7 @@ def shifted_cells(frames: DataFrame, unit: str, heading: str, order: list[str],
         at = (spikes["__frame"].to_numpy()[grouped, None] - by) % n_frames
         cells = seen[np.searchsorted(source[by_source], at // block), at % block]
         sizes = np.bincount(of, minlength=len(units.dictionary))
-        few = sizes * kind.itemsize <= n_bins * 8
+        few = sizes * kind.itemsize <= (n_bins + 1) * 8
         ends = np.concatenate([[0], np.cumsum(sizes[few] * cells.shape[1] * kind.itemsize)]).astype(np.int32)
         listed = pa.Array.from_buffers(pa.binary(), int(few.sum()), [
             None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(cells[np.repeat(few, sizes)]))])
@@ -90,15 +90,18 @@ def shifted_cells(frames: DataFrame, unit: str, heading: str, order: list[str],
 
 
 def _count(cells: np.ndarray, of: np.ndarray, n: int, n_bins: int) -> np.ndarray:
-    """Counts by group, shift and bin of rows of bins; `n_bins` stands for none."""
+    """Counts by group, shift and bin of rows of bins; the last one, `n_bins`, stands for none."""
     shifts = cells.shape[1]
     flat = (of[:, None] * shifts + np.arange(shifts)) * (n_bins + 1) + cells
-    return np.bincount(flat.ravel(), minlength=n * shifts * (n_bins + 1)).reshape(n, shifts, n_bins + 1)[:, :, :n_bins].copy()
+    return np.bincount(flat.ravel(), minlength=n * shifts * (n_bins + 1)).reshape(n, shifts, n_bins + 1)
 
 
 def per_unit(cells: DataFrame, unit: str, n_shifts: int, n_bins: int, schema: str,
              work: Callable[[np.ndarray], tuple[int, dict]]) -> DataFrame:
-    """``work(counts)`` on the counts of some units by unit, shift and bin; it returns rows per unit and columns."""
+    """``work(counts)`` on the counts of some units by unit, shift and bin; it returns rows per unit and columns.
+
+    A last bin counts spikes without a heading.
+    """
     kind = np.min_scalar_type(n_bins)
     step = max(1, CELLS // (n_shifts * (n_bins + 1)))
 
@@ -116,7 +119,7 @@ def per_unit(cells: DataFrame, unit: str, n_shifts: int, n_bins: int, schema: st
                 units = own.dictionary_encode(null_encoding="encode")
                 of = units.indices.to_numpy()[0 if held is None else 1:]
                 n = len(units.dictionary)
-                counts = np.zeros((n, n_shifts, n_bins), np.int64)
+                counts = np.zeros((n, n_shifts, n_bins + 1), np.int64)
                 dense, raw = part.column(1).to_numpy(zero_copy_only=False).astype(bool), part.column(2).to_pylist()
                 few = np.flatnonzero(~dense)
                 if len(few):
@@ -129,7 +132,7 @@ def per_unit(cells: DataFrame, unit: str, n_shifts: int, n_bins: int, schema: st
                         low, high = w[0], w[-1] + 1  # sorted, as the rows are
                         counts[low:high] += _count(listed[k:k + rows_at_once], w - low, high - low, n_bins)
                 for i in np.flatnonzero(dense):
-                    counts[of[i]] += np.frombuffer(raw[i], np.int64).reshape(n_shifts, n_bins)
+                    counts[of[i]] += np.frombuffer(raw[i], np.int64).reshape(n_shifts, n_bins + 1)
                 if held is not None:
                     counts[0] += sums
                 if n > 1:
@@ -162,25 +165,34 @@ def smoother(occupancy: list[float], kernel: list[tuple[int, float]], per_second
     return rates
 
 
-def shifted_lengths(cells: DataFrame, unit: str, n_shifts: int, rates: Callable, n_bins: int) -> DataFrame:
-    """``null_mvl`` of a unit: the vector length under each shift, null where its curve is silent."""
+def shifted_stats(cells: DataFrame, unit: str, n_shifts: int, rates: Callable, n_bins: int) -> DataFrame:
+    """A unit's own curve, which the first shift gives, and its lengths under the others, in one pass over its counts.
+
+    ``n_spikes``; ``total``, ``x``, ``y`` and ``peak_rate_hz`` of the smoothed
+    curve; ``null_mvl``, the vector length under each further shift, null where
+    the curve is silent.
+    """
     theta = np.radians((np.arange(n_bins) + 0.5) * (360.0 / n_bins))
+    smooth, _ = rates(np.eye(n_bins))  # a curve is the counts times this matrix, and a length needs three of its sums
+    sums = smooth @ np.stack([np.ones(n_bins), np.cos(theta), np.sin(theta)], axis=1)
 
     def work(counts):
-        hz, _ = rates(counts)
-        total = hz.sum(axis=2)
-        size = np.sqrt((hz @ np.cos(theta)) ** 2 + (hz @ np.sin(theta)) ** 2)
-        return 1, {"null_mvl": _lists(np.divide(size, total, out=np.zeros_like(size), where=total > 0), total > 0)}
+        total, x, y = np.moveaxis(counts[:, :, :n_bins] @ sums, 2, 0)
+        size = np.divide(np.sqrt(x * x + y * y), total, out=np.zeros_like(total), where=total > 0)
+        return 1, {"n_spikes": pa.array(counts[:, 0].sum(axis=1)), "total": pa.array(total[:, 0].copy()), "x": pa.array(x[:, 0].copy()),
+                   "y": pa.array(y[:, 0].copy()), "peak_rate_hz": pa.array((counts[:, 0, :n_bins] @ smooth).max(axis=1)),
+                   "null_mvl": _lists(size[:, 1:], total[:, 1:] > 0)}
 
-    return per_unit(cells, unit, n_shifts, n_bins, "null_mvl array<double>", work)
+    return per_unit(cells, unit, n_shifts, n_bins, "n_spikes bigint, total double, x double, y double, peak_rate_hz double, "
+                    "null_mvl array<double>", work)
 
 
-def shifted_bands(cells: DataFrame, unit: str, n_shifts: int, rates: Callable, n_bins: int) -> DataFrame:
-    """``hz`` of a unit and bin: the smoothed rate under each shift, null where no spike reaches the bin."""
+def shifted_bands(cells: DataFrame, unit: str, n_shifts: int, rates: Callable, n_bins: int, skip: int = 0) -> DataFrame:
+    """``hz`` of a unit and bin: the smoothed rate under each shift after the first `skip`, null where no spike reaches the bin."""
 
     def work(counts):
-        hz, known = rates(counts)
-        hz, known = (x.transpose(0, 2, 1).reshape(-1, n_shifts) for x in (hz, known))
+        hz, known = rates(counts[:, skip:, :n_bins])
+        hz, known = (x.transpose(0, 2, 1).reshape(-1, n_shifts - skip) for x in (hz, known))
         return n_bins, {"angle_bin": pa.array(np.tile(np.arange(n_bins), len(counts)), pa.int64()), "hz": _lists(hz, known)}
 
     out = per_unit(cells, unit, n_shifts, n_bins, "angle_bin bigint, hz array<double>", work)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from ..functions.angles import bin_centre, heading_bin, length, vector_angle
 from ..scale import cut_lineage, written
 from .nulls import draw_shifts
-from .shifted import shifted_bands, shifted_cells, shifted_lengths, smoother
+from .shifted import shifted_bands, shifted_cells, shifted_stats, smoother
 
 
 def wrapped_kernel(sigma_bins: float, n_bins: int, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -103,7 +103,7 @@ def mean_vector(curves: DataFrame, keys: list[str], n_bins: int, rate: str = "hz
 
 def _shifted(frames: DataFrame, unit: str, heading: str, duration: str, order: list[str], n_bins: int, sigma_deg: float,
              shifts: list[int], n_frames: int, per_second: float) -> tuple:
-    """What `shifted_lengths` and `shifted_bands` take."""
+    """What `shifted_stats` and `shifted_bands` take."""
     spent = frames.groupBy(heading_bin(F.col(heading), n_bins).alias("angle_bin")).agg(F.sum(duration).alias("d")).collect()
     occupancy = {r["angle_bin"]: float(r["d"] or 0) for r in spent}  # a number per bin
     rates = smoother([occupancy.get(i, 0.0) for i in range(n_bins)],
@@ -152,25 +152,23 @@ def hd_significance(frames: DataFrame, unit: str, heading: str, duration: str, o
     if shifts is None:
         shifts = draw_shifts(n_shuffles, least, n - least, seed)
     n_shuffles = len(shifts)
-    counts = tuning_counts(frames, unit, heading, duration, n_bins)
-    curves = occupancy_normalized_rate(counts, [unit], n_bins, sigma_deg, per_second)
-    stats = mean_vector(curves, [unit], n_bins)
-    totals = frames.groupBy(unit).agg(F.count("*").cast("bigint").alias("n_spikes"))
-    moved = _shifted(frames, unit, heading, duration, order, n_bins, sigma_deg, shifts, n, per_second)
-    null = shifted_lengths(*moved).select(unit, F.sort_array(F.array_compact("null_mvl")).alias("__null"))
+    # the shift by nothing is the unit's own curve, so that one pass gives it and its nulls
+    moved = _shifted(frames, unit, heading, duration, order, n_bins, sigma_deg, [0, *shifts], n, per_second)
+    stats = shifted_stats(*moved).where(F.col(unit).isNotNull()).select(
+        unit, "n_spikes", "peak_rate_hz", F.when(F.col("total") > 0, length("x", "y") / F.col("total")).alias("mean_vector_length"),
+        F.when(F.col("total") > 0, vector_angle("x", "y")).alias("preferred_direction_deg"),
+        F.sort_array(F.array_compact("null_mvl")).alias("__null"))
     some = F.col("mean_vector_length").isNotNull() & (F.size("__null") > 0)
-    hits = stats.select(unit, "mean_vector_length").join(null, unit).select(
-        unit, F.when(some, F.size(F.filter("__null", lambda x: x >= F.col("mean_vector_length")))).cast("bigint").alias("__hits"),
-        _percentile(F.col("__null"), 1 - alpha).alias("mvl_threshold"))
-    p = (1 + F.col("__hits")) / F.lit(n_shuffles + 1)
+    hits = F.when(some, F.size(F.filter("__null", lambda x: x >= F.col("mean_vector_length")))).cast("bigint")
+    p = (1 + hits) / F.lit(n_shuffles + 1)
     quiet = F.col("peak_rate_hz") < min_peak_rate
     total_s = n * mean
-    out = stats.join(totals, unit).join(hits, unit, "left").select(
+    out = stats.select(
         unit, "mean_vector_length", "preferred_direction_deg", "peak_rate_hz",
         (F.col("n_spikes") / F.lit(total_s)).alias("mean_rate_hz"), "n_spikes",
-        F.coalesce(p, F.lit(1.0)).alias("p_value"), "mvl_threshold", quiet.alias("too_quiet"),
-        (F.coalesce(p, F.lit(1.0)) <= alpha).alias("__sig"))
-    return out.withColumn("significant", F.col("__sig") & ~F.col("too_quiet")).drop("__sig"), shifted_bands(*moved)
+        F.coalesce(p, F.lit(1.0)).alias("p_value"), _percentile(F.col("__null"), 1 - alpha).alias("mvl_threshold"),
+        quiet.alias("too_quiet"), (F.coalesce(p, F.lit(1.0)) <= alpha).alias("__sig"))
+    return out.withColumn("significant", F.col("__sig") & ~F.col("too_quiet")).drop("__sig"), shifted_bands(*moved, skip=1)
 
 
 def null_band(null_curves: DataFrame, unit: str, percentiles=(2.5, 50.0, 97.5)) -> DataFrame:
