@@ -58,28 +58,38 @@ def frame_spike_counts(spikes: DataFrame, frames: DataFrame, by: list[str], unit
 def tuning_counts(frames: DataFrame, unit: str, heading: str, duration: str, n_bins: int) -> DataFrame:
     """Spikes per unit and heading bin beside the time spent there; unseen cells are zero.
 
-    Each frame row is one spike of its unit. Both sums are partial aggregates;
-    what is shuffled is one row per (unit, bin).
+    Each frame row is one spike of its unit. What is shuffled and written is one
+    row per (unit, bin), from which both sums are taken, so that the frames are
+    computed once. The rows of a unit stay in one partition.
     """
     work = frames.withColumn("angle_bin", heading_bin(F.col(heading), n_bins))
-    cells = work.groupBy(unit, "angle_bin").agg(
-        F.count("*").cast("bigint").alias("n_spikes"), F.sum(duration).alias("__d"))
-    occupancy = cells.groupBy("angle_bin").agg(F.sum("__d").alias("occupancy"))
-    ring = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint")))
-    grid = cells.select(unit).distinct().withColumn("angle_bin", ring)
-    out = grid.join(cells.drop("__d"), [unit, "angle_bin"], "left").join(occupancy, "angle_bin", "left")
-    return out.select(unit, "angle_bin", F.coalesce("n_spikes", F.lit(0)).cast("bigint").alias("n_spikes"),
-                      F.coalesce("occupancy", F.lit(0)).alias("occupancy"))
+    cells = written(work.groupBy(unit, "angle_bin").agg(
+        F.count("*").cast("bigint").alias("n_spikes"), F.sum(duration).alias("__d")), "cells")
+    occupancy = cells.groupBy("angle_bin").agg(F.sum("__d").alias("occupancy"))  # a row per bin
+    known = F.col(unit).isNotNull() & F.col("angle_bin").isNotNull()
+    held = cells.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.when(known, F.struct("angle_bin", "n_spikes")))).alias("__held"))
+    ring = F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint"))
+    grid = held.select(unit, F.inline(F.transform(ring, lambda i: F.struct(
+        i.alias("angle_bin"), F.coalesce(F.try_element_at("__held", i), F.lit(0)).cast("bigint").alias("n_spikes")))))
+    out = grid.join(F.broadcast(occupancy), "angle_bin", "left")
+    return out.select(unit, "angle_bin", "n_spikes", F.coalesce("occupancy", F.lit(0)).alias("occupancy"))
 
 
 def smooth_ring(cells: DataFrame, keys: list[str], index: str, value: str, n_bins: int,
                 sigma_deg: float, out: str, truncate: float = 4.0) -> DataFrame:
-    """Circular Gaussian smoothing of one value per (key, bin)."""
+    """Circular Gaussian smoothing of one value per (key, bin), over an array per key; bins that no value reaches have no row."""
     kernel = wrapped_kernel(sigma_deg / (360.0 / n_bins), n_bins, truncate)
-    weights = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in kernel])
-    spread = cells.select(*keys, F.col(index), F.col(value).alias("__v"), F.explode(weights).alias("__k"))
-    moved = F.pmod(F.col(index) + F.col("__k.i"), F.lit(n_bins)).cast("bigint")
-    return spread.groupBy(*keys, moved.alias(index)).agg(F.sum(F.col("__v") * F.col("__k.w")).alias(out))
+    known = F.when(F.col(index).isNotNull() & F.col(value).isNotNull(), F.struct(F.col(index).cast("bigint").alias("i"), F.col(value).cast("double").alias("v")))
+    held = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(known)).alias("__held"))
+    ring = F.sequence(F.lit(0).cast("bigint"), F.lit(n_bins - 1).cast("bigint"))
+    dense = held.withColumn("__v", F.transform(ring, lambda i: F.try_element_at("__held", i)))
+
+    def spread(i: Column) -> Column:
+        taps = [F.get("__v", F.pmod(i - off, F.lit(n_bins)).cast("int")) * F.lit(w) for off, w in kernel]
+        total = sum((F.coalesce(t, F.lit(0.0)) for t in taps), F.lit(0.0))
+        return F.struct(i.alias(index), F.when(F.coalesce(*taps).isNotNull(), total).alias(out))
+
+    return dense.select(*keys, F.inline(F.transform(ring, spread))).where(F.col(out).isNotNull())
 
 
 def occupancy_normalized_rate(counts: DataFrame, keys: list[str], n_bins: int, sigma_deg: float,

@@ -8,6 +8,7 @@ from ..functions.angles import r6
 from ..operators import display as di
 from ..operators import runs, states
 from ..operators.scan import number_rows
+from ..scale import written
 from . import bindings as b
 from .registry import query
 from .tuning import CURVES, curves
@@ -221,4 +222,4 @@ def _(spark, sf):
 def _(spark, sf):
     c = curves(spark, sf)
     p = c.groupBy("unit_id").agg(F.max_by("angle_bin", F.round("hz", 9) * 1e6 - F.col("angle_bin") * 1e-3).alias("peak_bin"))
-    return number_rows(p, [], ["peak_bin", "unit_id"], "row")
+    return number_rows(written(p, "peaks"), [], ["peak_bin", "unit_id"], "row")  # numbering reads its rows several times
