@@ -25,9 +25,11 @@ from .common import arrow_task, checkpointed, columns_of, holds
 #: Runs of letters (and the few letter-like numbers that the class lets through).
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of counts that a task holds before it passes them on.
-HELD = 300_000
+HELD = 100_000
 #: Scores of words that a worker keeps.
-KEPT = 300_000
+KEPT = 100_000
+#: Rows of a batch that a worker turns into Python objects, or passes on, at a time.
+SLICE = 256
 #: Characters of a text that are split into words at a time.
 CHUNK = 1 << 20
 
@@ -59,6 +61,12 @@ def grams_of(word: str, order: int) -> list[str]:
     return [marked[i:i + order] for i in range(len(marked) - order + 1)]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE rows, which bound what a worker holds of it beside Arrow's own buffers."""
+    for start in range(0, batch.num_rows, SLICE):
+        yield batch.slice(start, SLICE)
+
+
 def _counted(df: DataFrame, schema: str, add) -> DataFrame:
     """Sums of `add(counter, columns of a batch)` by task, passed on whenever HELD keys are held."""
 
@@ -74,10 +82,11 @@ def _counted(df: DataFrame, schema: str, add) -> DataFrame:
             return batch
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                add(counter, row)
-                if len(counter) > HELD:
-                    yield out()
+            for part in slices(batch):
+                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    add(counter, row)
+                    if len(counter) > HELD:
+                        yield out()
         if counter:
             yield out()
 
@@ -109,11 +118,22 @@ class Places(dict):
         return at
 
 
+class Scores:
+    """Arrays by key as the rows of one matrix, which takes a fraction of the room of an array each."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.rows = {key: i for i, key in enumerate(arrays)}
+        self.matrix = np.stack(list(arrays.values())) if arrays else np.zeros((0, 0))
+
+    def get(self, key: str) -> np.ndarray | None:
+        return None if (at := self.rows.get(key)) is None else self.matrix[at]
+
+
 class Model:
     """Log frequencies by word and gram, an array over the languages each."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], orders: tuple[int, ...]):
-        self.langs, self.words, self.grams, self.orders = langs, words, grams, orders
+        self.langs, self.words, self.grams, self.orders = langs, Scores(words), Scores(grams), orders
         self.place: Places | None = None
 
     def __getstate__(self) -> dict:
@@ -210,7 +230,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> dict:
         holds("language", lambda: None)
-        found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
+        found = [shared.value.predict(t.as_py()) for t in batch.column(text_col)]  # one text at a time
         return {**{c: batch.column(c) for c in rest}, "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
@@ -230,7 +250,8 @@ def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text",
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds("language", lambda: None)
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            for part in slices(batch):
+                found = [shared.value.predict(t.as_py()) for t in part.column(text_col)]
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
