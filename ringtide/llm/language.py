@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +24,11 @@ from .common import arrow_task, checkpointed, columns_of, holds
 
 #: Runs of letters (and the few letter-like numbers that the class lets through).
 WORD = re.compile(r"[^\W\d_]+")
-#: Rows of counts that a task holds before it passes them on.
+#: Everything in ASCII but letters ends a token.
+ENDS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+#: Counts that a task holds before it passes them on.
 HELD = 100_000
-#: Scores of words that a worker keeps.
+#: Tokens beside the words of the model whose scores a worker keeps.
 KEPT = 100_000
 #: Rows of a batch that a worker turns into Python objects, or passes on, at a time.
 SLICE = 256
@@ -43,16 +45,27 @@ class Size:
     orders: tuple[int, ...] = (4, 3, 2, 1)
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """Lower-case words of a whole text. A text beyond CHUNK characters comes in parts cut between words."""
+def parts_of(text: str) -> Iterator[str]:
+    """A whole text; one beyond CHUNK characters in parts cut between words."""
     start = 0
     while len(text) - start > CHUNK:
         stop = start + CHUNK
         while stop < len(text) and text[stop].isalpha():
             stop += 1
-        yield WORD.findall(text[start:stop].lower())
+        yield text[start:stop]
         start = stop
-    yield WORD.findall(text[start:].lower())
+    yield text[start:]
+
+
+def tokens_of(part: str) -> list[bytes]:
+    """The text in lower case, cut at all of ASCII but letters. A token is a word, or holds some beside other characters."""
+    return part.lower().encode("utf-8", "surrogatepass").translate(ENDS).split()
+
+
+def words_of(token: bytes) -> list[str]:
+    """The words of a token."""
+    lower = token.decode("utf-8", "surrogatepass")
+    return [lower] if lower.isalpha() else WORD.findall(lower)
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -67,30 +80,70 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, SLICE)
 
 
-def _counted(df: DataFrame, schema: str, add) -> DataFrame:
-    """Sums of `add(counter, columns of a batch)` by task, passed on whenever HELD keys are held."""
+def _passed_on(counts: dict[str, Counter], name: str) -> pa.RecordBatch:
+    """The counts by language as rows `lang`, `name` and `n`; they are forgotten."""
+    columns = {
+        "lang": pa.array([lang for lang, found in counts.items() for _ in found], pa.string()),
+        name: pa.array([key for found in counts.values() for key in found], pa.string()),
+        "n": pa.array([n for found in counts.values() for n in found.values()], pa.int64())}
+    counts.clear()
+    return pa.RecordBatch.from_pydict(columns)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            keys = list(zip(*counter, strict=True))
-            arrays = [pa.array(k) for k in keys] + [pa.array(list(counter.values()), pa.int64())]
-            names = [x.split(" ")[0] for x in schema.split(", ")]
-            batch = pa.RecordBatch.from_arrays(arrays, names=names)
-            counter.clear()
-            return batch
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word and n for `rows` (language, text): sums by task, passed on whenever HELD tokens are held."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, held = defaultdict(Counter), 0
+
+        def words() -> dict[str, Counter]:
+            out = defaultdict(Counter)
+            for lang, found in tokens.items():
+                into = out[lang]
+                for token, n in found.items():
+                    for word in words_of(token):
+                        into[word] += n
+            tokens.clear()
+            return out
 
         for batch in batches:
             for part in slices(batch):
-                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    add(counter, row)
-                    if len(counter) > HELD:
-                        yield out()
-        if counter:
-            yield out()
+                for lang, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    for piece in parts_of(text):
+                        into = tokens[lang]
+                        before = len(into)
+                        into.update(tokens_of(piece))
+                        held += len(into) - before
+                        if held > HELD:
+                            yield _passed_on(words(), "word")
+                            held = 0
+        if tokens:
+            yield _passed_on(words(), "word")
+
+    return rows.mapInArrow(task, "lang string, word string, n long")
+
 
-    return df.mapInArrow(task, schema)
+def _gram_counts(words: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    """lang, gram and n for the words of `words` (lang, word, n): sums by task, passed on whenever HELD grams are held."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, held = defaultdict(Counter), 0
+        for batch in batches:
+            for part in slices(batch):
+                for lang, word, n in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    into = grams[lang]
+                    before = len(into)
+                    for order in orders:
+                        for gram in grams_of(word, order):
+                            into[gram] += n
+                    held += len(into) - before
+                    if held > HELD:
+                        yield _passed_on(grams, "gram")
+                        held = 0
+        if grams:
+            yield _passed_on(grams, "gram")
+
+    return words.mapInArrow(task, "lang string, gram string, n long")
 
 
 def _frequent(counts: DataFrame, by: list[str], limit: str) -> DataFrame:
@@ -105,71 +158,115 @@ def _totals(counts: DataFrame, by: list[str]) -> list:
     return counts.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
 
 
-class Places(dict):
-    """A row number for every word, given when the word is first seen."""
-
-    def __init__(self, add):
-        super().__init__()
-        self.add = add
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.add(at, word)
-        return at
+class Scores:
+    """Scores in every language by key, as the rows of one matrix. The keys stay packed until one is looked for."""
 
+    def __init__(self, keys: pa.Array, matrix: np.ndarray):
+        self.keys, self.matrix, self.known = keys, matrix, None
 
-class Scores:
-    """Arrays by key as the rows of one matrix, which takes a fraction of the room of an array each."""
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Scores:
+        return cls(pa.array(list(arrays), pa.string()), np.stack(list(arrays.values())) if arrays else np.zeros((0, 0)))
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.rows = {key: i for i, key in enumerate(arrays)}
-        self.matrix = np.stack(list(arrays.values())) if arrays else np.zeros((0, 0))
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
-    def get(self, key: str) -> np.ndarray | None:
-        return None if (at := self.rows.get(key)) is None else self.matrix[at]
+    @property
+    def rows(self) -> dict[str, int]:
+        if self.known is None:
+            self.known = dict(zip(self.keys.to_pylist(), range(len(self.keys)), strict=True))
+        return self.known
 
 
 class Model:
     """Log frequencies by word and gram, an array over the languages each."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], orders: tuple[int, ...]):
-        self.langs, self.words, self.grams, self.orders = langs, Scores(words), Scores(grams), orders
-        self.place: Places | None = None
+    def __init__(self, langs: list[str], words: Scores | dict[str, np.ndarray], grams: Scores | dict[str, np.ndarray], orders: tuple[int, ...]):
+        self.langs, self.orders = langs, orders
+        self.words, self.grams = (x if isinstance(x, Scores) else Scores.of(x) for x in (words, grams))
+        self.place: dict[bytes, int] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"place": None, "rows": None}
+        return self.__dict__ | {"place": None, "table": None}
+
+    def start(self) -> None:
+        """Begin the table of scores by token with the words of the model, and a row of zeros for a token without words."""
+        self.place = dict(zip(self.words.keys.cast(pa.binary()).to_pylist(), range(len(self.words.keys)), strict=True))
+        self.own = self.filled = len(self.place)
+        self.table = np.zeros((self.own + 4096, len(self.langs)))
+        self.table[:self.own] = self.words.matrix if self.own else 0
+        self.put([b""], np.zeros((1, len(self.langs))))
+
+    def forget(self) -> None:
+        """Leave only what the table began with; entries are in the order in which they came."""
+        if len(self.table) > 4 * (self.own + KEPT):  # a long text has left much room behind it
+            return self.start()
+        while len(self.place) > self.own + 1:
+            self.place.popitem()
+        self.filled = self.own + 1
+
+    def put(self, tokens: list[bytes], scores: np.ndarray) -> None:
+        """Give every token a row with its scores."""
+        end = self.filled + len(tokens)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(tokens)), len(self.langs)))])
+        self.table[self.filled:end] = scores
+        self.place.update(zip(tokens, range(self.filled, end), strict=True))
+        self.filled = end
+
+    def learn(self, fresh: set[bytes]) -> None:
+        """Rows for tokens that are not in the table: one for a word that the model does not hold, or the sum of several words."""
+        words = {token: words_of(token) for token in fresh}
+        named = {w.encode("utf-8", "surrogatepass"): w for found in words.values() for w in found}
+        unknown = [raw for raw in named if raw not in self.place]
+        self.put(unknown, self.gram_scores([named[raw] for raw in unknown]))
+        for token in fresh.difference(self.place):
+            places = [self.place[w.encode("utf-8", "surrogatepass")] for w in words[token]]
+            if len(places) > 1:
+                self.put([token], self.table[places].sum(axis=0))
+            else:
+                self.place[token] = places[0] if places else self.place[b""]
+
+    def gram_scores(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of words from the longest grams of theirs that the model holds; a row of zeros if it holds none."""
+        known, places, ends, orders = self.grams.rows, [], [0], []
+        for word in words:
+            for order in self.orders:
+                if found := [at for x in grams_of(word, order) if (at := known.get(x)) is not None]:
+                    places += found
+                    break
+            ends.append(len(places))
+            orders.append(order)
+        starts = np.array(ends[:-1], np.int64)
+        some = np.diff(ends) > 0
+        scores = np.zeros((len(words), len(self.langs)))
+        if places:
+            scores[some] = np.add.reduceat(self.grams.matrix[places], starts[some], axis=0) / np.array(orders)[some, None]
+        return scores
 
     def word_score(self, word: str) -> np.ndarray:
         """Log likelihood of a word in every language, up to a constant of the word."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        for order in self.orders:
-            found = [g for x in grams_of(word, order) if (g := self.grams.get(x)) is not None]
-            if found:
-                return sum(found) / order
-        return np.zeros(len(self.langs))
-
-    def add(self, at: int, word: str) -> None:
-        """Put the scores of a word into its row."""
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.word_score(word)
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Sum of the words' scores; those of words already seen are remembered."""
-        if self.place is None or len(self.place) > KEPT:
-            self.place, self.rows = Places(self.add), np.zeros((4096, len(self.langs)))
-        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        return self.rows[places].sum(axis=0)
+        return self.gram_scores([word])[0] if (at := self.words.rows.get(word)) is None else self.words.matrix[at]
+
+    def scores(self, part: str) -> np.ndarray:
+        """Sum of the scores of the words in a part of a text; those of tokens already seen are remembered."""
+        if self.place is None:
+            self.start()
+        elif len(self.place) > self.own + KEPT:
+            self.forget()
+        tokens = tokens_of(part)
+        if fresh := set(tokens).difference(self.place):
+            self.learn(fresh)
+        places = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+        return self.table[places].sum(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior under equal priors; `und` and 0 without a letter."""
         if not text or not self.langs or not any(c.isalpha() for c in text):
             return "und", 0.0
         total = np.zeros(len(self.langs))
-        for words in words_of(text):
-            if words:
-                total += self.scores(words)
+        for part in parts_of(text):
+            total += self.scores(part)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
@@ -181,41 +278,35 @@ def fit(docs: DataFrame, size: Size = Size(), text_col: str = "text", lang_col:
     """
     rows = columns_of(docs, lang_col, text_col).where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
 
-    def add_words(counter: Counter, row: tuple) -> None:
-        lang, text = row
-        for words in words_of(text):
-            for word, n in Counter(words).items():
-                counter[lang, word] += n
-
-    def add_grams(counter: Counter, row: tuple) -> None:
-        lang, word, n = row
-        for order in orders:
-            for gram in grams_of(word, order):
-                counter[lang, order, gram] += n
-
     orders = size.orders
-    words = checkpointed(_counted(rows, "lang string, word string, n long", add_words).groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    grams = checkpointed(_counted(words, "lang string, o long, gram string, n long", add_grams).groupBy("lang", "o", "gram").agg(F.sum("n").alias("n")))
+    words = checkpointed(_word_counts(rows).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    grams = checkpointed(_gram_counts(words, orders).groupBy("lang", F.length("gram").alias("o"), "gram").agg(F.sum("n").alias("n")))
     word_totals = {r["lang"]: r for r in _totals(words, ["lang"])}
     gram_totals = {(r["lang"], r["o"]): r for r in _totals(grams, ["lang", "o"])}
     langs = sorted(word_totals)
     if not langs:
         return Model([], {}, {}, orders)
     at = {lang: i for i, lang in enumerate(langs)}
-    word_rows = _frequent(words, ["lang"], str(max(1, size.words // len(langs)))).collect()
-    gram_rows = _frequent(grams, ["lang", "o"], str(max(1, size.grams // len(langs)))).collect()
-
-    def table(found: list, floor) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
-        for key, lang, value in found:
-            out.setdefault(key, floor(key).copy())[at[lang]] = value
-        return out
-
     # half a count for what a language has not shown
-    word_floor = np.array([math.log(0.5 / (word_totals[x]["n"] + word_totals[x]["kinds"])) for x in langs])
-    gram_floor = {o: np.array([math.log(0.5 / (r["n"] + r["kinds"])) if (r := gram_totals.get((x, o))) else -20.0 for x in langs]) for o in orders}
-    known = table(((r["word"], r["lang"], math.log(r["n"] / (word_totals[r["lang"]]["n"] + word_totals[r["lang"]]["kinds"]))) for r in word_rows), lambda _: word_floor)
-    parts = table(((r["gram"], r["lang"], math.log(r["n"] / (gram_totals[r["lang"], r["o"]]["n"] + gram_totals[r["lang"], r["o"]]["kinds"]))) for r in gram_rows), lambda g: gram_floor[len(g)])
+    word_all = {at[x]: r["n"] + r["kinds"] for x, r in word_totals.items()}
+    gram_all = {(at[x], o): r["n"] + r["kinds"] for (x, o), r in gram_totals.items()}
+    word_floor = np.array([math.log(0.5 / word_all[i]) for i in range(len(langs))])
+    gram_floor = {o: np.array([math.log(0.5 / n) if (n := gram_all.get((i, o))) else -20.0 for i in range(len(langs))]) for o in orders}
+
+    def scores(found: pa.Table, key: str, floor, total) -> Scores:
+        """The most frequent keys, which come as Arrow columns: a Python object for each would fill the driver."""
+        keys, held = (found.column(c).combine_chunks().dictionary_encode() for c in (key, "lang"))
+        lang = np.array([at[x] for x in held.dictionary.to_pylist()], np.int64)[held.indices.to_numpy()]
+        order = found.column("o").to_numpy() if "o" in found.column_names else np.zeros(len(lang), np.int64)
+        place, matrix = keys.indices.to_numpy(), np.empty((len(keys.dictionary), len(langs)))
+        for o in np.unique(order):
+            matrix[place[order == o]] = floor(int(o))
+        share = found.column("n").to_numpy() / np.array([total(int(i), int(o)) for i, o in zip(lang, order, strict=True)], np.float64)
+        matrix[place, lang] = [math.log(x) for x in share]
+        return Scores(keys.dictionary, matrix)
+
+    known = scores(_frequent(words, ["lang"], str(max(1, size.words // len(langs)))).toArrow(), "word", lambda _: word_floor, lambda i, _: word_all[i])
+    parts = scores(_frequent(grams, ["lang", "o"], str(max(1, size.grams // len(langs)))).toArrow(), "gram", lambda o: gram_floor[o], lambda i, o: gram_all[i, o])
     return Model(langs, known, parts, orders)
 
 
