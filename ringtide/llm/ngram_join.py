@@ -135,10 +135,15 @@ def partial_products(columns: DataFrame, apart: str = "true") -> DataFrame:
     return overlap.where(f"overlap + {beyond} >= ({PERCENT} * (m + n) + {99 + PERCENT}) div {100 + PERCENT}").select("a", "b", "overlap")
 
 
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of `nodes`; the others, most of them after the first links, need not be shuffled."""
+    return sets.join(few(checkpointed(nodes.distinct())), "node", "left_semi")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (`a`, `b`) whose full sets overlap enough."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    y = only(sets, pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = x.join(few(pairs.select("a", "b")), "a").join(y, "b")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("s"))
     return checkpointed(counted.where(f"{100 + PERCENT} * o >= {PERCENT} * s").select("a", "b").distinct())
@@ -227,7 +232,7 @@ def block_links(members: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFra
         F.transform(others, lambda o: met(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"), (F.col("block") <= o).alias("left"), (F.col("block") >= o).alias("right"))),
         F.transform(largest, lambda m: met(F.col("block").alias("i"), (-1 - m).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))))
     spread = dealt.select("col", "class", "node", "comp", F.explode(F.when(F.col("main"), as_main).otherwise(as_other)).alias("m")).select("*", "m.*").drop("m")
-    full = spread.join(sets, "node")
+    full = spread.join(only(sets, dealt.select("node")), "node")
     return full.groupBy("col", "class", "i", "j").applyInArrow(block_product(), "a long, b long")
 
 
@@ -283,9 +288,9 @@ def node_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
             comp = merged(comp, ends)
 
     # then all pairs of different components that share a column of bounded size
-    columns = labelled(shared.where(F.col("size") <= MEDIUM), comp, "node")
-    several = columns.groupBy("col").agg(F.min("node_comp").alias("lo"), F.max("node_comp").alias("hi")).where("lo < hi").select("col")
-    cross = partial_products(checkpointed(columns.join(several, "col", "left_semi")), "x.node_comp <> y.node_comp").select("a", "b")
+    columns = labelled(shared.where(F.col("size") <= MEDIUM), few(comp), "node")
+    columns = columns.select("*", F.min("node_comp").over(of_column).alias("lo"), F.max("node_comp").over(of_column).alias("hi")).where("lo < hi").drop("lo", "hi")
+    cross = partial_products(checkpointed(columns), "x.node_comp <> y.node_comp").select("a", "b")
     add(confirmed(checkpointed(cross.join(first, ["a", "b"], "left_anti"))))
     # and in blocks those of the others. Two sets that can be linked are in one class of sizes or in two neighbouring ones:
     # a region is a column and two classes, and a pair belongs to the lower class of its documents

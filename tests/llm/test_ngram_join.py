@@ -96,3 +96,29 @@ def test_prefixes_meet():
                 continue
             o = ngram_join.need(m, n)  # the least overlap leaves the prefixes no room to miss each other
             assert (n - ngram_join.prefix_length(n)) < o and (m - ngram_join.prefix_length(m)) < o and 180 * o >= 80 * (m + n) > 180 * (o - 1)
+
+
+def shuffled_rows(plan):
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_only_the_sets_of_pairs_are_shuffled(spark, monkeypatch):
+    """Sets are the largest rows of the join; those that no pair names stay where they are."""
+    seen, real = [], ngram_join.checkpointed
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df: seen.append(df) or real(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        sets = spark.range(200).selectExpr("id AS node", "sequence(id div 2, id div 2 + 50) AS shingles").repartition(3)
+        pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 50)], "a long, b long")
+        found = sorted(map(tuple, ngram_join.linked(pairs, sets).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == [(0, 1), (2, 3)]
+    assert shuffled_rows(seen[-1]._jdf.queryExecution().executedPlan()) < 2 * 200  # 200 of them by the repartition
