@@ -193,7 +193,7 @@ def encode_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         return {id_col: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
 
     texts = columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit("")))
-    return arrow_task(texts, f"`{id_col}` {kind}, ids array<int>, decoded string", work)
+    return arrow_task(texts, f"`{id_col}` {kind}, ids array<int>, decoded string", work, sliced=True)
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if not order_col:
-        return arrow_task(columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit(""))), schema, work)
+        return arrow_task(columns_of(df, id_col, text_col).withColumn(text_col, F.coalesce(text_col, F.lit(""))), schema, work, sliced=True)
     some = df.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{order_col}`").cast("long"))
     # written, because a sort by ranges reads its input twice
-    return written(arrow_task(some, f"{schema}, __order long", work), "digests").orderBy("__order").drop("__order")
+    return written(arrow_task(some, f"{schema}, __order long", work, sliced=True), "digests").orderBy("__order").drop("__order")

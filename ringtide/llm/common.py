@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,17 +20,46 @@ from ..scale import cut_lineage
 SPACES = r"\x20\x09-\x0D"
 
 
+#: Rows of a batch that a worker turns into Python objects, or passes on, at a time.
+SLICE = 256
+
 #: What operators keep in a Python worker between tasks, by operator: functions that forget it.
 _HELD: dict[str, Callable[[], None]] = {}
 
 
 def holds(operator: str, forget: Callable[[], None]) -> None:
     """Announce what `operator` keeps in a worker; what others kept there, which Spark uses again, is forgotten."""
-    for other in [name for name in _HELD if name != operator]:
-        _HELD.pop(other)()
+    if others := [name for name in _HELD if name != operator]:
+        for other in others:
+            _HELD.pop(other)()
+        give_back()
     _HELD[operator] = forget
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Objects in cycles, Arrow's pool and the allocator would keep it in a worker that waits."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`task` for mapInArrow; what it has freed goes back to the system when it ends, not with the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE rows, which bound what a worker holds of it beside Arrow's own buffers."""
+    for start in range(0, batch.num_rows, SLICE):
+        yield batch.slice(start, SLICE)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once, kept in the folder of ``spark.checkpoint.dir``, which survives lost executors."""
     return cut_lineage(df)
@@ -50,17 +81,17 @@ def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_task(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """`work` on every Arrow batch of `df`; it returns columns by name, in the order of `schema`."""
+def arrow_task(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict], sliced: bool = False) -> DataFrame:
+    """`work` on every Arrow batch of `df`, or on its `slices`; it returns columns by name, in the order of `schema`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
+            for part in slices(batch) if sliced else [batch] if batch.num_rows else []:
+                out = work(part)
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(out))
 
-    return df.mapInArrow(task, schema)
+    return df.mapInArrow(frugal(task), schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,6 +119,7 @@ def running(df: DataFrame, key: str, value: str, purpose: str, **options: str) -
     place, amount = df.columns.index(key), df.columns.index(value)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("running", lambda: None)
         part, sums = TaskContext.get().partitionId(), {}
         for batch in batches:
             before = []
@@ -99,7 +131,7 @@ def running(df: DataFrame, key: str, value: str, purpose: str, **options: str) -
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__part", "__here"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__here", T.LongType())])
-    local = written(df.mapInArrow(task, schema), purpose, **options)
+    local = written(df.mapInArrow(frugal(task), schema), purpose, **options)
     totals = local.groupBy(F.col(key).alias("__k"), F.col("__part").alias("__p")).agg(F.sum(value).alias("__v"))
     base = checkpointed(sums_before(totals, ["__k"], ["__p"], "__v", "__base").select("__k", "__p", "__base"))
     joined = local.join(base, local[key].eqNullSafe(base["__k"]) & (local["__part"] == base["__p"]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_task, checkpointed, columns_of, holds
+from .common import SLICE, arrow_task, checkpointed, columns_of, frugal, holds, slices  # noqa: F401
 
 #: Runs of letters (and the few letter-like numbers that the class lets through).
 WORD = re.compile(r"[^\W\d_]+")
@@ -30,8 +30,6 @@ ENDS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 HELD = 100_000
 #: Tokens beside the words of the model whose scores a worker keeps.
 KEPT = 100_000
-#: Rows of a batch that a worker turns into Python objects, or passes on, at a time.
-SLICE = 256
 #: Characters of a text that are split into words at a time.
 CHUNK = 1 << 20
 
@@ -74,12 +72,6 @@ def grams_of(word: str, order: int) -> list[str]:
     return [marked[i:i + order] for i in range(len(marked) - order + 1)]
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of SLICE rows, which bound what a worker holds of it beside Arrow's own buffers."""
-    for start in range(0, batch.num_rows, SLICE):
-        yield batch.slice(start, SLICE)
-
-
 def _passed_on(counts: dict[str, Counter], name: str) -> pa.RecordBatch:
     """The counts by language as rows `lang`, `name` and `n`; they are forgotten."""
     columns = {
@@ -94,6 +86,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     """lang, word and n for `rows` (language, text): sums by task, passed on whenever HELD tokens are held."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("language", lambda: None)
         tokens, held = defaultdict(Counter), 0
 
         def words() -> dict[str, Counter]:
@@ -120,13 +113,14 @@ def _word_counts(rows: DataFrame) -> DataFrame:
         if tokens:
             yield _passed_on(words(), "word")
 
-    return rows.mapInArrow(task, "lang string, word string, n long")
+    return rows.mapInArrow(frugal(task), "lang string, word string, n long")
 
 
 def _gram_counts(words: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     """lang, gram and n for the words of `words` (lang, word, n): sums by task, passed on whenever HELD grams are held."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("language", lambda: None)
         grams, held = defaultdict(Counter), 0
         for batch in batches:
             for part in slices(batch):
@@ -143,7 +137,7 @@ def _gram_counts(words: DataFrame, orders: tuple[int, ...]) -> DataFrame:
         if grams:
             yield _passed_on(grams, "gram")
 
-    return words.mapInArrow(task, "lang string, gram string, n long")
+    return words.mapInArrow(frugal(task), "lang string, gram string, n long")
 
 
 def _frequent(counts: DataFrame, by: list[str], limit: str) -> DataFrame:
@@ -325,7 +319,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return {**{c: batch.column(c) for c in rest}, "lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return arrow_task(docs.select(*[F.col(f"`{c}`") for c in rest]), f"{kinds}, lang_pred string, score double", work)
+    return arrow_task(docs.select(*[F.col(f"`{c}`") for c in rest]), f"{kinds}, lang_pred string, score double", work, sliced=True)
 
 
 def held_out() -> Column:
@@ -345,4 +339,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, text_col: str = "text",
                 found = [shared.value.predict(t.as_py()) for t in part.column(text_col)]
                 yield part.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(frugal(task), docs.schema)

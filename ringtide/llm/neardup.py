@@ -108,7 +108,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 "same": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))}
 
-    return arrow_task(docs.select(id_col, text_col), "doc_id long, n_shingles long, same binary, sig array<int>", work)
+    return arrow_task(docs.select(id_col, text_col), "doc_id long, n_shingles long, same binary, sig array<int>", work, sliced=True)
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
         return {"node": batch.column(0), "shingles": pa.array(sets, pa.list_(pa.int64()))}
 
     some = docs.select(F.col(id_col).alias("node"), text_col).join(few(nodes), "node", "left_semi")
-    return arrow_task(some, "node long, shingles array<long>", work)
+    return arrow_task(some, "node long, shingles array<long>", work, sliced=True)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
