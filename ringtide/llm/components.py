@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Rounds between two checkpoints, and edges of a task.
-ROUNDS, EDGES = 2, 1 << 17
+#: Edges of a task.
+EDGES = 1 << 17
 
 
 def packed(edges: DataFrame) -> DataFrame:
@@ -45,9 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = packed(checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     while not _stars(edges):
-        for _ in range(ROUNDS):
-            edges = _round(edges)
-        edges = packed(checkpointed(edges))
+        # a round names its edges several times: the plan of two rounds at once fills the driver
+        edges = packed(checkpointed(_round(edges)))
     hung = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     return hung.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
